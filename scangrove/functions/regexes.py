@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from functools import lru_cache
 from re import _constants as op
 from re import _parser as parser
 
@@ -26,6 +27,7 @@ _OUTSIDE = {
 _INSIDE = {"s": _SPACE, "w": _WORD, "b": "\\x08"}
 
 
+@lru_cache(maxsize=10_000)
 def jvm_pattern(pattern: str, multiline: bool = False) -> str:
     """The pattern with Unicode classes, ``\\n`` as only line end, and Python's idea of word and space."""
     out, in_class, i = [], False, 0
@@ -155,6 +157,7 @@ def _exact_and_required(nodes) -> tuple[set[str] | None, set[str] | None]:
     return (run if exact else None), _best(found)
 
 
+@lru_cache(maxsize=10_000)
 def required_literals(pattern: str) -> list[str] | None:
     """Folded texts of which at least one occurs in every folded text the pattern matches; None if there are none of use."""
     exact, needed = _exact_and_required(parser.parse(pattern))

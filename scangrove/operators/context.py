@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import CHARS_PER_TOKEN
+from ..session import stored
 from ..sources.tree import file_name
 from .ordering import skew_join
 
@@ -38,11 +39,11 @@ def context_choices(resolved: DataFrame, files: DataFrame, max_tokens: int = CON
     Taken on lengths alone; no text is moved for imports that do not fit.
     """
     name = file_name(F.col("path"))
-    lengths = files.select(
+    lengths = stored(files.select(
         "repo", F.col("path").alias("target_path"),
         F.length(excerpt(F.col("content"), name, LONG_EXCERPT)).alias("long"),
         F.length(excerpt(F.col("content"), name, SHORT_EXCERPT)).alias("short"),
-    ).where(F.col("long") > 0)
+    ).where(F.col("long") > 0), "excerpt-lengths")
     # A target counts where it is imported first; an empty one is passed over.
     edges = resolved.where(F.col("target_path").isNotNull()).groupBy("repo", "path", "target_path").agg(
         F.min(F.struct("spec_ord", "spec")).alias("e"),
@@ -83,7 +84,8 @@ def context_blocks(resolved: DataFrame, files: DataFrame, max_tokens: int = CONT
     if max_tokens <= 0:
         return everyone.withColumn("context", F.lit(""))
     texts = files.select("repo", F.col("path").alias("target_path"), "content")
-    chosen = skew_join(context_choices(resolved, files, max_tokens), texts, ["repo", "target_path"], "inner", ["path"])
+    choices = stored(context_choices(resolved, files, max_tokens), "context-choices")
+    chosen = skew_join(choices, texts, ["repo", "target_path"], "inner", ["path"])
     name = file_name(F.col("target_path"))
     text = F.when(F.col("lines") == LONG_EXCERPT, excerpt(F.col("content"), name, LONG_EXCERPT)).otherwise(
         excerpt(F.col("content"), name, SHORT_EXCERPT),

@@ -8,8 +8,10 @@ import warnings
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.regexes import jvm_pattern
+from ..session import stored
 from .ordering import skew_join
 
 # Module names that are never looked for in the repository.
@@ -59,7 +61,10 @@ def _modules(source: str) -> list[dict] | None:
     return out
 
 
-@F.pandas_udf("array<struct<spec:string,top:string>>")
+_MODULES = T.ArrayType(T.StructType([T.StructField("spec", T.StringType()), T.StructField("top", T.StringType())]))
+
+
+@F.pandas_udf(_MODULES)
 def python_modules(sources: pd.Series) -> pd.Series:
     return sources.map(lambda s: None if s is None else _modules(s))
 
@@ -145,6 +150,12 @@ def resolve_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
     return edges.join(best, ["repo", "path", "spec_ord"], "left")
 
 
+def import_graph(files: DataFrame) -> DataFrame:
+    """The resolved imports of all files, as a stored table: contents are read and parsed once."""
+    edges = stored(import_edges(files), "imports")
+    return stored(resolve_imports(edges, files.select("repo", "path")), "import-targets")
+
+
 def degrees(resolved: DataFrame, files: DataFrame) -> DataFrame:
     """Imports of and by each file (K8)."""
     pairs = resolved.where(F.col("target_path").isNotNull()).select("repo", "path", "target_path").distinct()

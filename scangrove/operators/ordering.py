@@ -40,7 +40,8 @@ def running_number(
 
     Rows are counted per bucket of ``width`` values of the numeric column
     ``bucket_of``; the counts are summed up along the group, and rows are
-    numbered inside their bucket only.
+    numbered inside their bucket only.  ``df`` is read twice, so it should be
+    cheap to read: a stored table, not a scan of file contents.
     """
     bucketed = df.withColumn("_bucket", F.floor(F.col(bucket_of) / width))
     cell = [*keys, *lead, "_bucket"]
@@ -64,7 +65,8 @@ def skew_join(
     """An equi-join in which keys with more than ``hot`` left rows are split over ``salts`` tasks.
 
     Only the right rows of those keys are copied; ``right`` should hold few rows
-    per key.  The list of hot keys is at most ``rows / hot`` long.
+    per key.  The list of hot keys is at most ``rows / hot`` long.  Both sides
+    are read twice and should be stored tables.
     """
     hot_keys = left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(*keys, F.lit(True).alias("_hot"))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0)).cast("int")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import first_n_per_group, skew_join
+from ..session import stored
+from .ordering import first_n_per_group
 
 # The budget in estimated tokens and the reason given for files left out.
 BUNDLE_TOKENS = 150_000
@@ -41,7 +42,9 @@ def pack_bundle(files: DataFrame, with_hits: DataFrame, budget: int = BUNDLE_TOK
     """The files with ``in_bundle``: those with findings first, small before large, as long as they fit.
 
     ``files`` has repo, path, file_ord, token_count and analyzed; ``with_hits``
-    has repo and path of files with findings.
+    has repo and path of files with findings.  What is needed of both is stored
+    first, as sizes are looked at more than once.  The cut-offs are two rows per
+    repository; adaptive execution broadcasts them or splits large repositories.
     """
     hits = with_hits.select("repo", "path").distinct().withColumn("_hit", F.lit(True))
     sized = (
@@ -49,7 +52,8 @@ def pack_bundle(files: DataFrame, with_hits: DataFrame, budget: int = BUNDLE_TOK
         .join(hits, ["repo", "path"], "left")
         .withColumn("late", F.col("_hit").isNull()).drop("_hit")
     )
-    placed = skew_join(sized, _cutoffs(sized, budget), ["repo", "late"], "left", ["file_ord"])
+    sized = stored(sized, "sizes")
+    placed = sized.join(_cutoffs(sized, budget), ["repo", "late"], "left")
     whole = placed.where(F.col("cut_tokens").isNull() | (F.col("tokens") < F.col("cut_tokens")))
     edge = first_n_per_group(
         placed.where((F.col("tokens") == F.col("cut_tokens")) & (F.col("cut_fit") > 0)),

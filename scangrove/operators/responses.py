@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..catalog import CATEGORIES, SEVERITIES
 from ..functions.text import strip
@@ -44,7 +45,7 @@ def _balanced(text: str) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _balanced_object(texts: pd.Series) -> pd.Series:
     def one(text):
         found = None if text is None else _balanced(text)

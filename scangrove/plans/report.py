@@ -13,6 +13,7 @@ from ..operators.compliance import checklists
 from ..operators.marks import suppress
 from ..operators.scan import manifest_findings, scan_rules, token_gate
 from ..operators.score import file_counts, scores
+from ..session import stored
 from ..sources.tree import language_breakdown
 
 
@@ -24,17 +25,20 @@ class Analysis(NamedTuple):
 
 def analyse(
     tree: DataFrame, files: DataFrame, marks: DataFrame | None = None, rules: DataFrame | Sequence[Rule] | None = None,
+    store: bool = False,
 ) -> Analysis:
     """Scan the files, drop marked findings, and add the manifest notes of the whole tree.
 
-    Manifest notes are not subject to marks.  When several reports are drawn
-    from one analysis, pass ``findings`` through ``session.stored`` once.
+    Manifest notes are not subject to marks.  With ``store`` the findings are
+    written to the shared folder and read back, which is the way to draw several
+    results or an export from one scan.
     """
     found = scan_rules(files, rules)
     if marks is not None:
         found = suppress(found, marks)
     manifests = manifest_findings(tree.join(files.select("repo").distinct(), "repo", "left_semi"))
-    return Analysis(token_gate(files), found.unionByName(manifests), files.select("repo").distinct())
+    found = found.unionByName(manifests)
+    return Analysis(token_gate(files), stored(found, "findings") if store else found, files.select("repo").distinct())
 
 
 def report_rows(analysis: Analysis, mode: str = "static", suggested: DataFrame | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from ..operators import findings as V
 from ..operators import marks as M
 from ..operators import rules as R
 from ..operators.scan import manifest_findings, scan_rules, token_gate
-from ..schemas import FINDINGS, REPORT_ORDER, RESPONSES
+from ..schemas import FINDINGS, REPORT_ORDER
 from ..session import fresh_path, stored
 from ..sources import repos, tree
 from ..streaming import scan as stream
@@ -803,5 +803,3 @@ def _(spark, sf):
     fresh = stream.changed_only(files, "ts", "3650 days")
     return stream.run_to_table(fresh.select("path", "content"), "fresh")
 
-
-__all__ = ["QUERIES", "RESPONSES"]

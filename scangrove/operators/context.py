@@ -27,10 +27,13 @@ def _tokens(chars) -> Column:
 
 def excerpt(content: Column, name: Column, lines: int) -> Column:
     """The first lines of a file, with a note where it was cut (K6)."""
-    whole = F.split(F.regexp_replace(content, "\\n\\z", ""), "\n")
+    return _excerpt(F.split(F.regexp_replace(content, "\\n\\z", ""), "\n"), name, lines)
+
+
+def _excerpt(whole: Column, name: Column, lines: int) -> Column:
     note = F.concat(F.lit(f"\n... [truncated at {lines} of "), name, F.lit("]"))
     head = F.array_join(F.slice(whole, 1, lines), "\n")
-    return F.when(content == "", "").when(F.size(whole) > lines, F.concat(head, note)).otherwise(head)
+    return F.when(F.size(whole) > lines, F.concat(head, note)).otherwise(head)
 
 
 def context_choices(resolved: DataFrame, files: DataFrame, max_tokens: int = CONTEXT_TOKENS) -> DataFrame:
@@ -39,11 +42,13 @@ def context_choices(resolved: DataFrame, files: DataFrame, max_tokens: int = CON
     Taken on lengths alone; no text is moved for imports that do not fit.
     """
     name = file_name(F.col("path"))
-    lengths = stored(files.select(
-        "repo", F.col("path").alias("target_path"),
-        F.length(excerpt(F.col("content"), name, LONG_EXCERPT)).alias("long"),
-        F.length(excerpt(F.col("content"), name, SHORT_EXCERPT)).alias("short"),
-    ).where(F.col("long") > 0), "excerpt-lengths")
+    lines = F.split(F.regexp_replace("content", "\\n\\z", ""), "\n")
+    lengths = stored(
+        files.where(~F.col("content").isin("", "\n")).select("repo", F.col("path").alias("target_path"), name.alias("_name"), lines.alias("_lines"))
+        .select("repo", "target_path", *[F.length(_excerpt(F.col("_lines"), F.col("_name"), n)).alias(kind)
+                                         for kind, n in (("long", LONG_EXCERPT), ("short", SHORT_EXCERPT))]),
+        "excerpt-lengths",
+    )
     # A target counts where it is imported first; an empty one is passed over.
     edges = resolved.where(F.col("target_path").isNotNull()).groupBy("repo", "path", "target_path").agg(
         F.min(F.struct("spec_ord", "spec")).alias("e"),

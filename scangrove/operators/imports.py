@@ -122,14 +122,11 @@ def _python_candidates() -> Column:
 
 
 def _script_candidates() -> Column:
-    spec = F.col("spec")
-    start = F.when(spec.startswith("/"), F.array().cast("array<string>")).otherwise(F.col("_folder"))
-    parts = _normalised(F.concat(start, F.split(spec, "/")))
-    exact = F.array_join(parts, "/")
-    stem = F.regexp_replace(exact, "^((?:.*/)?[^/]+)\\.[^./]+$", "$1")
-    return F.when(parts.isNotNull(), F.array(
-        *[F.concat(stem, F.lit(s)) for s in SCRIPT_SUFFIXES], exact,
-        *[F.concat(F.when(exact == "", "").otherwise(F.concat(exact, F.lit("/"))), F.lit(f"index{s}")) for s in SCRIPT_SUFFIXES],
+    """From the columns ``_exact``, the path as written, and ``_stem``, the same without its suffix."""
+    below = F.when(F.col("_exact") == "", "").otherwise(F.concat("_exact", F.lit("/")))
+    return F.when(F.col("_exact").isNotNull(), F.array(
+        *[F.concat("_stem", F.lit(s)) for s in SCRIPT_SUFFIXES], F.col("_exact"),
+        *[F.concat(below, F.lit(f"index{s}")) for s in SCRIPT_SUFFIXES],
     ))
 
 
@@ -141,8 +138,12 @@ def resolve_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
     """
     folder = F.split("path", "/")
     candidates = F.when(F.lower("language").isin(PYTHON_LABELS), _python_candidates()).otherwise(_script_candidates())
-    tried = edges.withColumn("_folder", F.slice(folder, 1, F.size(folder) - 1)).select(
-        "repo", "path", "spec_ord", F.posexplode(candidates).alias("prio", "target_path"),
+    start = F.when(F.col("spec").startswith("/"), F.array().cast("array<string>")).otherwise(F.col("_folder"))
+    tried = (
+        edges.withColumn("_folder", F.slice(folder, 1, F.size(folder) - 1))
+        .withColumn("_exact", F.array_join(_normalised(F.concat(start, F.split("spec", "/"))), "/"))
+        .withColumn("_stem", F.regexp_replace("_exact", "^((?:.*/)?[^/]+)\\.[^./]+$", "$1"))
+        .select("repo", "path", "spec_ord", F.posexplode(candidates).alias("prio", "target_path"))
     )
     existing = files.select("repo", F.col("path").alias("target_path")).distinct()
     found = skew_join(tried, existing, ["repo", "target_path"], "inner", ["path", "spec_ord"])

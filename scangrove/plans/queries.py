@@ -772,7 +772,8 @@ def _(spark, sf):
 # ---------------------------------------------------------------- streams
 
 def arriving(spark, sf):
-    docs = stream.arriving_files(spark, sf, corpus.table(spark, sf, "documents").schema, glob="documents.parquet")
+    docs = stream.arriving_files(spark, sf, corpus.table(spark, sf, "documents").schema, glob="documents.parquet",
+                                 partitions=spark.sparkContext.defaultParallelism)
     return docs.select(
         F.col("source").alias("repo"), F.col("doc_id").alias("file_ord"), F.col("doc_id").cast("string").alias("path"),
         F.lit("Markdown").alias("language"), tree.read_text(F.col("text")).alias("content"))

@@ -19,12 +19,19 @@ from ..operators.scan import scan_rules
 from ..session import fresh_path
 
 
-def arriving_files(spark: SparkSession, path: str, schema: StructType, per_batch: int = 1000, glob: str | None = None) -> DataFrame:
-    """Parquet files appearing in a folder, as a stream of their rows."""
+def arriving_files(
+    spark: SparkSession, path: str, schema: StructType, per_batch: int = 1000, glob: str | None = None, partitions: int | None = None,
+) -> DataFrame:
+    """Parquet files appearing in a folder, as a stream of their rows.
+
+    ``partitions`` spreads the rows of a batch; of use only where a batch is
+    few files and a scan of them is slow.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.parquet(path)
+    rows = reader.parquet(path)
+    return rows.repartition(partitions) if partitions else rows
 
 
 def stream_findings(files: DataFrame, marks: DataFrame | None = None, rules: DataFrame | Sequence[Rule] | None = None) -> DataFrame:

@@ -30,7 +30,9 @@ def risk_score(points: Column, suggested: Column | None = None) -> Column:
     if suggested is None:
         return static.cast("bigint")
     whole = F.when(suggested >= 0, F.floor(suggested)).otherwise(F.ceil(suggested))
-    return F.greatest(static, F.greatest(F.lit(0), F.least(F.lit(100), whole))).cast("bigint")
+    # greatest and least pass over nulls, so a missing suggestion is told apart first.
+    raised = F.greatest(static, F.greatest(F.lit(0), F.least(F.lit(100), whole)))
+    return F.when(suggested.isNull(), static).otherwise(raised).cast("bigint")
 
 
 def risk_band(score: Column) -> Column:

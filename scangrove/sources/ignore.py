@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import strip
 
@@ -53,7 +54,7 @@ def ignore_rules(lines: DataFrame) -> DataFrame:
     Neighbouring lines of the same kind are merged into one alternation, so a
     file is usually tested against a single regex.
     """
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def to_regex(globs: pd.Series) -> pd.Series:
         return globs.map(glob_regex)
 
@@ -82,6 +83,6 @@ def ignore_rules(lines: DataFrame) -> DataFrame:
 
 def drop_ignored(files: DataFrame, lines: DataFrame) -> DataFrame:
     """Files whose last matching ignore line is absent or negated."""
-    deciding = F.filter("runs", lambda r: F.col("path").rlike(r["regex"]))
+    deciding = F.filter("runs", lambda r: F.rlike("path", r["regex"]))
     ignored = F.coalesce(~F.try_element_at(deciding, F.lit(1))["negated"], F.lit(False))
     return files.join(ignore_rules(lines), "repo", "left").where(F.col("runs").isNull() | ~ignored).drop("runs")

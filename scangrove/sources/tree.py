@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,29 +117,83 @@ def cap_files(files: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
     return first_n_per_group(files, ["repo"], ["path"], max_files, ["path"])
 
 
-def read_tree(spark: SparkSession, root: str, many: bool = False, glob: str | None = None) -> DataFrame:
-    """All files under a folder (A1).
+def _list_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """repo, path and size of all files below the given folders; folders that are never entered are passed over."""
+    for batch in batches:
+        for repo, folder, hidden in batch.itertuples(index=False):
+            for at, dirs, names in os.walk(folder):
+                dirs[:] = [d for d in dirs if d not in SKIPPED_DIRS and (hidden or not d.startswith("."))]
+                rows = []
+                for name in names:
+                    full = os.path.join(at, name)
+                    if os.path.isfile(full):
+                        rows.append((repo, os.path.relpath(full, folder).replace(os.sep, "/"), full, os.path.getsize(full)))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["repo", "path", "full", "size_bytes"])
+
+
+def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bytes of the listed files, a few files at a time."""
+    def content(full: str) -> bytes:
+        try:
+            with open(full, "rb") as f:
+                return f.read()
+        except OSError as error:
+            return f"[Error reading file: {error}]".encode()
+
+    for batch in batches:
+        for i in range(0, len(batch), 16):
+            part = batch.iloc[i:i + 16]
+            yield part.assign(data=part["full"].map(content)).drop(columns="full")
+
+
+def read_tree(
+    spark: SparkSession, root: str, many: bool = False, max_file_kb: int = MAX_FILE_KB, include_hidden: bool = False,
+) -> DataFrame:
+    """All files under a folder that driver and executors can reach, for instance a mounted share (A1).
 
     The folder is one repository, or with ``many`` each folder in it is one.
-    Sizes come from the file listing, so a size filter is applied before a file
-    is read.
+    One step lists files, next to nothing per file; the list is then spread
+    evenly over the tasks that read, so a large repository is no hot spot.
+    Files above the size limit are listed but not read.  Spark's own file
+    sources are not used here as they pass over names starting with ``_`` or
+    ``.``, such as ``__init__.py``; see ``read_objects``.
+    """
+    base = root.rstrip("/")
+    folders = [e.path for e in os.scandir(base) if e.is_dir()] if many else [base]
+    start = spark.createDataFrame([(os.path.basename(f), f, include_hidden) for f in folders], "repo string, folder string, hidden boolean")
+    listed = start.repartition(max(1, min(len(folders), 10_000))).mapInPandas(
+        _list_files, "repo string, path string, full string, size_bytes bigint",
+    ).repartition(spark.sparkContext.defaultParallelism)
+    small = F.col("size_bytes") <= max_file_kb * 1024
+    read = listed.where(small).mapInPandas(_read_files, "repo string, path string, size_bytes bigint, data binary").select(
+        "repo", "path", "size_bytes", read_text(decode(F.col("data"))).alias("content"),
+    )
+    unread = listed.where(~small).select("repo", "path", "size_bytes", F.lit("").alias("content"))
+    return read.unionByName(unread).select("repo", _path_order(), "path", "size_bytes", "content")
+
+
+def _path_order() -> Column:
+    return F.shiftrightunsigned(F.xxhash64("path"), 1).alias("file_ord")
+
+
+def read_objects(spark: SparkSession, root: str, many: bool = False, glob: str | None = None) -> DataFrame:
+    """The same from an object store through Spark's binary file source.
+
+    That source passes over names starting with ``_`` or ``.``.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     base = root.rstrip("/")
     below = len(re.sub("^[a-z0-9]+:/+", "/", base)) + 2
-    inside = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/+", "/")
-    inside = F.substr(inside, F.lit(below))
-    name = base.rsplit("/", 1)[-1]
+    inside = F.substr(F.regexp_replace(F.col("path"), "^[a-z0-9]+:/+", "/"), F.lit(below))
     located = reader.load(base).select(
-        (F.substring_index(inside, "/", 1) if many else F.lit(name)).alias("repo"),
+        (F.substring_index(inside, "/", 1) if many else F.lit(base.rsplit("/", 1)[-1])).alias("repo"),
         (F.regexp_replace(inside, "^[^/]*/", "") if many else inside).alias("path"),
         F.col("length").alias("size_bytes"), F.col("content").alias("data"),
     )
-    return located.select(
-        "repo", F.shiftrightunsigned(F.xxhash64("path"), 1).alias("file_ord"), "path", "size_bytes", read_text(decode(F.col("data"))).alias("content"),
-    )
+    return located.select("repo", _path_order(), "path", "size_bytes", read_text(decode(F.col("data"))).alias("content"))
 
 
 def ignore_file_lines(tree: DataFrame) -> DataFrame:

@@ -167,6 +167,10 @@ def required_literals(pattern: str) -> list[str] | None:
     return sorted(s for s in best if not any(o != s and o in s for o in best))
 
 
+# Branches tried one after the other under one guard; found by measuring.
+_ARMS = 10
+
+
 def any_of(literals: list[str]) -> str:
     """A pattern whose group 1 is, at every position where one of the texts starts, the longest of them.
 
@@ -187,9 +191,9 @@ def any_of(literals: list[str]) -> str:
     def branch(node: dict) -> str:
         heads = sorted(ch for ch in node if ch)
         arms = [quote(ch) + branch(node[ch]) for ch in heads]
-        if len(arms) > 6:
-            cut = range(0, len(arms), 6)
-            arms = [f"(?=[{''.join(map(quote, heads[i:i + 6]))}])(?:{'|'.join(arms[i:i + 6])})" for i in cut]
+        if len(arms) > _ARMS:
+            cut = range(0, len(arms), _ARMS)
+            arms = [f"(?=[{''.join(map(quote, heads[i:i + _ARMS]))}])(?:{'|'.join(arms[i:i + _ARMS])})" for i in cut]
         if not arms:
             return ""
         if len(arms) == 1 and "" not in node:

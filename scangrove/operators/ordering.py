@@ -34,16 +34,23 @@ def first_n_per_group(
 
 
 def running_number(
-    df: DataFrame, keys: Sequence[str], lead: Sequence[str], bucket_of: str, order: Sequence[str], name: str, width: int = 1024,
+    df: DataFrame, keys: Sequence[str], lead: Sequence[str], bucket_of: str, order: Sequence[str], name: str, cells: int = 4096,
 ) -> DataFrame:
     """Zero-based position of each row within its group, in the order ``lead, bucket_of, order``.
 
-    Rows are counted per bucket of ``width`` values of the numeric column
-    ``bucket_of``; the counts are summed up along the group, and rows are
-    numbered inside their bucket only.  ``df`` is read twice, so it should be
-    cheap to read: a stored table, not a scan of file contents.
+    The range of the numeric column ``bucket_of`` within a group is cut into
+    ``cells`` equal parts.  Rows are counted per part, the counts are summed up
+    along the group, and rows are numbered inside their part only.  ``df`` is
+    read more than once, so it should be cheap to read: a stored table, not a
+    scan of file contents.
     """
-    bucketed = df.withColumn("_bucket", F.floor(F.col(bucket_of) / width))
+    low = F.min(F.col(bucket_of).cast("double")).alias("_low")
+    span = (F.max(F.col(bucket_of).cast("double")) - F.min(F.col(bucket_of).cast("double")) + 1).alias("_span")
+    bounds = df.groupBy(*keys).agg(low, span)
+    # Rounding in doubles keeps the order, so parts never overlap.
+    bucketed = df.join(bounds, list(keys)).withColumn(
+        "_bucket", F.floor((F.col(bucket_of).cast("double") - F.col("_low")) / F.col("_span") * cells),
+    ).drop("_low", "_span")
     cell = [*keys, *lead, "_bucket"]
     before = Window.partitionBy(*keys).orderBy(*lead, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

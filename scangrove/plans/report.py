@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Rule
+from ..functions.text import count_lines
 from ..operators.compliance import checklists
 from ..operators.marks import suppress
 from ..operators.scan import manifest_findings, scan_rules, token_gate
@@ -18,7 +19,7 @@ from ..sources.tree import language_breakdown
 
 
 class Analysis(NamedTuple):
-    files: DataFrame
+    files: DataFrame  # repo, file_ord, path, language, size_bytes, token_count, analyzed, skip_reason, line_count
     findings: DataFrame
     repos: DataFrame
 
@@ -30,15 +31,18 @@ def analyse(
     """Scan the files, drop marked findings, and add the manifest notes of the whole tree.
 
     Manifest notes are not subject to marks.  With ``store`` the findings are
-    written to the shared folder and read back, which is the way to draw several
-    results or an export from one scan.
+    and the facts about files are written to the shared folder and read back,
+    which is the way to draw several results or an export from one scan.
     """
     found = scan_rules(files, rules)
     if marks is not None:
         found = suppress(found, marks)
-    manifests = manifest_findings(tree.join(files.select("repo").distinct(), "repo", "left_semi"))
+    manifests = manifest_findings(tree).join(files.select("repo").distinct(), "repo", "left_semi")
     found = found.unionByName(manifests)
-    return Analysis(token_gate(files), stored(found, "findings") if store else found, files.select("repo").distinct())
+    facts = token_gate(files).withColumn("line_count", count_lines(F.col("content"))).drop("content")
+    if store:
+        found, facts = stored(found, "findings"), stored(facts, "files")
+    return Analysis(facts, found, facts.select("repo").distinct())
 
 
 def report_rows(analysis: Analysis, mode: str = "static", suggested: DataFrame | None = None) -> DataFrame:

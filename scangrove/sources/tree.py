@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import count_lines
 from ..operators.ordering import first_n_per_group
+from ..schemas import FILES
+from ..session import stored
 from .ignore import drop_ignored
 
 # --------------------------------------------------------------------------
@@ -77,7 +79,7 @@ def in_skipped_dir(path: Column, include_hidden: bool = False) -> Column:
 
 
 def normalise_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, "\\r\\n?", "\n")
+    return F.when(text.contains("\r"), F.regexp_replace(text, "\\r\\n?", "\n")).otherwise(text)
 
 
 def decode(data: Column) -> Column:
@@ -102,14 +104,16 @@ def source_files(
     ``tree`` has repo, file_ord, path, size_bytes, content.  The predicates on
     path and size come before anything touches the content.
     """
-    path = F.col("path")
-    keep = ~in_skipped_dir(path, include_hidden) & is_code_file(path) & (F.col("size_bytes") <= max_file_kb * 1024)
-    if not include_hidden:
-        keep = keep & ~file_name(path).startswith(".")
-    kept = tree.where(keep)
+    kept = tree.where(_is_source(max_file_kb, include_hidden))
     if ignore_lines is not None:
         kept = drop_ignored(kept, ignore_lines)
-    return kept.select("repo", "file_ord", "path", detect_language(path).alias("language"), "size_bytes", "content")
+    return kept.withColumn("language", detect_language(F.col("path"))).select(*FILES.fieldNames())
+
+
+def _is_source(max_file_kb: int, include_hidden: bool) -> Column:
+    path = F.col("path")
+    keep = ~in_skipped_dir(path, include_hidden) & is_code_file(path) & (F.col("size_bytes") <= max_file_kb * 1024)
+    return keep if include_hidden else keep & ~file_name(path).startswith(".")
 
 
 def cap_files(files: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
@@ -147,30 +151,58 @@ def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield part.assign(data=part["full"].map(content)).drop(columns="full")
 
 
-def read_tree(
-    spark: SparkSession, root: str, many: bool = False, max_file_kb: int = MAX_FILE_KB, include_hidden: bool = False,
-) -> DataFrame:
-    """All files under a folder that driver and executors can reach, for instance a mounted share (A1).
+def list_tree(spark: SparkSession, root: str, many: bool = False, include_hidden: bool = False) -> DataFrame:
+    """repo, file_ord, path, size_bytes and full name of all files under a folder, without reading them (A1).
 
     The folder is one repository, or with ``many`` each folder in it is one.
-    One step lists files, next to nothing per file; the list is then spread
-    evenly over the tasks that read, so a large repository is no hot spot.
-    Files above the size limit are listed but not read.  Spark's own file
-    sources are not used here as they pass over names starting with ``_`` or
-    ``.``, such as ``__init__.py``; see ``read_objects``.
+    Driver and executors must be able to reach it, as with a mounted share.
+    Spark's own file sources are not used here as they pass over names starting
+    with ``_`` or ``.``, such as ``__init__.py``; see ``read_objects``.
     """
     base = root.rstrip("/")
     folders = [e.path for e in os.scandir(base) if e.is_dir()] if many else [base]
     start = spark.createDataFrame([(os.path.basename(f), f, include_hidden) for f in folders], "repo string, folder string, hidden boolean")
     listed = start.repartition(max(1, min(len(folders), 10_000))).mapInPandas(
         _list_files, "repo string, path string, full string, size_bytes bigint",
-    ).repartition(spark.sparkContext.defaultParallelism)
-    small = F.col("size_bytes") <= max_file_kb * 1024
-    read = listed.where(small).mapInPandas(_read_files, "repo string, path string, size_bytes bigint, data binary").select(
-        "repo", "path", "size_bytes", read_text(decode(F.col("data"))).alias("content"),
     )
-    unread = listed.where(~small).select("repo", "path", "size_bytes", F.lit("").alias("content"))
-    return read.unionByName(unread).select("repo", _path_order(), "path", "size_bytes", "content")
+    return listed.select("repo", _path_order(), "path", "size_bytes", "full")
+
+
+def read_listed(listed: DataFrame, max_file_kb: int = MAX_FILE_KB) -> DataFrame:
+    """The listed files with their text; files above the size limit are kept but not read.
+
+    The list is spread evenly over the tasks that read, so a large repository
+    is no hot spot.
+    """
+    spread_out = listed.repartition(listed.sparkSession.sparkContext.defaultParallelism)
+    small = F.col("size_bytes") <= max_file_kb * 1024
+    fields = "repo string, file_ord bigint, path string, size_bytes bigint, data binary"
+    read = spread_out.where(small).mapInPandas(_read_files, fields).withColumn("content", read_text(decode(F.col("data")))).drop("data")
+    return read.unionByName(spread_out.where(~small).drop("full").withColumn("content", F.lit("")))
+
+
+def read_tree(
+    spark: SparkSession, root: str, many: bool = False, max_file_kb: int = MAX_FILE_KB, include_hidden: bool = False,
+) -> DataFrame:
+    """All files under a folder as a tree table (A1)."""
+    return read_listed(list_tree(spark, root, many, include_hidden), max_file_kb)
+
+
+def read_source_files(
+    spark: SparkSession, root: str, many: bool = False, max_file_kb: int = MAX_FILE_KB, include_hidden: bool = False,
+    max_files: int | None = None,
+) -> DataFrame:
+    """The analysed files under a folder, chosen on the listing alone; no other file is read.
+
+    Only the ignore files at the root of each repository are read beforehand.
+    """
+    listed = stored(list_tree(spark, root, many, include_hidden), "listing")
+    ignored = ignore_file_lines(read_listed(listed.where(F.col("path") == ".gitignore")))
+    kept = drop_ignored(listed.where(_is_source(max_file_kb, include_hidden)), ignored)
+    if max_files is not None:
+        kept = cap_files(kept, max_files)
+    files = read_listed(kept, max_file_kb)
+    return files.withColumn("language", detect_language(F.col("path"))).select(*FILES.fieldNames())
 
 
 def _path_order() -> Column:
@@ -203,9 +235,11 @@ def ignore_file_lines(tree: DataFrame) -> DataFrame:
 
 
 def language_breakdown(files: DataFrame) -> DataFrame:
-    """Files and lines per language, skipped files included."""
+    """Files and lines per language, skipped files included.
+
+    Takes files with their content, or with a line_count counted before.
+    """
+    lines = F.col("line_count") if "line_count" in files.columns else count_lines(F.col("content"))
     return files.groupBy("repo", "language").agg(
-        F.count("*").alias("file_count"),
-        F.sum(count_lines(F.col("content"))).alias("line_count"),
-        F.min("file_ord").alias("first_seen"),
+        F.count("*").alias("file_count"), F.sum(lines).alias("line_count"), F.min("file_ord").alias("first_seen"),
     )

@@ -185,7 +185,7 @@ def test_hot_groups(spark):
         F.col("id").alias("file_ord"), (F.col("id") % 7).cast("int").alias("line"), F.lit(0).alias("place"))
     df = df.union(df)
     df = df.withColumn("copy", F.monotonically_increasing_id()).cache()
-    numbered = running_number(df, ["key"], ["place"], "file_ord", ["line", "copy"], "n", width=64)
+    numbered = running_number(df, ["key"], ["place"], "file_ord", ["line", "copy"], "n", cells=16)
     by_key = {}
     for r in numbered.collect():
         by_key.setdefault(r.key, []).append((r.file_ord, r.line, r.copy, r.n))

@@ -78,6 +78,9 @@ def test_tree_of_many_repositories(spark, repo_dir):
     assert {p for r, p in got if r == "one"} == common
     assert {p for r, p in got if r == "two"} == common | {"logs/e.py", "gen/x.gen.py"}
     assert got["one", "a.py"].content == "cvv = '123'\n" and got["one", "a.py"].size_bytes == 13
+    direct = tree.read_source_files(spark, repo_dir, many=True, max_file_kb=2)
+    assert {(r.repo, r.path, r.content, r.language) for r in direct.collect()} == {(r.repo, r.path, r.content, r.language) for r in got.values()}
+    assert tree.read_source_files(spark, repo_dir, many=True, max_files=1).count() == 2
     shown = tree.source_files(tree.read_tree(spark, repo_dir, many=True, include_hidden=True), include_hidden=True)
     assert {".secret.py", ".ci/d.py"} <= {r.path for r in shown.collect()}
 

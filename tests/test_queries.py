@@ -21,4 +21,8 @@ def test_query_against_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 20
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"j3_sarif_document", "j4_json_report"}
+    from scangrove.plans.oracle import ORACLES
+    from scangrove.plans.queries import QUERIES
+
+    assert set(QUERIES) - set(ORACLES) == {"j3_sarif_document", "j4_json_report"}
+    assert set(QUERIES) <= set(entry.queries())

@@ -3,7 +3,8 @@
 Texts with the same set of shingles collapse to one representative first.  Band buckets propose pairs; the packed low bits of
 the minima estimate their similarity, corrected for chance collisions, and only pairs that may reach the threshold are confirmed
 on full sets.  A bucket never emits all its pairs: first every member meets the bucket's smallest member, then only members of
-different components meet, the minority of a bucket against the rest.  What is left out can't change a component.
+different components meet, the minority of a bucket against the rest, in cells of bounded size from which only links come out.  What is
+left out can't change a component.
 
 Nulls: a null or empty text has no shingles and no links; a row with a null id is kept and has no component.  Rows that share an id are
 one document.  Repeated rows give repeated result rows.
@@ -27,6 +28,7 @@ BANDS, ROWS = 40, 5      # a pair of similarity 0.75 shares no band with probabi
 BITS = 2                 # low bits kept of each minimum
 HASHES = BANDS * ROWS
 LONGS = -(-HASHES * BITS // 64)
+CELL = 500               # texts of a band on either side that one task compares
 MARGIN = 6               # standard deviations by which an estimate may fall short of the threshold
 
 
@@ -143,6 +145,45 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long").distinct()
 
 
+def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links between texts of different components in a cell: for each text on the left the smallest partner in each component."""
+    found: list[tuple[int, int]] = []
+    if left.num_rows and right.num_rows:
+        sets = []
+        for side in (left, right):
+            column = side.column("text").combine_chunks()
+            sets.append([s for _, _, words in word_batches(column) for s in shingle_sets(words)])
+        ids, labels = right.column("id").to_numpy(), right.column("label").to_numpy()
+        sizes = np.array([len(s) for s in sets[1]])
+        every, first = np.concatenate(sets[1]), np.append(0, np.cumsum(sizes))[:-1]
+        for one, own, mine in zip(left.column("id").to_pylist(), left.column("label").to_pylist(), sets[0], strict=True):
+            at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+            common = np.add.reduceat(mine[at] == every, first)
+            linked = np.flatnonzero((100 * common >= 75 * (sizes + len(mine) - common)) & (labels != own))
+            partners: dict[int, int] = {}
+            for i in linked:
+                partners[labels[i]] = min(ids[i], partners.get(labels[i], ids[i]))
+            found += [(one, int(b)) for b in partners.values()]
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
+def links_in_bands(few: DataFrame, rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect different components, between texts (band, id, id_label) of ``few`` and ``rest`` that share a band.
+
+    A band's texts meet in cells of about ``CELL`` by ``CELL`` texts; only links leave a cell, no pairs.
+    """
+    few, rest, cell = stored(few, "few"), stored(rest, "rest"), ["band", "few", "rest"]
+    sizes = few.groupBy("band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n_few")).join(
+        rest.groupBy("band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n_rest")), "band")
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        cells = F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))
+        placed = rows.join(sizes, "band").withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"n_{own}")).cast("int")).withColumn(other, cells)
+        return placed.join(texts, "id").select("band", "few", "rest", "id", F.col("id_label").alias("label"), "text").toDF(*cell, "id", "label", "text")
+
+    return dealt(few, "few", "rest").groupBy(*cell).cogroup(dealt(rest, "rest", "few").groupBy(*cell)).applyInArrow(_meet, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame | None:
     """Per node of the edges (a, b): id and label, the smallest node that it reaches.  None without edges.
 
@@ -217,14 +258,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ).where("labels > 1")
     spots = stored(spots.join(mixes.drop("labels"), "band").join(signs, "id"), "mixed_bands")
     if not spots.isEmpty():
-        few, all_ = spots.where("id_label <> major").alias("x"), spots.alias("y")
-        pairs = few.join(all_, F.col("x.band") == F.col("y.band")).where(
-            (F.col("x.id_label") != F.col("y.id_label")) & (F.col("x.id") != F.col("x.hub")) & (F.col("y.id") != F.col("y.hub"))
-            & ((F.col("y.id_label") == F.col("y.major")) | (F.col("x.id") < F.col("y.id"))) & may_link("x", "y"),
-        ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        pairs = stored(pairs, "other_pairs")
-        if not pairs.isEmpty():
-            labels = _merged(labels, confirmed(pairs, texts))
+        # Who has a possible partner in another component, each once, however many partners there are.
+        few, rest = spots.where("id_label <> major AND id <> hub"), spots.where("id <> hub")
+        apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.id_label") != F.col("y.id_label")) & may_link("x", "y")
+        few, rest = (one.alias("x").join(other.alias("y"), apart, "left_semi").select("band", "id", "id_label") for one, other in ((few, rest), (rest, few)))
+        labels = _merged(labels, links_in_bands(few, rest, texts))
 
     out = signed_rows.select("id", "n_shingles", "print_a", "print_b").alias("s").join(
         groups.alias("g"), (F.col("s.print_a") == F.col("g.print_a")) & (F.col("s.print_b") == F.col("g.print_b")) & (F.col("s.n_shingles") > 0), "left",

@@ -178,8 +178,8 @@ def predict_texts(texts: list[str], model: Model, table: np.ndarray) -> tuple[li
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` but the text, then lang_pred and score."""
-    kept = [c for c in docs.columns if c != text]
+    """Columns of ``docs`` but the text, then lang_pred and score; columns of these names are replaced."""
+    kept = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
 
     def run(batches):
         table = letter_table()

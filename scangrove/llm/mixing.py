@@ -152,6 +152,11 @@ def mixture_report(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, with the number of copies and the words taken."""
+    """The documents that the mix takes, with the number of copies and the words taken; columns named copies or taken are replaced.
+
+    Of documents that share an id, all stay if one does.
+    """
     chosen = mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"), F.max("taken").alias("taken"))
-    return docs.join(chosen.withColumnRenamed("doc_id", "_taken_id"), docs["doc_id"].eqNullSafe(F.col("_taken_id"))).drop("_taken_id")
+    docs = docs.drop("copies", "taken")
+    chosen = chosen.withColumnRenamed("doc_id", "taken_id")
+    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["taken_id"])).select(*(docs[f"`{c}`"] for c in docs.columns), chosen["copies"], chosen["taken"])

@@ -7,7 +7,7 @@ different components meet, the minority of a bucket against the rest, in cells o
 left out can't change a component.
 
 Nulls: a null or empty text has no shingles and no links; a row with a null id is kept and has no component.  Rows that share an id are
-one document.  Repeated rows give repeated result rows.
+one document, kept or left out together.  Repeated rows give repeated result rows.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -276,5 +276,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group, and rows without an id."""
-    gone = near_duplicates(docs, doc_id, text).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, doc_id, text).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs[doc_id] == gone["gone"], "left_anti")

@@ -109,8 +109,8 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = NEAREST, vec_id: st
     rows = rows.where(F.size("v") == dim)
     cell = lambda n, name: F.pmod(F.xxhash64(F.lit(name), "id"), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.array(*[F.lit(i) for i in range(n)])) if n <= 64 else F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = rows.select("id", "v", cell(blocks, "block").alias("block")).withColumn("part", all_of(query_blocks))
-    queries = rows.where(F.col("id") % every == 0).select("id", "v", cell(query_blocks, "part").alias("part")).withColumn("block", all_of(blocks))
+    data = rows.select("id", "v", cell(blocks, "block").alias("block")).withColumn("part", all_of(query_blocks)).toDF("id", "v", "block", "part")
+    queries = rows.where(F.col("id") % every == 0).select("id", "v", cell(query_blocks, "part").alias("part")).withColumn("block", all_of(blocks)).toDF("id", "v", "part", "block")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[int, int, float]] = []

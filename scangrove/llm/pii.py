@@ -148,7 +148,15 @@ def pii_report(docs: DataFrame) -> DataFrame:
 
 
 def without_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` with masked texts; n_chars, where there is such a column, is that of the masked text."""
-    rows = with_spans(docs, name="_spans")
-    rows = rows.withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("_spans")))).drop("_spans")
-    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
+    """``docs`` with masked texts; n_chars, where there is such a column, is that of the masked text.  Other columns may have any name."""
+    rows = with_spans(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text"))
+    rows = rows.select("row", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("spans"))).alias("text"))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("text")
+        if name == "n_chars":
+            return F.coalesce(F.length("text").cast(docs.schema[name].dataType), F.col("row.n_chars")).alias(name)
+        return F.col(f"row.`{name}`").alias(name)
+
+    return rows.select(*(column(c) for c in docs.columns))

@@ -186,17 +186,21 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
     return train(*lists, np.array([order[p] for p in rows.column("pattern").to_pylist()], np.float32))
 
 
+def values(words: Words, flags: dict[str, np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score and number of words of each text."""
+    n = np.diff(words.first)
+    sums = _totals(sum((weights[f] for f in features(flags, words)), np.zeros(len(words.text))), words.first) + np.maximum(0, SHORT - n) * weights[filler()].sum()
+    return 1 / (1 + np.exp(-np.clip(sums / np.maximum(n, SHORT) + weights[-1], -50, 50))), n
+
+
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` but the text, then score (0 to 1, higher is better) and n_words."""
-    kept = [c for c in docs.columns if c != text]
+    """Columns of ``docs`` but the text, then score (0 to 1, higher is better) and n_words; columns of these names are replaced."""
+    kept = [c for c in docs.columns if c not in (text, "score", "n_words")]
 
     def run(batches):
-        plain = weights[filler()].sum()
         for batch in batches:
             for lo, hi, words, flags in _chunks(batch, text):
-                n = np.diff(words.first)
-                sums = _totals(sum((weights[f] for f in features(flags, words)), np.zeros(len(words.text))), words.first) + np.maximum(0, SHORT - n) * plain
-                value = 1 / (1 + np.exp(-np.clip(sums / np.maximum(n, SHORT) + weights[-1], -50, 50)))
+                value, n = values(words, flags, weights)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in kept), pa.array(value.astype(float)), pa.array(n)], [*kept, "score", "n_words"])
 
     return docs.mapInArrow(run, docs.select(*kept).schema.add("score", "double").add("n_words", "long"))
@@ -209,7 +213,13 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, unchanged."""
+    """The rows of ``docs`` that the classifier keeps, unchanged, whatever columns they have."""
     weights = fit(docs)
-    found = score(docs.withColumn("_body", F.col("text")), weights, "_body")
-    return found.where((F.col("score") >= THRESHOLD) & (F.col("n_words") > 0)).select(*docs.columns)
+
+    def run(batches):
+        for batch in batches:
+            found = [values(words, flags, weights) for _, _, words, flags in _chunks(batch, "text")]
+            keep = np.concatenate([(value >= THRESHOLD) & (n > 0) for value, n in found]) if found else np.zeros(0, bool)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -234,8 +234,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
 
 
 def tag(docs: DataFrame, field: Field, text: str = "text", least: float = 0.5) -> DataFrame:
-    """All columns of ``docs`` but the text, then score and spans: (start, end) of words whose marginal is ``least`` or more, in code points."""
-    kept = [c for c in docs.columns if c != text]
+    """Columns of ``docs`` but the text, then score and spans: (start, end) of words whose marginal is ``least`` or more, in code points.
+
+    Columns named score or spans are replaced.
+    """
+    kept = [c for c in docs.columns if c not in (text, "score", "spans")]
 
     def run(batches):
         pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])

@@ -15,19 +15,23 @@ from ..session import stored
 from .ordering import skew_join
 
 # Module names that are never looked for in the repository.
-OUTSIDE_MODULES = """
-os sys re json typing collections functools pathlib itertools math datetime time logging unittest asyncio threading
-subprocess shutil tempfile io abc enum dataclasses copy weakref operator contextlib warnings urllib http email html
-textwrap string struct socket ssl select signal multiprocessing concurrent queue heapq bisect array types importlib
-pkgutil traceback inspect dis token tokenize symtable compileall py_compile compile cgi cgitb wsgiref xmlrpc pydoc
-doctest difflib pdb profile pstats timeit sched calendar locale gettext unicodedata stringprep pprint reprlib graphlib
-tomllib configparser argparse getopt getpass curses platform errno faulthandler tracemalloc gc sysconfig site zipimport
-runpy
-numpy pandas scipy requests urllib3 httpx aiohttp flask django fastapi uvicorn starlette pydantic sqlalchemy alembic
-psycopg2 pymysql redis celery boto3 botocore aws azure google openai anthropic torch tensorflow sklearn matplotlib
-seaborn plotly yaml toml click typer rich loguru structlog pytest hypothesis tox nox coverage mypy ruff black isort
-pylint flake8 gitpython github pathspec pyyaml python_multipart python-dotenv dotenv
-""".split()
+OUTSIDE_MODULES = [
+    "os", "sys", "re", "json", "typing", "collections", "functools", "pathlib", "itertools", "math", "datetime",
+    "time", "logging", "unittest", "asyncio", "threading", "subprocess", "shutil", "tempfile", "io", "abc", "enum",
+    "dataclasses", "copy", "weakref", "operator", "contextlib", "warnings", "urllib", "http", "email", "html",
+    "textwrap", "string", "struct", "socket", "ssl", "select", "signal", "multiprocessing", "concurrent", "queue",
+    "heapq", "bisect", "array", "types", "importlib", "pkgutil", "traceback", "inspect", "dis", "token", "tokenize",
+    "symtable", "compileall", "py_compile", "compile", "cgi", "cgitb", "wsgiref", "xmlrpc", "pydoc", "doctest",
+    "difflib", "pdb", "profile", "pstats", "timeit", "sched", "calendar", "locale", "gettext", "unicodedata",
+    "stringprep", "pprint", "reprlib", "graphlib", "tomllib", "configparser", "argparse", "getopt", "getpass",
+    "curses", "platform", "errno", "faulthandler", "tracemalloc", "gc", "sysconfig", "site", "zipimport", "runpy",
+    "numpy", "pandas", "scipy", "requests", "urllib3", "httpx", "aiohttp", "flask", "django", "fastapi", "uvicorn",
+    "starlette", "pydantic", "sqlalchemy", "alembic", "psycopg2", "pymysql", "redis", "celery", "boto3", "botocore",
+    "aws", "azure", "google", "openai", "anthropic", "torch", "tensorflow", "sklearn", "matplotlib", "seaborn",
+    "plotly", "yaml", "toml", "click", "typer", "rich", "loguru", "structlog", "pytest", "hypothesis", "tox", "nox",
+    "coverage", "mypy", "ruff", "black", "isort", "pylint", "flake8", "gitpython", "github", "pathspec", "pyyaml",
+    "python_multipart", "python-dotenv", "dotenv",
+]
 
 # Language labels with Python or script imports, the import forms
 # of scripts, and the suffixes tried for them.

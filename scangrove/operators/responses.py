@@ -26,31 +26,14 @@ UNREADABLE = {
 UNREADABLE_SCORE = 50
 
 
-def _balanced(text: str) -> str | None:
-    """The first balanced object of a text, braces in strings aside."""
-    start = text.find("{")
-    depth, quoted, skip = 0, False, False
-    for i in range(max(start, 0), len(text)) if start >= 0 else ():
-        ch = text[i]
-        if skip:
-            skip = False
-        elif quoted and ch == "\\":
-            skip = True
-        elif ch == '"':
-            quoted = not quoted
-        elif not quoted and ch in "{}":
-            depth += 1 if ch == "{" else -1
-            if depth == 0:
-                return text[start:i + 1]
-    return None
-
-
 @F.pandas_udf(T.StringType())
-def _balanced_object(texts: pd.Series) -> pd.Series:
+def _first_object(texts: pd.Series) -> pd.Series:
+    """The JSON object that begins at the first brace of each text, whatever follows it."""
+    decoder = json.JSONDecoder()
+
     def one(text):
-        found = None if text is None else _balanced(text)
         try:
-            return None if found is None else json.dumps(json.loads(found))
+            return None if text is None else json.dumps(decoder.raw_decode(text, text.index("{"))[0])
         except ValueError:
             return None
     return texts.map(one)
@@ -61,10 +44,10 @@ def _valid(text: Column) -> Column:
 
 
 def extract_json(responses: DataFrame, column: str = "response", into: str = "json") -> DataFrame:
-    """The JSON in a response: all of it, a fenced object, or the first balanced object; else null.
+    """The JSON in a response: all of it, a fenced object, or the object at the first brace; else null.
 
     The first three are plain expressions.  Only what they leave over is sent to
-    the brace-counting function.
+    the JSON decoder.
     """
     text = F.col(column)
     whole = _valid(strip(text))
@@ -73,7 +56,7 @@ def extract_json(responses: DataFrame, column: str = "response", into: str = "js
     ]
     easy = responses.withColumn("_easy", F.coalesce(whole, *fences))
     rest = F.when(F.col("_easy").isNull() & text.contains("{"), text)
-    return easy.withColumn("_rest", _balanced_object(rest)).withColumn(into, F.coalesce("_easy", "_rest")).drop("_easy", "_rest")
+    return easy.withColumn("_rest", _first_object(rest)).withColumn(into, F.coalesce("_easy", "_rest")).drop("_easy", "_rest")
 
 
 def parse_responses(responses: DataFrame, kind: str, column: str = "response") -> DataFrame:

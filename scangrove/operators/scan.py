@@ -20,7 +20,7 @@ from ..functions.text import SNIPPET_CHARS, estimate_tokens, is_comment, split_l
 from ..schemas import FINDINGS
 from ..session import local_table
 
-# Fixed value: files above this estimate are reported but not scanned.
+# Fixed value: files above this estimate are too large for a prompt.
 MAX_FILE_TOKENS = 8_000
 
 _BITS = 62
@@ -142,11 +142,11 @@ def resolve_rules(rules: DataFrame | Sequence[Rule] | None) -> list[Rule]:
 def scan_rules(
     files: DataFrame,
     rules: DataFrame | Sequence[Rule] | None = None,
-    max_tokens: int | None = MAX_FILE_TOKENS,
+    max_tokens: int | None = None,
 ) -> DataFrame:
     """All rule hits in a table of files, as findings.
 
-    ``files`` may be a batch or a streaming DataFrame.
+    ``files`` may be a batch or a streaming DataFrame.  Whole texts of all files are scanned; ``max_tokens`` leaves out larger files.
     """
     catalog = scannable(resolve_rules(rules))
     spark = files.sparkSession

@@ -14,7 +14,7 @@ from ..functions.text import WHITESPACE
 from ..operators.context import HEADER
 from ..operators.packing import EXCLUDED_REASON
 from ..operators.responses import UNREADABLE
-from ..operators.scan import MAX_FILE_TOKENS, MODEL_PART, report_part, scannable
+from ..operators.scan import MODEL_PART, report_part, scannable
 from ..sources.tree import CODE_SUFFIXES, LANGUAGES, SKIPPED_DIRS
 from .corpus import MANIFEST_EVERY, REPO_BLOCK, SUFFIXES
 from .snippets import CONTENTS, LINES
@@ -114,7 +114,7 @@ def _file_test(rule: Rule) -> str:
 
 
 def read_text(text: str) -> str:
-    return f"substring(regexp_replace({text}, '\\r\\n?', chr(10), 'g'), 1, 50000)"
+    return f"regexp_replace({text}, '\\r\\n?', chr(10), 'g')"
 
 
 def lines_of(table: str, keys: str, content: str = "content") -> str:
@@ -151,17 +151,16 @@ def scan_ctes(files: str, rules: list[Rule] | None = None) -> dict[str, str]:
     """CTEs from a files CTE to its hits."""
     rules = RULES if rules is None else rules
     line_rules, file_rules = [r for r in rules if not r.multiline], [r for r in rules if r.multiline]
-    small = f"(SELECT * FROM {files} WHERE {TOKENS} <= {MAX_FILE_TOKENS})"
     parts = []
     if line_rules:
         parts.append(
             f"SELECT repo, file_ord, path AS file, language, line, substring({STRIPPED}, 1, 150) AS code_snippet, rule_id FROM (SELECT *, "
-            f"unnest([{', '.join(map(_line_test, line_rules))}]) AS rule_id FROM {lines_of(small, 'repo, file_ord, path, language')} "
+            f"unnest([{', '.join(map(_line_test, line_rules))}]) AS rule_id FROM {lines_of(files, 'repo, file_ord, path, language')} "
             f"WHERE NOT {COMMENT}) WHERE rule_id IS NOT NULL")
     if file_rules:
         parts.append(
             "SELECT repo, file_ord, path AS file, language, hit.line AS line, CAST(NULL AS VARCHAR) AS code_snippet, hit.id AS rule_id FROM "
-            f"(SELECT *, unnest([{', '.join(map(_file_test, file_rules))}]) AS hit FROM {small}) WHERE hit IS NOT NULL")
+            f"(SELECT *, unnest([{', '.join(map(_file_test, file_rules))}]) AS hit FROM {files}) WHERE hit IS NOT NULL")
     names = "rule_id, part_ord, rule_ord, name, severity, description, recommendation, scanner, rule_type, hipaa_reference, compliance_ref, rule_language"
     return {
         f"rules({names})": rule_values(rules),
@@ -210,7 +209,7 @@ KEPT_MODEL = {
     "kept_model": "SELECT * FROM model h WHERE NOT EXISTS (SELECT 1 FROM marks m WHERE m.repo = h.repo AND m.file_path = h.file "
                   "AND m.description_hash = 'sha256:' || sha256(h.description))",
 }
-PROJECT = {"project": "SELECT * REPLACE ('project-wide' AS file, CAST(NULL AS BIGINT) AS line) FROM model WHERE line < 4"}
+PROJECT = {"project": "SELECT * REPLACE ('project-wide' AS file, CAST(NULL AS BIGINT) AS line) FROM model"}
 MANIFEST_ROWS = {
     "known(path, kind, ord)": values((n, k, i) for i, (n, k) in enumerate(MANIFESTS.items())),
     "manifests": "SELECT DISTINCT repo, CAST(-1 AS BIGINT) AS file_ord, CAST(-1 AS BIGINT) AS part_ord, CAST(ord AS BIGINT) AS rule_ord, "
@@ -347,7 +346,7 @@ oracle("c6_checklists", {**FOUND, **CHECKLIST}, "SELECT repo, framework, section
 oracle("c7_rule_metadata", {**FOUND, **listed_ctes("found"), **sarif_rule_ctes("scanner <> 'cis'")}, "SELECT * FROM described")
 PACKED = {
     **HITS,
-    "sized": f"SELECT repo, path, file_ord, {TOKENS} AS token_count, {TOKENS} <= {MAX_FILE_TOKENS} AS analyzed, "
+    "sized": f"SELECT repo, path, file_ord, {TOKENS} AS token_count, {TOKENS} <= 8000 AS analyzed, "
              "(repo, path) NOT IN (SELECT repo, file FROM hits) AS late FROM files",
     "early": "SELECT *, sum(token_count) OVER (PARTITION BY repo ORDER BY token_count, file_ord) AS total FROM sized WHERE analyzed AND NOT late",
     "spent": "SELECT repo, sum(token_count) AS used FROM early WHERE total <= 9000 GROUP BY repo",
@@ -357,10 +356,10 @@ PACKED = {
 }
 oracle("c9_bundle_findings", {**PACKED, **MODEL_ROWS}, "SELECT repo, file, line, description, severity FROM model WHERE (repo, file) IN (SELECT repo, path FROM chosen)")
 oracle("c10_manifests", {**TREE, **MANIFEST_ROWS}, "SELECT repo, file, severity, description, recommendation FROM manifests")
-KEY = "sha256(concat_ws(chr(0), 'v1', 'provider', 'model', '4096', 'Be brief.', substring(text, 1, 40)))"
+KEY = "sha256(concat_ws(chr(0), 'v1', 'provider', 'model', '4096', 'Be brief.', text))"
 LOOKUP = {
-    "keyed": f"SELECT source AS repo, CAST(doc_id AS VARCHAR) AS path, substring(text, 1, 40) AS user_prompt, {KEY} AS key FROM documents",
-    "cache": f"SELECT {KEY} AS key, max(ts + INTERVAL 2 DAY) AS expires_at FROM documents JOIN events ON event_id = doc_id WHERE doc_id % 3 > 0 GROUP BY 1",
+    "keyed": f"SELECT source AS repo, CAST(doc_id AS VARCHAR) AS path, text AS user_prompt, {KEY} AS key FROM documents",
+    "cache": f"SELECT {KEY} AS key, max(ts + INTERVAL 2 DAY) AS expires_at FROM documents JOIN events ON event_id = doc_id GROUP BY 1",
     "looked": "SELECT k.key, min(user_prompt) AS user_prompt, count(*) AS uses, CASE WHEN max(expires_at) >= TIMESTAMP '2024-01-04 00:00:00' THEN 'hit' "
               "WHEN max(expires_at) IS NOT NULL THEN 'expired' ELSE 'absent' END AS outcome FROM keyed k LEFT JOIN cache c ON c.key = k.key GROUP BY k.key",
     "answered": "SELECT *, CASE WHEN outcome = 'hit' THEN 'answer ' || key END AS response FROM looked",
@@ -377,7 +376,7 @@ oracle("d2_risk_score_with_suggestion", {
 }, f"SELECT repo, issues, risk_score, {BAND} AS risk_band, {SENTENCE.format(lit('Analysis'))} AS assessment FROM scored")
 oracle("d3_checklist_totals", {**FOUND, **CHECKLIST}, "SELECT framework, section, status, count(*) AS repos, CAST(sum(findings_count) AS BIGINT) AS findings FROM checklist GROUP BY ALL")
 oracle("d4_assessment", {**FOUND, **counts_ctes("found")}, f"SELECT repo, critical, high, medium, low, info, {STATIC_SENTENCE} AS assessment FROM counts")
-GATED = f"count(*) FILTER ({TOKENS} <= {MAX_FILE_TOKENS}) AS total_files_analyzed, count(*) FILTER ({TOKENS} > {MAX_FILE_TOKENS}) AS total_files_skipped"
+GATED = f"count(*) FILTER ({TOKENS} <= 8000) AS total_files_analyzed, count(*) FILTER ({TOKENS} > 8000) AS total_files_skipped"
 oracle("d5_file_counts", FILES, f"SELECT repo, {GATED} FROM files GROUP BY repo")
 oracle("d6_framework_summary", {**FOUND, **CHECKLIST}, "SELECT repo, framework, count(*) FILTER (status = 'fail') AS sections_failing, count(*) AS sections_total, "
        "CAST(sum(findings_count) AS BIGINT) AS findings, CASE WHEN count(*) FILTER (status = 'fail') > 0 THEN 'At Risk' ELSE 'No Issues Found' END AS compliance_status "
@@ -545,7 +544,7 @@ oracle("l3_bundle_prompts", {
 READ = f"CASE file_ord % 6 WHEN 3 THEN {lit(UNREADABLE['file'])} WHEN 5 THEN '' ELSE 'Read.' END"
 oracle("l4_project_prompts", {
     **KEPT,
-    "sums": f"SELECT repo, path, language, file_ord, {READ} AS summary, (SELECT count(*) FROM kept k WHERE k.repo = f.repo AND k.file = f.path) AS n FROM files f WHERE {TOKENS} <= {MAX_FILE_TOKENS}",
+    "sums": f"SELECT repo, path, language, file_ord, {READ} AS summary, (SELECT count(*) FROM kept k WHERE k.repo = f.repo AND k.file = f.path) AS n FROM files f WHERE {TOKENS} <= 8000",
     "part1": "SELECT repo, string_agg('### ' || path || ' (' || language || ')' || chr(10) || 'Summary: ' || summary || chr(10) || 'Issues found: ' || n || chr(10) || chr(10), '' ORDER BY file_ord) AS t "
              "FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY file_ord) AS k FROM sums) WHERE k <= 30 GROUP BY repo",
     "tops": "SELECT *, row_number() OVER (PARTITION BY repo ORDER BY severity, category, file_ord, part_ord, rule_ord, line) AS k FROM kept WHERE severity IN ('critical', 'high')",

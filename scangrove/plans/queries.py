@@ -63,9 +63,8 @@ def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def project_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Project-level issues: the notes of every tenth model review, lifted to the project."""
-    lifted = model_findings(spark, sf_dir).where("line < 4")
-    return lifted.withColumn("file", F.lit("project-wide")).withColumn("line", F.lit(None).cast("int"))
+    """Project-level issues: the notes of all model reviews, lifted to the project."""
+    return model_findings(spark, sf_dir).withColumn("file", F.lit("project-wide")).withColumn("line", F.lit(None).cast("int"))
 
 
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,16 +286,16 @@ def _(spark, sf):
 
 
 def keyed(spark, sf):
-    """Prompts about documents; the opening of a text is the whole prompt, so that some are equal."""
+    """Prompts that are whole documents, some of them equal."""
     docs = corpus.table(spark, sf, "documents").select(
-        F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.substring("text", 1, 40).alias("user_prompt"))
+        F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("user_prompt"))
     return prompts.with_keys(docs, "provider", "model", "Be brief.", 4096)
 
 
 def stored_responses(spark, sf):
     """Cached responses to the documents with an event of the same number; they expire at the event's time plus two days."""
-    docs = corpus.table(spark, sf, "documents").select(F.col("doc_id").alias("event_id"), F.substring("text", 1, 40).alias("user_prompt"))
-    cached = prompts.with_keys(docs, "provider", "model", "Be brief.", 4096).where("event_id % 3 > 0")
+    docs = corpus.table(spark, sf, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("user_prompt"))
+    cached = prompts.with_keys(docs, "provider", "model", "Be brief.", 4096)
     return cached.join(corpus.table(spark, sf, "events").select("event_id", "ts"), "event_id").groupBy("key").agg(
         F.max(F.col("ts") + F.expr("INTERVAL 2 DAYS")).cast("timestamp").alias("expires_at"),
     ).select("key", "expires_at", F.concat(F.lit("answer "), "key").alias("response"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -35,15 +36,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named, as in local tests."""
+    """The shared folder that the session names in spark.checkpoint.dir; for a local session that names none, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="scangrove-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir, when the session starts, to a folder that all executors share")
+    return _temporary()
+
+
+@functools.cache
+def _temporary() -> str:
+    return tempfile.mkdtemp(prefix="scangrove-")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

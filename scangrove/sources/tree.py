@@ -37,9 +37,6 @@ SKIPPED_DIRS = [
     "node_modules", "venv", ".venv", "env", "__pycache__", "dist", "build", ".git", ".github", ".vscode", ".idea",
     "target", "vendor", "coverage", "htmlcov", ".tox", ".pytest_cache", ".mypy_cache",
 ]
-MAX_FILE_KB = 500
-MAX_FILES = 100
-MAX_CHARS = 50_000
 
 
 def file_name(path: Column) -> Column:
@@ -91,13 +88,14 @@ def decode(data: Column) -> Column:
     return F.when(F.is_valid_utf8(raw), raw).otherwise(cleaned)
 
 
-def read_text(text: Column, max_chars: int = MAX_CHARS) -> Column:
-    """Text as a scan reads it: unified line ends, then the leading ``max_chars`` characters."""
-    return F.substring(normalise_newlines(text), 1, max_chars)
+def read_text(text: Column, max_chars: int | None = None) -> Column:
+    """Text as a scan reads it: unified line ends, then, if asked for, the leading ``max_chars`` characters only."""
+    whole = normalise_newlines(text)
+    return whole if max_chars is None else F.substring(whole, 1, max_chars)
 
 
 def source_files(
-    tree: DataFrame, max_file_kb: int = MAX_FILE_KB, include_hidden: bool = False, ignore_lines: DataFrame | None = None,
+    tree: DataFrame, max_file_kb: int | None = None, include_hidden: bool = False, ignore_lines: DataFrame | None = None,
 ) -> DataFrame:
     """The files of a tree that are analysed, with their language.
 
@@ -110,13 +108,17 @@ def source_files(
     return kept.withColumn("language", detect_language(F.col("path"))).select(*FILES.fieldNames())
 
 
-def _is_source(max_file_kb: int, include_hidden: bool) -> Column:
+def _within(max_file_kb: int | None) -> Column:
+    return F.lit(True) if max_file_kb is None else F.col("size_bytes") <= max_file_kb * 1024
+
+
+def _is_source(max_file_kb: int | None, include_hidden: bool) -> Column:
     path = F.col("path")
-    keep = ~in_skipped_dir(path, include_hidden) & is_code_file(path) & (F.col("size_bytes") <= max_file_kb * 1024)
+    keep = ~in_skipped_dir(path, include_hidden) & is_code_file(path) & _within(max_file_kb)
     return keep if include_hidden else keep & ~file_name(path).startswith(".")
 
 
-def cap_files(files: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
+def cap_files(files: DataFrame, max_files: int) -> DataFrame:
     """At most ``max_files`` files of each repository, in path order."""
     return first_n_per_group(files, ["repo"], ["path"], max_files, ["path"])
 
@@ -168,28 +170,28 @@ def list_tree(spark: SparkSession, root: str, many: bool = False, include_hidden
     return listed.select("repo", _path_order(), "path", "size_bytes", "full")
 
 
-def read_listed(listed: DataFrame, max_file_kb: int = MAX_FILE_KB) -> DataFrame:
+def read_listed(listed: DataFrame, max_file_kb: int | None = None) -> DataFrame:
     """The listed files with their text; files above the size limit are kept but not read.
 
     The list is spread evenly over the tasks that read, so a large repository
     is no hot spot.
     """
     spread_out = listed.repartition(listed.sparkSession.sparkContext.defaultParallelism)
-    small = F.col("size_bytes") <= max_file_kb * 1024
+    small = _within(max_file_kb)
     fields = "repo string, file_ord bigint, path string, size_bytes bigint, data binary"
     read = spread_out.where(small).mapInPandas(_read_files, fields).withColumn("content", read_text(decode(F.col("data")))).drop("data")
     return read.unionByName(spread_out.where(~small).drop("full").withColumn("content", F.lit("")))
 
 
 def read_tree(
-    spark: SparkSession, root: str, many: bool = False, max_file_kb: int = MAX_FILE_KB, include_hidden: bool = False,
+    spark: SparkSession, root: str, many: bool = False, max_file_kb: int | None = None, include_hidden: bool = False,
 ) -> DataFrame:
     """All files under a folder as a tree table (A1)."""
     return read_listed(list_tree(spark, root, many, include_hidden), max_file_kb)
 
 
 def read_source_files(
-    spark: SparkSession, root: str, many: bool = False, max_file_kb: int = MAX_FILE_KB, include_hidden: bool = False,
+    spark: SparkSession, root: str, many: bool = False, max_file_kb: int | None = None, include_hidden: bool = False,
     max_files: int | None = None,
 ) -> DataFrame:
     """The analysed files under a folder, chosen on the listing alone; no other file is read.

@@ -52,7 +52,7 @@ def test_decoding_as_python(spark):
 def test_reading_text(spark):
     text = "a\r\nb\rc\n" + "x" * 60_000
     got = spark.range(1).select(tree.read_text(F.lit(text)).alias("t")).first().t
-    assert got == text.replace("\r\n", "\n").replace("\r", "\n")[:50_000]
+    assert got == text.replace("\r\n", "\n").replace("\r", "\n")
 
 
 @pytest.fixture(scope="module")

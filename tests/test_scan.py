@@ -147,14 +147,15 @@ def test_first_match_of_whole_file_rules_after_wide_characters(make_files):
     assert scanned(scan_rules(files)) == {"a.py": {("soc2-006", 3)}}
 
 
-def test_oversized_files_are_reported_but_not_scanned(make_files):
+def test_large_files_are_reported_and_scanned_whole(make_files):
     files = make_files([("big.py", "Python", "x = 1\n" * 10_000 + "cvv = '123'"), ("ok.py", "Python", "y")])
     rows = {r.path: r for r in token_gate(files).collect()}
     assert not rows["big.py"].analyzed and rows["ok.py"].analyzed and rows["ok.py"].skip_reason is None
     n = rows["big.py"].token_count
     assert rows["big.py"].skip_reason == f"File too large ({n} estimated tokens > 8000 limit)"
     assert token_gate(files, bundle=True).where("not analyzed").first().skip_reason == f"File too large ({n} tokens)"
-    assert scan_rules(files).count() == 0
+    assert scanned(scan_rules(files)) == {"big.py": {("pci-001", 10_001)}}
+    assert scan_rules(files, max_tokens=8_000).count() == 0
 
 
 def test_manifests(make_files):

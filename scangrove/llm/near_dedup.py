@@ -6,8 +6,9 @@ on full sets.  A bucket never emits all its pairs: first every member meets the
 different components meet, the minority of a bucket against the rest, in cells of bounded size from which only links come out.  What is
 left out can't change a component.
 
-Nulls: a null or empty text has no shingles and no links; a row with a null id is kept and has no component.  Rows that share an id are
-one document, kept or left out together.  Repeated rows give repeated result rows.  An empty table gives an empty result.
+Nulls: a null or empty text has no shingles and no links; a row with a null id is kept and has no component.  Rows that share an id should share the text:
+with different texts each row gets the component of its own text, and ``without_near_duplicates`` drops all of them if one is a copy.
+Repeated rows give repeated result rows.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

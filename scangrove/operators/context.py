@@ -27,28 +27,39 @@ def _tokens(chars) -> Column:
 
 def excerpt(content: Column, name: Column, lines: int) -> Column:
     """The first lines of a file, with a note where it was cut (K6)."""
-    return _excerpt(F.split(F.regexp_replace(content, "\\n\\z", ""), "\n"), name, lines)
+    whole = _lines(content)
+    return _excerpt(whole, F.size(whole), name, lines)
 
 
-def _excerpt(whole: Column, name: Column, lines: int) -> Column:
+def _lines(content: Column) -> Column:
+    return F.split(F.regexp_replace(content, "\\n\\z", ""), "\n")
+
+
+def _excerpt(first: Column, n_lines: Column, name: Column, lines: int) -> Column:
     note = F.concat(F.lit(f"\n... [truncated at {lines} of "), name, F.lit("]"))
-    head = F.array_join(F.slice(whole, 1, lines), "\n")
-    return F.when(F.size(whole) > lines, F.concat(head, note)).otherwise(head)
+    head = F.array_join(F.slice(first, 1, lines), "\n")
+    return F.when(n_lines > lines, F.concat(head, note)).otherwise(head)
 
 
-def context_choices(resolved: DataFrame, files: DataFrame, max_tokens: int = CONTEXT_TOKENS) -> DataFrame:
+def file_heads(files: DataFrame) -> DataFrame:
+    """What an import of a file may show: target_path, name, the first lines, how many lines there are, lengths of both excerpts.
+
+    Empty files have no row.  Store it: it is the only read of the contents that context blocks need, and only its lines are shuffled.
+    """
+    shown = files.where(~F.col("content").isin("", "\n")).select(
+        "repo", F.col("path").alias("target_path"), file_name(F.col("path")).alias("name"), _lines(F.col("content")).alias("_all"),
+    ).select("repo", "target_path", "name", F.slice("_all", 1, LONG_EXCERPT).alias("head"), F.size("_all").alias("n_lines"))
+    sizes = [F.length(_excerpt(F.col("head"), F.col("n_lines"), F.col("name"), n)).alias(kind)
+             for kind, n in (("long", LONG_EXCERPT), ("short", SHORT_EXCERPT))]
+    return shown.select("*", *sizes)
+
+
+def context_choices(resolved: DataFrame, heads: DataFrame, max_tokens: int = CONTEXT_TOKENS) -> DataFrame:
     """Which imports of each file get a long or a short excerpt (the decisions of K7).
 
-    Taken on lengths alone; no text is moved for imports that do not fit.
+    Taken on the lengths in ``heads`` alone; no text is moved for imports that do not fit.
     """
-    name = file_name(F.col("path"))
-    lines = F.split(F.regexp_replace("content", "\\n\\z", ""), "\n")
-    lengths = stored(
-        files.where(~F.col("content").isin("", "\n")).select("repo", F.col("path").alias("target_path"), name.alias("_name"), lines.alias("_lines"))
-        .select("repo", "target_path", *[F.length(_excerpt(F.col("_lines"), F.col("_name"), n)).alias(kind)
-                                         for kind, n in (("long", LONG_EXCERPT), ("short", SHORT_EXCERPT))]),
-        "excerpt-lengths",
-    )
+    lengths = heads.select("repo", "target_path", "long", "short")
     # A target counts where it is imported first; an empty one is passed over.
     edges = resolved.where(F.col("target_path").isNotNull()).groupBy("repo", "path", "target_path").agg(
         F.min(F.struct("spec_ord", "spec")).alias("e"),
@@ -88,12 +99,13 @@ def context_blocks(resolved: DataFrame, files: DataFrame, max_tokens: int = CONT
     everyone = files.select("repo", "path")
     if max_tokens <= 0:
         return everyone.withColumn("context", F.lit(""))
-    texts = files.select("repo", F.col("path").alias("target_path"), "content")
-    choices = stored(context_choices(resolved, files, max_tokens), "context-choices")
+    heads = stored(file_heads(files), "file-heads")
+    choices = stored(context_choices(resolved, heads, max_tokens), "context-choices")
+    texts = heads.select("repo", "target_path", "name", "head", "n_lines").join(choices.select("repo", "target_path").distinct(), ["repo", "target_path"], "left_semi")
     chosen = skew_join(choices, texts, ["repo", "target_path"], "inner", ["path"])
-    name = file_name(F.col("target_path"))
-    text = F.when(F.col("lines") == LONG_EXCERPT, excerpt(F.col("content"), name, LONG_EXCERPT)).otherwise(
-        excerpt(F.col("content"), name, SHORT_EXCERPT),
+    name = F.col("name")
+    text = F.when(F.col("lines") == LONG_EXCERPT, _excerpt(F.col("head"), F.col("n_lines"), name, LONG_EXCERPT)).otherwise(
+        _excerpt(F.col("head"), F.col("n_lines"), name, SHORT_EXCERPT),
     )
     section = F.concat(F.lit("### `"), "spec", F.lit("` (from `"), name, F.lit("`)\n\n```\n"), text, F.lit("\n```\n\n"))
     blocks = (

@@ -10,14 +10,27 @@ from ..schemas import MARKS
 
 
 def load_marks(spark: SparkSession, path: str | None) -> DataFrame:
-    """The mark table; an absent path or unreadable rows give no marks (A10)."""
-    empty = spark.createDataFrame([], MARKS)
-    if path is None:
-        return empty
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return empty
-    return spark.read.schema(MARKS).option("mode", "DROPMALFORMED").json(path).where(F.col("file_path").isNotNull())
+    """The mark table, a JSON object a line; an absent path or unreadable rows give no marks (A10)."""
+    return _read(spark, path).where("problem IS NULL").select("mark.*").select(*MARKS.fieldNames())
+
+
+def unread_marks(spark: SparkSession, path: str | None) -> DataFrame:
+    """The lines that ``load_marks`` leaves out, each with the reason."""
+    return _read(spark, path).where("problem IS NOT NULL").select("value", "problem")
+
+
+def _read(spark: SparkSession, path: str | None) -> DataFrame:
+    """Lines of a mark file as value, mark and problem."""
+    target = path and spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target and target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        lines = spark.read.text(path).where("trim(value) <> ''")
+    else:
+        lines = spark.createDataFrame([], "value string")
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in MARKS)
+    read = lines.select("value", F.from_json("value", f"{shape}, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("mark"))
+    problem = F.when(F.col("mark").isNull() | F.col("mark._broken").isNotNull(), "unreadable").when(
+        F.col("mark.file_path").isNull(), "file_path is required")
+    return read.withColumn("problem", problem)
 
 
 def suppress(findings: DataFrame, marks: DataFrame) -> DataFrame:

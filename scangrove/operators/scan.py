@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import MANIFEST_ADVICE, MANIFESTS, SCANNERS, Rule, active, builtin_rules, collect_rules
 from ..functions.regexes import any_of, folded, jvm_pattern, required_literals
-from ..functions.text import SNIPPET_CHARS, estimate_tokens, is_comment, split_lines, strip
+from ..functions.text import SNIPPET_CHARS, count_lines, estimate_tokens, is_comment, split_lines, strip
 from ..schemas import FINDINGS
 from ..session import local_table
 
@@ -27,8 +27,8 @@ _BITS = 62
 
 
 def token_gate(files: DataFrame, limit: int = MAX_FILE_TOKENS, bundle: bool = False) -> DataFrame:
-    """Add token_count, analyzed and skip_reason."""
-    tokens = estimate_tokens(F.col("content"))
+    """Add token_count, analyzed and skip_reason (B9); takes files with their content, or with a token_count counted before."""
+    tokens = F.col("token_count") if "token_count" in files.columns else estimate_tokens(F.col("content"))
     head, tail = ("", " tokens)") if bundle else ("", f" estimated tokens > {limit} limit)")
     reason = F.concat(F.lit(f"File too large ({head}"), F.col("token_count").cast("string"), F.lit(tail))
     return (
@@ -109,8 +109,13 @@ def _bit(i: int) -> str:
     return f"(_m{i // _BITS} & {1 << (i % _BITS)}L) != 0"
 
 
-def _matched(rules: Sequence[Rule]) -> Column:
-    """The indexes of the rules that match this row's text, one row each.
+#: Stands for a rule in the row that a file gets for its own facts.
+_FILE = -1
+FACTS = ["language", "size_bytes", "token_count", "line_count"]
+
+
+def _matched(rules: Sequence[Rule], facts: bool = False) -> Column:
+    """The indexes of the rules that match this row's text, one row each; with ``facts`` one more in the leading row of a file.
 
     The array is built inside ``explode``: as a column of its own it would be
     evaluated a second time by the filter Spark derives for non-empty arrays.
@@ -120,6 +125,8 @@ def _matched(rules: Sequence[Rule]) -> Column:
         f"AND text RLIKE {_quoted(jvm_pattern(r.pattern, r.multiline))} THEN {i} END"
         for i, r in enumerate(rules)
     ]
+    if facts:
+        tests.append(f"CASE WHEN line = 0 THEN {_FILE} END")
     return F.expr(f"explode(array_compact(array({', '.join(tests)})))")
 
 
@@ -143,31 +150,61 @@ def scan_rules(
     files: DataFrame,
     rules: DataFrame | Sequence[Rule] | None = None,
     max_tokens: int | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """All rule hits in a table of files, as findings.
 
     ``files`` may be a batch or a streaming DataFrame.  Whole texts of all files are scanned; ``max_tokens`` leaves out larger files.
+    ``carry`` names columns of the files that each of their findings gets too.
     """
+    return _scan(files, rules, max_tokens, list(carry), False).select(*FINDINGS.fieldNames(), *carry)
+
+
+def scan_files(files: DataFrame, rules: DataFrame | Sequence[Rule] | None = None) -> DataFrame:
+    """Hits and file facts from one read of the texts, as one table to store; ``hits_of`` and ``facts_of`` take it apart."""
+    counted = files.withColumns({"token_count": estimate_tokens(F.col("content")), "line_count": count_lines(F.col("content"))})
+    return _scan(counted, rules, None, FACTS, True).select("is_file", *FINDINGS.fieldNames(), *FACTS)
+
+
+def hits_of(scanned: DataFrame) -> DataFrame:
+    return scanned.where("NOT is_file").select(*FINDINGS.fieldNames())
+
+
+def facts_of(scanned: DataFrame) -> DataFrame:
+    """repo, file_ord, path, language, size_bytes, token_count and line_count of each scanned file."""
+    return scanned.where("is_file").select("repo", "file_ord", F.col("file").alias("path"), *FACTS)
+
+
+META = (
+    "_rule int, part_ord int, rule_ord bigint, severity string, description string, recommendation string, "
+    "source string, rule_id string, hipaa_reference string, compliance_ref string"
+)
+
+
+def _scan(files: DataFrame, rules: DataFrame | Sequence[Rule] | None, max_tokens: int | None, carry: list[str], facts: bool) -> DataFrame:
     catalog = scannable(resolve_rules(rules))
     spark = files.sparkSession
-    if not catalog:
-        return files.limit(0).selectExpr(*[f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in FINDINGS])
-    source = files.select("repo", "file_ord", "path", "language", "content")
+    if not catalog and not facts:
+        return files.limit(0).selectExpr(*[f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in FINDINGS], *carry)
+    source = files.select(*dict.fromkeys(["repo", "file_ord", "path", "language", "content", *carry]))
     if max_tokens is not None:
         source = source.where(estimate_tokens(F.col("content")) <= max_tokens)
     source = candidate_files(source, catalog)
     masks = [c for c in source.columns if c.startswith("_m")]
+    kept = ["repo", "file_ord", "path", *carry]
 
     whole_rules = [i for i, r in enumerate(catalog) if r.multiline]
     wants_whole = F.expr(" OR ".join(["false", *map(_bit, whole_rules)]))
-    texts = F.concat(F.array(F.when(wants_whole, F.col("content"))), split_lines(F.col("content")))
+    whole = F.when(wants_whole, F.col("content"))
+    lines = F.coalesce(split_lines(F.col("content")), F.array().cast("array<string>")) if facts else split_lines(F.col("content"))
+    texts = F.concat(F.array(F.coalesce(whole, F.lit("")) if facts else whole), lines)
     rows = (
-        source.select("repo", "file_ord", "path", *masks, F.posexplode(texts).alias("line", "text"))
+        source.select(*kept, *masks, F.posexplode(texts).alias("line", "text"))
         .where(F.col("text").isNotNull() & ((F.col("line") == 0) | ~is_comment(F.col("text"))))
-        .select("repo", "file_ord", "path", "line", "text", _matched(catalog).alias("_rule"))
+        .select(*kept, "line", "text", _matched(catalog, facts).alias("_rule"))
     )
     hits = rows.select(
-        "repo", "file_ord", "path", "_rule", _match_line(catalog).alias("line"),
+        *kept, "_rule", _match_line(catalog).alias("line"),
         F.when(F.col("line") > 0, F.substring(strip(F.col("text")), 1, SNIPPET_CHARS)).alias("code_snippet"),
     )
     meta = local_table(
@@ -177,14 +214,13 @@ def scan_rules(
              r.compliance_ref if r.scanner == "hipaa" else None, r.compliance_ref)
             for i, r in enumerate(catalog)
         ],
-        "_rule int, part_ord int, rule_ord bigint, severity string, description string, recommendation string, "
-        "source string, rule_id string, hipaa_reference string, compliance_ref string",
-    )
+        META,
+    ) if catalog else local_table(spark, [(None,) * 10], META)
     return (
-        hits.join(F.broadcast(meta), "_rule")
+        hits.join(F.broadcast(meta), "_rule", "left" if facts else "inner")
         .withColumn("category", F.lit("security"))
+        .withColumn("is_file", F.col("_rule") == _FILE)
         .withColumnRenamed("path", "file")
-        .select(*FINDINGS.fieldNames())
     )
 
 

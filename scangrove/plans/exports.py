@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import severity_rank
@@ -19,6 +19,7 @@ from ..operators.findings import FILE_LIST, report_multiset
 from ..operators.ordering import running_number
 from ..operators.score import at_least
 from ..schemas import REPORT_ORDER
+from ..session import stored
 from ..sources.tree import language_breakdown
 
 TOOL, TOOL_VERSION = "scangrove", "1.0.0"
@@ -87,10 +88,10 @@ def _section(df: DataFrame, section: int, text: Column, pos: Column | None = Non
     return df.select("repo", F.lit(section).alias("section"), (F.lit(0) if pos is None else pos).cast("bigint").alias("pos"), text.alias("text"))
 
 
-def sarif_document(identified: DataFrame, rules: DataFrame, header: DataFrame) -> DataFrame:
+def sarif_document(identified: DataFrame, rules: DataFrame, header: DataFrame, information_uri: str | None = None) -> DataFrame:
     """The pieces of one SARIF document per repository.
 
-    ``header`` has repo, source_type, analysis_mode, total_files_analyzed.
+    ``header`` has repo, source_type, analysis_mode, total_files_analyzed.  ``information_uri`` is the tool's address, if it shall have one.
     """
     def struct(**fields: Column) -> Column:
         return F.struct(*[c.alias(n) for n, c in fields.items()])
@@ -99,7 +100,7 @@ def sarif_document(identified: DataFrame, rules: DataFrame, header: DataFrame) -
         return struct(text=F.col(c))
 
     # Rule descriptors without a catalog entry number as many as such issues, so they get positions like results do.
-    entries = sarif_rules(identified, rules).select("*", "at.*")
+    entries = stored(sarif_rules(identified, rules).select("*", "at.*"), "sarif-rules")
     rule_json = F.to_json(struct(
         id=F.col("id"), name=F.col("name"), shortDescription=text("short"), fullDescription=text("full"),
         help=struct(text=F.col("help"), markdown=F.col("help")), defaultConfiguration=struct(level=F.col("level")),
@@ -118,7 +119,7 @@ def sarif_document(identified: DataFrame, rules: DataFrame, header: DataFrame) -
         return running_number(df.withColumn("_f", F.coalesce("file_ord", F.lit(-1))), ["repo"], ["place"], "_f", [*REPORT_ORDER[1:], df.columns[1]], "pos")
 
     comma = F.when(F.col("pos") > 0, ",").otherwise("")
-    driver = F.to_json(struct(name=F.lit(TOOL), version=F.lit(TOOL_VERSION)))
+    driver = F.to_json(struct(name=F.lit(TOOL), version=F.lit(TOOL_VERSION), informationUri=F.lit(information_uri).cast("string")))
     opening = F.concat(
         F.lit(f'{{"$schema":"{SARIF_SCHEMA}","version":"{SARIF_VERSION}","runs":[{{"tool":{{"driver":'),
         F.expr("substring(d, 1, length(d) - 1)"), F.lit(',"rules":['),
@@ -183,10 +184,10 @@ def markdown_report(
         F.lit("/100  \n**Generated:** "), stamp, F.lit("\n\n## Executive Summary\n\n"), "assessment",
         F.lit("\n\n## Language Breakdown\n\n| Language | Files | Lines |\n|----------|-------|-------|"),
     )
-    languages = language_breakdown(files)
-    row = F.concat(F.lit("| "), "language", F.lit(" | "), F.col("file_count").cast("string"), F.lit(" | "), F.col("line_count").cast("string"), F.lit(" |"))
     # Few languages per repository; their order is by files, then first seen.
-    place = (F.lit(1 << 40) - F.col("file_count")) * (1 << 20) + F.pmod(F.col("first_seen"), F.lit(1 << 20))
+    order = Window.partitionBy("repo").orderBy(F.desc("file_count"), "first_seen", "language")
+    languages = language_breakdown(files).withColumn("rank", F.row_number().over(order) - 1)
+    row = F.concat(F.lit("| "), "language", F.lit(" | "), F.col("file_count").cast("string"), F.lit(" | "), F.col("line_count").cast("string"), F.lit(" |"))
     shown = report_multiset(findings, project).where(F.col("place") >= FILE_LIST).withColumn("_s", -severity_rank(F.col("severity")))
     issues = running_number(shown.withColumn("_f", F.coalesce("file_ord", F.lit(-1))), ["repo"], ["_s", "place"], "_f", REPORT_ORDER[1:], "pos")
     block = F.concat(
@@ -195,7 +196,7 @@ def markdown_report(
     )
     return _lines(
         _section(report, 0, title),
-        _section(languages, 1, row, place),
+        _section(languages, 1, row, F.col("rank")),
         _section(report, 2, F.lit("\n## Issues\n")),
         _section(issues, 3, block, F.col("pos")),
     )

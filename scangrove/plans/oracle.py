@@ -296,12 +296,20 @@ def subset(*scanners: str, kind: str | None = None) -> list[Rule]:
 
 
 # ---------------------------------------------------------------- sources
+_F1 = has("path", r"(^|/)f1[^/]\.py(/|$)")
+_MD, _BACK = has("path", r"(^|/)[^/]*\.md(/|$)"), has("path", r"^src/1/[^/]*\.md(/|$)")
+oracle("a2_ignore_lines", FILES, f"SELECT repo, file_ord, path FROM files WHERE NOT ({_F1} "
+       f"OR {has('path', '^src/3/.')} OR ({_MD} AND NOT {_BACK}))")
 oracle("a3_directory_pruning", TREE, f"SELECT repo, file_ord, path FROM tree WHERE NOT {SKIPPED}")
 oracle("a4_code_files", TREE, f"SELECT repo, path FROM tree WHERE {IS_CODE}")
 oracle("a5_language_detection", TREE, f"SELECT repo, path, {LANGUAGE} AS language FROM tree")
 oracle("a6_size_filter", FILES, "SELECT repo, path, language, size_bytes FROM files WHERE size_bytes <= 2048")
 oracle("a7_file_cap", FILES, "SELECT repo, path FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) AS n FROM files) WHERE n <= 20")
 oracle("a8_read_text", {}, f"SELECT page_id, length({read_text('html')}) AS chars, md5({read_text('html')}) AS digest FROM pages")
+DECODED = "text || chr(64976) || chr(64978) || chr(65533) || 'z'"
+oracle("a8_decoded_bytes", {}, f"SELECT doc_id, length({read_text(DECODED)}) AS chars, md5({read_text(DECODED)}) AS digest FROM documents")
+oracle("a10_loaded_marks", MARKS, "SELECT id, repo, file_path, rule_id, description_hash, reason, marked_by FROM marks WHERE marked_at % 5 <> 4")
+oracle("a10_unread_marks", MARKS, "SELECT 'unreadable' AS problem, count(*) AS marks FROM marks WHERE marked_at % 5 = 4 HAVING count(*) > 0")
 oracle("a11_repo_references", {
     "s": "SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'https://github.com/owner' || page_id || '/repo' || page_id || '.git' "
          "WHEN 2 THEN 'https://github.com/owner' || page_id || '/repo' || page_id || '/tree/main' "
@@ -437,6 +445,19 @@ oracle("h10_locations", FOUND, "SELECT repo, file || CASE WHEN coalesce(line, 0)
 oracle("i2_patched_catalog_scan", HITS, "SELECT rule_id, CASE rule_id WHEN 'pci-004' THEN 'low' WHEN 'cis-020' THEN 'info' ELSE severity END AS severity, count(*) AS n FROM hits "
        "WHERE rule_id <> 'owasp-005' GROUP BY ALL")
 oracle("i4_disabled_catalog_scan", {**FILES, **scan_ctes("files", [r for r in RULES if r.id in ("pci-000", "sec-secret-001")])}, f"SELECT {HIT} FROM hits")
+def custom(ident: str, pattern: str, severity: str, description: str) -> Rule:
+    return Rule(900, ident, "Own", pattern, severity, description, "none", "*", "cis", "compliance", None)
+
+
+oracle("i1_added_rule_scan", {**FILES, **scan_ctes("files", subset("pci") + [custom("word-des", "(?i)des", "info", "the word")])},
+       "SELECT repo, file, line, severity, description FROM hits")
+oracle("i3_deleted_rule_scan", {**FILES, **scan_ctes("files", subset("pci") + [custom("word-key", "(?i)key", "low", "the key")])}, f"SELECT {HIT} FROM hits")
+oracle("i5_catalog_lint", {"n": "SELECT *, 'n-' || (n_nationkey % 20) AS id, n_nationkey AS k FROM nation"},
+       "SELECT id, 'blank name' AS problem FROM n WHERE k % 7 = 3 UNION ALL SELECT id, 'blank pattern' FROM n WHERE k % 4 = 2 "
+       "UNION ALL SELECT id, 'blank description' FROM n WHERE k % 11 = 5 UNION ALL SELECT id, 'blank recommendation' FROM n WHERE k % 9 = 1 "
+       f"UNION ALL SELECT id, 'unknown severity' FROM n WHERE k % {len(SEVERITIES) + 1} = {len(SEVERITIES)} UNION ALL SELECT id, 'unknown scanner' FROM n WHERE k % 3 = 2 "
+       "UNION ALL SELECT id, 'invalid regex' FROM n WHERE k % 4 = 0 UNION ALL SELECT id, 'id is not unique' FROM n GROUP BY id HAVING count(*) > 1")
+oracle("i9_cleared_marks", HITS, f"SELECT {HIT} FROM hits")
 oracle("i6_added_marks", MARKS, "SELECT id, repo, file_path, rule_id, description_hash FROM marks UNION ALL SELECT 'new-' || id, repo, file_path, 'cis-020', description_hash FROM marks WHERE rule_id = 'pci-004'")
 oracle("i6_invalid_marks", MARKS, "SELECT id, 'exactly one of rule_id and description_hash must be set' AS problem FROM marks WHERE description_hash IS NOT NULL")
 TOXIC = "SELECT 'mark-' || doc_id FROM labels WHERE toxic = 1"
@@ -466,7 +487,7 @@ oracle("j6_markdown_report", {
 }, f"SELECT repo, CAST(0 AS BIGINT) AS section, CAST(0 AS BIGINT) AS pos, '# Assessment Report' || chr(10) || chr(10) || '**Repository:** `' || repo || '`  ' || chr(10) || '**Risk Score:** ' || risk_score || '/100  ' || chr(10) "
    f"|| '**Generated:** 2024-01-01T00:00:00' || chr(10) || chr(10) || '## Executive Summary' || chr(10) || chr(10) || {STATIC_SENTENCE} || chr(10) || chr(10) || '## Language Breakdown' || chr(10) || chr(10) "
    "|| '| Language | Files | Lines |' || chr(10) || '|----------|-------|-------|' AS text FROM scored "
-   f"UNION ALL SELECT repo, 1, ({1 << 40} - file_count) * {1 << 20} + first_seen % {1 << 20}, '| ' || language || ' | ' || file_count || ' | ' || line_count || ' |' FROM langs "
+   f"UNION ALL SELECT repo, 1, row_number() OVER (PARTITION BY repo ORDER BY file_count DESC, first_seen, language) - 1, '| ' || language || ' | ' || file_count || ' | ' || line_count || ' |' FROM langs "
    "UNION ALL SELECT repo, 2, 0, chr(10) || '## Issues' || chr(10) FROM scored "
    f"UNION ALL SELECT repo, 3, row_number() OVER (PARTITION BY repo ORDER BY {RANK} DESC, file_ord, part_ord, rule_ord, line) - 1, '### [' || upper(severity) || '] ' || file || coalesce(':' || line, '') || chr(10) || chr(10) "
    "|| '- **Category:** ' || category || chr(10) || '- **Description:** ' || description || chr(10) || '- **Recommendation:** ' || recommendation || chr(10) FROM found WHERE part_ord >= 0")

@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..catalog import Rule, active, builtin_rules, rules_frame
+from ..catalog import SEVERITIES, Rule, active, builtin_rules, rules_frame
 from ..functions import text as X
 from ..functions.text import description_hash
 from ..operators import compliance, context, imports, packing, prompts, responses, score
 from ..operators import findings as V
 from ..operators import marks as M
 from ..operators import rules as R
-from ..operators.scan import manifest_findings, scan_rules, token_gate
-from ..schemas import FINDINGS, REPORT_ORDER
+from ..operators.scan import facts_of, hits_of, manifest_findings, scan_files, scan_rules, token_gate
+from ..schemas import FINDINGS, REPORT_ORDER, RULES
 from ..session import fresh_path, stored
 from ..sources import repos, tree
 from ..streaming import scan as stream
@@ -62,6 +62,12 @@ def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.suppress(hits(spark, sf_dir), corpus.marks(spark, sf_dir))
 
 
+def scanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The kept hits and the facts about all files, from one stored scan."""
+    both = stored(scan_files(corpus.files(spark, sf_dir)), "scan")
+    return M.suppress(hits_of(both), corpus.marks(spark, sf_dir)), token_gate(facts_of(both))
+
+
 def project_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Project-level issues: the notes of all model reviews, lifted to the project."""
     return model_findings(spark, sf_dir).withColumn("file", F.lit("project-wide")).withColumn("line", F.lit(None).cast("int"))
@@ -75,6 +81,13 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- sources
 
+@query("a2_ignore_lines")
+def _(spark, sf):
+    lines = F.array(*[F.lit(x) for x in ("*.md", "!/src/1/*.md", "# a note", "src/3/", "f1?.py")])
+    ignored = corpus.tree(spark, sf).select("repo").distinct().select("repo", F.posexplode(lines).alias("line_no", "pattern"))
+    return tree.source_files(corpus.tree(spark, sf), ignore_lines=ignored).select("repo", "file_ord", "path")
+
+
 @query("a3_directory_pruning")
 def _(spark, sf):
     return corpus.tree(spark, sf).where(~tree.in_skipped_dir(F.col("path"))).select("repo", "file_ord", "path")
@@ -106,6 +119,34 @@ def _(spark, sf):
     return corpus.table(spark, sf, "pages").select("page_id", F.length(text).alias("chars"), F.md5(text).alias("digest"))
 
 
+@query("a8_decoded_bytes")
+def _(spark, sf):
+    """Texts as bytes with an invalid sequence and the characters that decoding itself uses."""
+    broken = F.unhex(corpus.pick(["FF", "E282", "C0AF", ""], F.col("doc_id")))
+    data = F.concat(F.encode("text", "utf-8"), F.encode(F.lit("\ufdd0"), "utf-8"), broken, F.encode(F.lit("\ufdd2\ufffdz"), "utf-8"))
+    text = tree.read_text(tree.decode(data))
+    return corpus.table(spark, sf, "documents").select("doc_id", F.length(text).alias("chars"), F.md5(text).alias("digest"))
+
+
+def mark_file(spark, sf) -> str:
+    """Marks as a file of JSON lines, each fifth broken."""
+    path = fresh_path(spark, "marks")
+    number = F.regexp_replace("id", "mark-", "").cast("bigint")
+    line = F.to_json(F.struct("*"))
+    corpus.marks(spark, sf).select(F.when(number % 5 == 4, F.concat(F.lit("{"), line)).otherwise(line).alias("value")).write.text(path)
+    return path
+
+
+@query("a10_loaded_marks")
+def _(spark, sf):
+    return M.load_marks(spark, mark_file(spark, sf)).select("id", "repo", "file_path", "rule_id", "description_hash", "reason", "marked_by")
+
+
+@query("a10_unread_marks")
+def _(spark, sf):
+    return M.unread_marks(spark, mark_file(spark, sf)).groupBy("problem").agg(F.count("*").alias("marks"))
+
+
 @query("a11_repo_references")
 def _(spark, sf):
     n = F.col("page_id").cast("string")
@@ -216,9 +257,8 @@ def _(spark, sf):
 
 @query("c3_language_scope")
 def _(spark, sf):
-    found = hits(spark, sf, active(builtin_rules(), "security", "dangerous"))
-    return found.join(corpus.files(spark, sf).select("repo", F.col("path").alias("file"), "language"), ["repo", "file"]).groupBy(
-        "rule_id", "language").agg(F.count("*").alias("hits"))
+    found = scan_rules(corpus.files(spark, sf), active(builtin_rules(), "security", "dangerous"), carry=["language"])
+    return found.groupBy("rule_id", "language").agg(F.count("*").alias("hits"))
 
 
 @query("c1_document_scan")
@@ -263,8 +303,9 @@ def _(spark, sf):
         "repo", "framework", "section", "title", "findings_count", "status", "worst_severity")
 
 
-def identified(spark, sf):
-    return stored(exports.sarif_ids(V.report_multiset(analysis(spark, sf, True).findings)), "identified")
+def identified(spark, sf, a: Analysis | None = None):
+    a = analysis(spark, sf, True) if a is None else a
+    return stored(exports.sarif_ids(V.report_multiset(a.findings)), "identified")
 
 
 @query("c7_rule_metadata")
@@ -357,7 +398,8 @@ def _(spark, sf):
 
 @query("d7_file_rollup")
 def _(spark, sf):
-    rolled = V.file_rollup(token_gate(corpus.files(spark, sf)), kept(spark, sf))
+    found, facts = scanned(spark, sf)
+    rolled = V.file_rollup(facts, found)
     ids = F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["rule_id"], i["line"])), " ")
     return rolled.select("repo", "path", "language", "token_count", "issue_count", "has_critical", "has_high", F.coalesce(ids, F.lit("")).alias("issue_list"))
 
@@ -538,6 +580,44 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- table upkeep
 
+def pci_rules(spark):
+    return rules_frame(spark, [r for r in builtin_rules() if r.scanner == "pci"])
+
+
+@query("i1_added_rule_scan")
+def _(spark, sf):
+    more = R.add_rule(pci_rules(spark), "Word", "(?i)des", "info", "the word", "none", scanner="cis", rule_type="compliance")
+    return hits(spark, sf, more).select("repo", "file", "line", "severity", "description")
+
+
+@query("i3_deleted_rule_scan")
+def _(spark, sf):
+    own = [Rule(900, "word-des", "Word", "(?i)des", "info", "the word", "none", "*", "cis", "compliance", None),
+           Rule(901, "word-key", "Key", "(?i)key", "low", "the key", "none", "*", "cis", "compliance", None)]
+    more = rules_frame(spark, own).withColumn("builtin", F.lit(False))
+    return hits(spark, sf, R.delete_rule(R.extend_catalog(pci_rules(spark), more), "word-des")).select(*HIT)
+
+
+@query("i5_catalog_lint")
+def _(spark, sf):
+    """A catalog made of the nations, with some of everything that can be wrong."""
+    n = F.col("n_nationkey")
+    made = {
+        "rule_ord": n, "id": F.concat(F.lit("n-"), (n % 20).cast("string")), "name": F.when(n % 7 == 3, "  ").otherwise(F.col("n_name")),
+        "pattern": F.when(n % 4 == 0, F.concat("n_name", F.lit("("))).when(n % 4 == 2, "").otherwise(F.col("n_name")),
+        "severity": corpus.pick([*SEVERITIES, "urgent"], n), "description": F.when(n % 11 == 5, "\n").otherwise(F.lit("a nation")), "recommendation": F.when(n % 9 != 1, "none"),
+        "language": F.lit("*"), "scanner": corpus.pick(["pci", "cis", "other"], n), "rule_type": F.lit("compliance"),
+        "compliance_ref": F.lit(None), "enabled": F.lit(True), "builtin": F.lit(False),
+    }
+    rules = corpus.table(spark, sf, "nation").select(*[made[f.name].cast(f.dataType).alias(f.name) for f in RULES])
+    return R.lint(rules).select("id", F.substring_index("problem", ":", 1).alias("problem"))
+
+
+@query("i9_cleared_marks")
+def _(spark, sf):
+    return M.suppress(hits(spark, sf), M.clear(corpus.marks(spark, sf))).select(*HIT)
+
+
 @query("i2_patched_catalog_scan")
 def _(spark, sf):
     patch = spark.sql("SELECT * FROM VALUES ('pci-004', 'low', true), ('owasp-005', NULL, false), ('cis-020', 'info', NULL) t(id, severity, enabled)")
@@ -594,14 +674,15 @@ def _(spark, sf):
     return exports.sarif_rules(identified(spark, sf), rules_frame(spark)).drop("at")
 
 
-def header(spark, sf):
-    return score.file_counts(token_gate(corpus.files(spark, sf))).select(
+def header(a: Analysis):
+    return score.file_counts(a.files).select(
         "repo", "total_files_analyzed", F.lit("local").alias("source_type"), F.lit("static").alias("analysis_mode"))
 
 
 @query("j3_sarif_document")
 def _(spark, sf):
-    return exports.sarif_document(identified(spark, sf), rules_frame(spark), header(spark, sf))
+    a = analysis(spark, sf, True)
+    return exports.sarif_document(identified(spark, sf, a), rules_frame(spark), header(a))
 
 
 @query("j4_json_report")
@@ -712,7 +793,7 @@ def _(spark, sf):
 def bundle_texts(spark, sf):
     gated = token_gate(corpus.files(spark, sf), bundle=True)
     with_hits = stored(hits(spark, sf).select("repo", F.col("file").alias("path")).distinct(), "hits")
-    chosen = packing.pack_bundle(gated.drop("content"), with_hits, 9_000).select("repo", "path", "in_bundle")
+    chosen = packing.pack_bundle(gated.drop("content"), with_hits, 9_000).where("in_bundle").select("repo", "path", "in_bundle")
     late = with_hits.withColumn("late", F.lit(False))
     return gated.join(chosen, ["repo", "path"]).join(late, ["repo", "path"], "left").withColumn("late", F.coalesce("late", F.lit(True)))
 
@@ -723,15 +804,16 @@ def _(spark, sf):
     return made.select("repo", "bundle_files", F.length("user_prompt").alias("chars"), F.md5("user_prompt").alias("digest"))
 
 
-def summaries(spark, sf):
+def summaries(spark, sf, found, facts):
     read = responses.parse_responses(corpus.reviews(spark, sf), "file").select("repo", "path", "file_ord", "summary")
-    counted = V.file_rollup(token_gate(corpus.files(spark, sf)), kept(spark, sf)).where("analyzed").select("repo", "path", "language", "issue_count")
+    counted = V.file_rollup(facts, found).where("analyzed").select("repo", "path", "language", "issue_count")
     return read.join(counted, ["repo", "path"])
 
 
 @query("l4_project_prompts")
 def _(spark, sf):
-    made = prompts.project_prompts(summaries(spark, sf), V.representatives(kept(spark, sf)))
+    found, facts = scanned(spark, sf)
+    made = prompts.project_prompts(summaries(spark, sf, found, facts), V.representatives(found))
     return made.select("repo", F.length("user_prompt").alias("chars"), F.md5("user_prompt").alias("digest"))
 
 

@@ -12,7 +12,7 @@ from ..catalog import Rule
 from ..functions.text import count_lines
 from ..operators.compliance import checklists
 from ..operators.marks import suppress
-from ..operators.scan import manifest_findings, scan_rules, token_gate
+from ..operators.scan import facts_of, hits_of, manifest_findings, scan_files, scan_rules, token_gate
 from ..operators.score import file_counts, scores
 from ..session import stored
 from ..sources.tree import language_breakdown
@@ -30,18 +30,24 @@ def analyse(
 ) -> Analysis:
     """Scan the files, drop marked findings, and add the manifest notes of the whole tree.
 
-    Manifest notes are not subject to marks.  With ``store`` the findings are
-    and the facts about files are written to the shared folder and read back,
-    which is the way to draw several results or an export from one scan.
+    Manifest notes are not subject to marks.  With ``store`` the texts are read
+    once: hits and facts about files are written to the shared folder together
+    and read back, which is the way to draw several results or an export from
+    one scan.
     """
-    found = scan_rules(files, rules)
+    if store:
+        scanned = stored(scan_files(files, rules), "scan")
+        found, facts = hits_of(scanned), facts_of(scanned)
+    else:
+        found = scan_rules(files, rules)
+        facts = files.withColumn("line_count", count_lines(F.col("content")))
     if marks is not None:
         found = suppress(found, marks)
-    manifests = manifest_findings(tree).join(files.select("repo").distinct(), "repo", "left_semi")
+    manifests = manifest_findings(tree).join(facts.select("repo").distinct(), "repo", "left_semi")
     found = found.unionByName(manifests)
-    facts = token_gate(files).withColumn("line_count", count_lines(F.col("content"))).drop("content")
+    facts = token_gate(facts).drop("content")
     if store:
-        found, facts = stored(found, "findings"), stored(facts, "files")
+        found = stored(found, "findings")
     return Analysis(facts, found, facts.select("repo").distinct())
 
 

@@ -82,7 +82,11 @@ def ignore_rules(lines: DataFrame) -> DataFrame:
 
 
 def drop_ignored(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """Files whose last matching ignore line is absent or negated."""
+    """Files whose last matching ignore line is absent or negated.
+
+    Decided on the listing (repo, path); the files themselves only meet the paths to leave out, each a key of its own.
+    """
     deciding = F.filter("runs", lambda r: F.rlike("path", r["regex"]))
     ignored = F.coalesce(~F.try_element_at(deciding, F.lit(1))["negated"], F.lit(False))
-    return files.join(ignore_rules(lines), "repo", "left").where(F.col("runs").isNull() | ~ignored).drop("runs")
+    out = files.select("repo", "path").join(ignore_rules(lines), "repo").where(ignored).select("repo", "path").distinct()
+    return files.join(out, ["repo", "path"], "left_anti").select(*files.columns)

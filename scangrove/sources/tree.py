@@ -82,9 +82,15 @@ def normalise_newlines(text: Column) -> Column:
 def decode(data: Column) -> Column:
     """UTF-8 bytes as text; invalid bytes are dropped, genuine replacement characters stay."""
     raw = data.cast("string")
-    guard, lost = "\ufdd0", "\ufffd"
-    kept = F.replace(raw, F.lit(lost), F.lit(guard))
-    cleaned = F.replace(F.replace(F.make_valid_utf8(kept), F.lit(lost), F.lit("")), F.lit(guard), F.lit(lost))
+    # Genuine replacement characters and the escape sign itself are escaped, so that only lost bytes show as replacement characters.
+    lost, escape = "\ufffd", "\ufdd0"
+    pairs = [(escape, escape + "\ufdd1"), (lost, escape + "\ufdd2")]
+    cleaned = raw
+    for plain, escaped in pairs:
+        cleaned = F.replace(cleaned, F.lit(plain), F.lit(escaped))
+    cleaned = F.replace(F.make_valid_utf8(cleaned), F.lit(lost), F.lit(""))
+    for plain, escaped in reversed(pairs):
+        cleaned = F.replace(cleaned, F.lit(escaped), F.lit(plain))
     return F.when(F.is_valid_utf8(raw), raw).otherwise(cleaned)
 
 

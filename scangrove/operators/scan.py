@@ -184,8 +184,9 @@ META = (
 def _scan(files: DataFrame, rules: DataFrame | Sequence[Rule] | None, max_tokens: int | None, carry: list[str], facts: bool) -> DataFrame:
     catalog = scannable(resolve_rules(rules))
     spark = files.sparkSession
-    if not catalog and not facts:
-        return files.limit(0).selectExpr(*[f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in FINDINGS], *carry)
+    if not catalog:
+        null = [f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in FINDINGS if f.name not in ("repo", "file_ord", "file")]
+        return (files if facts else files.limit(0)).selectExpr("true AS is_file", "repo", "file_ord", "path AS file", *null, *carry)
     source = files.select(*dict.fromkeys(["repo", "file_ord", "path", "language", "content", *carry]))
     if max_tokens is not None:
         source = source.where(estimate_tokens(F.col("content")) <= max_tokens)
@@ -215,7 +216,7 @@ def _scan(files: DataFrame, rules: DataFrame | Sequence[Rule] | None, max_tokens
             for i, r in enumerate(catalog)
         ],
         META,
-    ) if catalog else local_table(spark, [(None,) * 10], META)
+    )
     return (
         hits.join(F.broadcast(meta), "_rule", "left" if facts else "inner")
         .withColumn("category", F.lit("security"))

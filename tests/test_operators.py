@@ -112,6 +112,9 @@ def test_mark_upkeep(spark, tmp_path):
     path = tmp_path / "marks.json"
     path.write_text('{"id":"1","repo":"r","file_path":"a","rule_id":"x"}\nnot json\n')
     assert M.load_marks(spark, str(path)).count() == 1
+    left = M.unread_marks(spark, str(path))
+    assert left.count() > 0 and left.where('problem IS NULL').count() == 0
+    assert M.unread_marks(spark, None).count() == 0
 
 
 # ---------------------------------------------------------------- catalog

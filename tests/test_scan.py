@@ -172,3 +172,20 @@ def test_scan_has_no_shuffle(make_files):
 def test_catalog_shape():
     rules = builtin_rules()
     assert len(rules) == 146 and len(active(rules, "pci")) == 12 and sum(r.multiline for r in rules) == 11
+
+
+def test_one_read_gives_hits_and_facts(spark):
+    from scangrove.functions.text import count_lines, estimate_tokens
+    from scangrove.operators.scan import facts_of, hits_of, scan_files
+    from scangrove.schemas import FILES
+
+    texts = ["password = 'hunter2hunter2'\neval(x)\n", "", None, "plain", "x\n" * 30_000 + "eval(y)\n", "def delete_user(a):\n    go()\n"]
+    files = spark.createDataFrame([("r", i, f"f{i}.py", "Python", 1, t) for i, t in enumerate(texts)], FILES)
+    both = scan_files(files)
+    assert sorted(map(str, hits_of(both).collect())) == sorted(map(str, scan_rules(files).collect()))
+    assert hits_of(both).where("file = 'f4.py' AND line = 30001").count() > 0
+    want = files.select("repo", "file_ord", "path", "language", "size_bytes", estimate_tokens(F.col("content")), count_lines(F.col("content")))
+    assert sorted(map(tuple, facts_of(both).collect())) == sorted(map(tuple, want.collect()))
+    assert both._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1  # the rules are broadcast, nothing is shuffled
+    assert facts_of(scan_files(files, [])).count() == len(texts) and hits_of(scan_files(files, [])).count() == 0
+    assert {r.language for r in scan_rules(files, carry=["language"]).collect()} == {"Python"}

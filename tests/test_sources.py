@@ -140,3 +140,12 @@ def test_roots(spark):
 def test_requested_repositories_without_files(spark, make_files):
     asked = spark.createDataFrame([("r",), ("none",)], "repo string")
     assert [r.repo for r in without_files(asked, make_files([("a.py", "Python", "x")])).collect()] == ["none"]
+
+
+def test_decoding_keeps_the_characters_it_uses_itself(spark):
+    from pyspark.sql import functions as F
+
+    samples = [b"a\xef\xb7\x90b\xff", b"\xef\xb7\x90\xff\xef\xb7\x92", b"\xef\xb7\x90\xef\xb7\x91\xef\xbf\xbd\xc0", b"\xff", b""]
+    df = spark.createDataFrame(list(enumerate(map(bytearray, samples))), "i int, b binary")
+    for r in df.select("i", tree.decode(F.col("b")).alias("t")).collect():
+        assert r.t == samples[r.i].decode("utf-8", errors="ignore"), samples[r.i]

@@ -1,8 +1,8 @@
 """Benchmark decontamination with spaced seeds: masks that ignore some word positions propose places, substitution-tolerant overlaps confirm them.
 
 A window of words is hashed at the positions that a mask keeps, so that words replaced elsewhere don't matter.  A seed that a
-document shares with a benchmark item fixes an alignment; along it, the segment with the best score (+1 for an equal word,
--2 for another) is an overlap if it has enough equal words.  The benchmark is worked through in blocks of bounded size, each
+document shares with a benchmark item fixes an alignment; along it, every segment with enough equal words and a large enough share of
+them is an overlap, and the longest one that begins and ends with an equal word is reported.  The benchmark is worked through in blocks of bounded size, each
 of which goes to the tasks whole; documents are not shuffled.
 
 Null and empty texts have no overlaps, on either side; an item of fewer than five words is never looked for, one of five to
@@ -74,12 +74,20 @@ def seeds_of(items: pa.Table) -> Seeds:
     return Seeds(items.column("item_id").to_pylist(), first, words, h[order], item[order].astype(np.int64), at[order].astype(np.int64), sorted(lengths), maybe)
 
 
-def overlap(equal: np.ndarray) -> tuple[int, int]:
-    """The segment with the largest score: its start and end."""
-    total = np.append(0, np.cumsum(np.where(equal, 1, -2)))
-    low = np.minimum.accumulate(total)
-    end = int((total - low).argmax())
-    return int(total[:end + 1].argmin()), end
+def overlap(equal: np.ndarray, least: int) -> tuple[int, int]:
+    """The longest segment that begins and ends with an equal word, has ``least`` of them and the least share: its start and end, or (0, 0)."""
+    at = np.flatnonzero(equal)
+    if len(at) < max(1, least):
+        return 0, 0
+    # With +1 for an equal word and -3 for another: the share is large enough if the sum is 0 or more.
+    below = LEAST_SHARE / (1 - LEAST_SHARE)
+    total = np.append(0, np.cumsum(np.where(equal, 1, -below)))
+    low = np.minimum.accumulate(total[at])
+    # The first start that a sum allows; if too few equal words follow it, a later start has fewer.
+    first = np.searchsorted(-low, -total[at + 1], "left")
+    sizes = np.where(np.arange(len(at)) - first + 1 >= max(1, least), at + 1 - at[np.minimum(first, len(at) - 1)], 0)
+    end = int(sizes.argmax())
+    return (int(at[first[end]]), int(at[end]) + 1) if sizes[end] else (0, 0)
 
 
 def overlaps(doc: np.ndarray, seeds: Seeds) -> list[tuple[int, int, int, int]]:
@@ -99,9 +107,9 @@ def overlaps(doc: np.ndarray, seeds: Seeds) -> list[tuple[int, int, int, int]]:
         text = seeds.words[seeds.first[item]:seeds.first[item + 1]]
         lo, hi = max(0, -shift), min(len(text), len(doc) - shift)
         equal = doc[lo + shift:hi + shift] == text[lo:hi]
-        a, b = overlap(equal)
+        a, b = overlap(equal, int(np.ceil(min(LEAST_WORDS, 0.8 * len(text)))))
         same = int(equal[a:b].sum())
-        if same >= min(LEAST_WORDS, 0.8 * len(text)) and same >= LEAST_SHARE * (b - a) and (item not in best or same > best[item][3]):
+        if b > a and (item not in best or same > best[item][3]):
             best[item] = (item, lo + a + shift, b - a, same)
     return list(best.values())
 

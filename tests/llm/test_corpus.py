@@ -204,6 +204,26 @@ def test_leaks(spark, odd):
         contamination.BLOCK_WORDS = old
 
 
+def test_overlap_against_all_segments():
+    rng = np.random.default_rng(7)
+    for n in (1, 5, 20, 60):
+        for _ in range(100):
+            equal, least = rng.random(n) < rng.uniform(0.5, 1), int(rng.integers(1, 13))
+            fit = [(b - a, -a) for a in range(n) for b in range(a + 1, n + 1) if equal[a] and equal[b - 1] and equal[a:b].sum() >= max(least, 0.75 * (b - a))]
+            a, b = contamination.overlap(equal, least)
+            assert (b - a, -a) == max(fit, default=(0, 0))
+
+
+def test_leaks_with_a_segment_that_qualifies(spark):
+    """The best-scoring segment has too small a share of equal words, parts of it do not."""
+    item = [f"q{i}" for i in range(216)]
+    changed = [w if i % 17 < 12 else f"x{i}" for i, w in enumerate(item)]
+    docs, bench = (spark.createDataFrame([(1, " ".join(w))], f"{c} long, text string") for c, w in (("doc_id", changed), ("item_id", item)))
+    row = contamination.leaks(docs, bench).first()
+    assert row.n_equal >= 12 and row.n_equal >= 0.75 * row.n_words
+    assert contamination.without_leaks(docs, bench).count() == 0
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], [3, 1, 2], 450) == [200, 250 / 3, 500 / 3]
     assert mixing.targets([0, 10], [3, 1], 15) == [0, 15]

@@ -1,12 +1,14 @@
 """Personal data in texts: regular expressions propose spans, checks confirm them, words nearby adjust their score.
 
 Kinds: email, ip (parts up to 255), card (13 to 19 digits, Luhn), phone (9 to 15 digits) and iban (mod-97).  Matches of a kind
-are leftmost and do not overlap; those that fail their check are dropped.  A span's score starts from its kind's and rises if one of the
+are leftmost and do not overlap; those that fail their check are dropped.  An iban has the length that its country code fixes and is
+tried at every place where one can begin, so that neither what stands before nor what stands after it hides it; codes without a fixed
+length take the longest run of up to 34 signs.  A span's score starts from its kind's and rises if one of the
 kind's words stands within ``NEAR`` characters before it.  Only DataFrame operations, row by row, without a shuffle.
 
 The text between matches and the matches themselves alternate, so their lengths give the places of all matches in one pass; sums run
 over pieces of ``STRIDE`` matches, so that texts with very many matches stay cheap.  Expressions are written so that no start is tried twice
-within a run of the same characters, and loops don't nest on the stack; they match what the plain forms match.
+within a run of the same characters, and loops don't nest on the stack; but for iban they match what the plain forms match.
 
 Null and empty texts have no spans and an empty masked text.  Nulls in other columns are carried along; repeated rows give repeated results.
 """
@@ -18,12 +20,27 @@ from pyspark.sql import functions as F
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban")
+#: Signs of an account number by country code.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """A sign where an account number can begin, with the whole number as group 1."""
+    fixed = [f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()]
+    known = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+    return rf"\b(?=((?:{'|'.join(fixed)}|(?!{known})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}})\b))[A-Z]"
+
+
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+\b",
+    "iban": _iban(),
 }
 #: A text without this holds no match of the kind.
 SIGNS = {"email": "@", "phone": "+"}
@@ -69,10 +86,10 @@ def valid(kind: str, match: Column) -> Column:
 
 
 def _matches(kind: str, text: Column) -> tuple[Column, Column]:
-    """The matches of a kind, and the pieces of text between them."""
+    """The matches of a kind, and the pieces of text between them; between the first signs of matches for iban, which may overlap."""
     none, pattern = F.array().cast("array<string>"), F.lit(PATTERNS[kind])
     possible = F.contains(text, F.lit(SIGNS[kind])) if kind in SIGNS else text.rlike("[0-9]")
-    return F.when(possible, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(none), F.when(possible, F.split(text, PATTERNS[kind])).otherwise(none)
+    return F.when(possible, F.regexp_extract_all(text, pattern, F.lit(int(kind == "iban")))).otherwise(none), F.when(possible, F.split(text, PATTERNS[kind])).otherwise(none)
 
 
 def _total(values: Column) -> Column:
@@ -104,7 +121,8 @@ def with_spans(docs: DataFrame, text: str = "text", name: str = "spans") -> Data
     for kind in KINDS:
         m, p = F.col(f"_{kind}.m"), F.col(f"_{kind}.p")
         # Lengths of a piece with the match after it; their sums, by stride, lead to the next piece.
-        steps = F.zip_with(F.slice(p, F.lit(1), F.size(m)), m, lambda a, b: (F.length(a) + F.length(b)).cast("long"))
+        size = (lambda match: F.lit(1)) if kind == "iban" else F.length
+        steps = F.zip_with(F.slice(p, F.lit(1), F.size(m)), m, lambda a, b: (F.length(a) + size(b)).cast("long"))
         work = work.withColumn(f"_{kind}", F.when(F.size(m) > 0, F.struct(m.alias("m"), p.alias("p"), steps.alias("steps"))))
     for kind in KINDS:
         steps = F.col(f"_{kind}.steps")

@@ -185,6 +185,20 @@ def test_pii(spark, odd):
     assert pii.pii_report(many).first().spans.endswith(f"email:{7 * 1999}:{7 * 1999 + 6}")
 
 
+def test_account_numbers_before_and_after_other_words(spark):
+    gb, de, other = "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "ZZ33 1234 5678 9012 345"   # no country has the last one's code
+    cases = [
+        (f"{gb} PLEASETRANSFERNOW", [gb]), (f"{gb} BIC NWBKGB2L", [gb]), ("DE89370400440532013000 BANK", ["DE89370400440532013000"]), (f"{de} 2024", [de]),
+        (f"AB13 {gb} {de} A1", [gb, de]), (f"\U0001f600 {de}", [de]), (f"{gb}X {gb[:-1]} x{gb}", []), (f"NO9386011117947 {gb}", ["NO9386011117947", gb]), (other, [other]),
+        (f"{gb} " * 300, [gb] * 300),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for r in pii.pii_report(docs).collect():
+        text, want = cases[r.doc_id]
+        assert [text[int(s.split(":")[1]):int(s.split(":")[2])] for s in r.spans.split(",") if s.startswith("iban")] == want
+    assert [r.text for r in pii.without_pii(docs).where("doc_id in (1, 3, 4)").orderBy("doc_id").collect()] == ["<iban> BIC NWBKGB2L", "<iban> 2024", "AB13 <iban> <iban> A1"]
+
+
 def test_leaks(spark, odd):
     rng = random.Random(6)
     item = [f"q{i}" for i in range(40)]

@@ -1,6 +1,8 @@
 """Nearest neighbours by inner product with collision-counting hashing.
 
-Vectors get one more component that makes all lengths equal, so that the largest inner product is the smallest distance.  Each hash
+Vectors are split into ranges of length, each searched in blocks of its own; ranges of few vectors are searched whole, with exact
+products.  In a range, vectors get one more component that makes all lengths equal, so that the largest inner product is the smallest
+distance; as lengths differ by a factor of ``SPREAD`` at most, that component doesn't hide the others.  Each hash
 function is a single projection; a block of vectors keeps, per projection, its vectors sorted by projected value.  For a query, windows
 centred on its own projections widen round by round (virtual rehashing: the radius grows, the arrays stay); a vector that stands in
 enough windows collides often enough to be verified, and a query is done with a block once enough vectors have been verified.  The
@@ -31,6 +33,8 @@ COLLISIONS = 0.85       # share of the projections in whose windows a vector mus
 GROWTH = 1.04           # of the radius from one round to the next
 VERIFIED = 0.14         # share of a block that is verified before a query is done with it, besides the neighbours asked for
 BLOCK, QUERY_BLOCK = 8_192, 2_048
+SPREAD = 1.25           # longest to shortest vector of a range
+FEW = 1_024             # a range of no more vectors is verified whole, together with others
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -49,6 +53,26 @@ def collisions(order: np.ndarray, lines: np.ndarray, centre: np.ndarray, radius:
     return m - np.bincount(np.concatenate(outside), minlength=n)
 
 
+def whole_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """(query, neighbour, inner product): the ``k`` best of a block for each query, all vectors verified."""
+    out, size = [], np.sqrt((x * x).sum(axis=1))
+    for i in range(len(q)):
+        found = np.flatnonzero(ids != query_ids[i])
+        out += best_of(found, ids, x, int(query_ids[i]), q[i], float(size.max()), k)
+    return out
+
+
+def best_of(found: np.ndarray, ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, longest: float, k: int) -> list[tuple[int, int, float]]:
+    """The ``k`` best of some vectors of a block for one query."""
+    if len(found) > k:
+        rough = x[found] @ q
+        found = found[rough >= np.partition(rough, -k)[-k] - 1e-9 * longest * np.abs(q).sum()]
+    # Summed component by component, so that equal vectors get equal products wherever they stand.
+    score = (x[found] * q).sum(axis=1)
+    best = np.lexsort((ids[found], -score))[:k]
+    return [(query_id, int(ids[found[b]]), float(score[b])) for b in best]
+
+
 def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, longest: float, k: int) -> list[tuple[int, int, float]]:
     """(query, neighbour, inner product): the ``k`` best of a block for each query."""
     n, dim = x.shape
@@ -80,14 +104,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
         while len(found) < enough and level < 200:
             level += 1
             found = colliding(i, level)
-        found = found[ids[found] != query_ids[i]]
-        rough = x[found] @ q[i]
-        if len(found) > k:
-            found = found[rough >= np.partition(rough, -k)[-k] - 1e-9 * longest * np.abs(q[i]).sum()]
-        # Summed component by component, so that equal vectors get equal products wherever they stand.
-        score = (x[found] * q[i]).sum(axis=1)
-        best = np.lexsort((ids[found], -score))[:k]
-        out += [(int(query_ids[i]), int(ids[found[b]]), float(score[b])) for b in best]
+        out += best_of(found[ids[found] != query_ids[i]], ids, x, int(query_ids[i]), q[i], longest, k)
     return out
 
 
@@ -98,27 +115,47 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 def nearest(vectors: DataFrame, every: int = EVERY, k: int = NEAREST, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score: the ``k`` nearest of each row whose id is divisible by ``every``."""
     rows = usable(vectors, vec_id, vector)
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(
-        F.count("*").alias("n"), F.sum((F.col("id") % every == 0).cast("long")).alias("queries"), F.max(F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b)).alias("longest"),
-    ).orderBy(F.desc("n"), "dim").limit(1).collect()
+    # Vectors too short or too long for squares are all in the first or last range.
+    square = F.least(F.greatest(F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b), F.lit(1e-300)), F.lit(1e300))
+    # Half a step aside, so that unit vectors are far from a border.
+    rows = rows.withColumn("range", F.floor(F.log(square) / (2 * np.log(SPREAD)) + 0.5).cast("int"))
+    sizes = rows.groupBy(F.size("v").alias("dim"), "range").agg(
+        F.count("*").alias("n"), F.sum((F.col("id") % every == 0).cast("long")).alias("queries"), F.max(square).alias("longest"),
+    ).collect()   # about 3,100 ranges at most for each number of components
     schema = "query_id long, vec_id long, score double"
     if not sizes:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, longest = int(sizes[0]["dim"]), float(np.sqrt(sizes[0]["longest"]))
-    blocks, query_blocks = -(-sizes[0]["n"] // BLOCK), max(1, -(-sizes[0]["queries"] // QUERY_BLOCK))
+    vectors_of: dict[int, int] = {}
+    for r in sizes:
+        vectors_of[r["dim"]] = vectors_of.get(r["dim"], 0) + r["n"]
+    dim = min(vectors_of, key=lambda d: (-vectors_of[d], d))
+    sizes = sorted((r for r in sizes if r["dim"] == dim), key=lambda r: r["range"])
+    query_blocks = max(1, -(-sum(r["queries"] for r in sizes) // QUERY_BLOCK))
+    # Blocks of ranges, one range after the other; those of small ranges, which share their blocks, come last and have no length.
+    first, lengths = {}, []
+    for r in sizes:
+        if r["n"] > FEW:
+            first[r["range"]] = (len(lengths), -(-r["n"] // BLOCK))
+            lengths += [float(np.sqrt(r["longest"]))] * first[r["range"]][1]
+    small = -(-sum(r["n"] for r in sizes if r["n"] <= FEW) // BLOCK)
+    first |= {r["range"]: (len(lengths), small) for r in sizes if r["n"] <= FEW}
+    lengths += [0.0] * small
+    blocks = len(lengths)
+    place = F.create_map(*(F.lit(x) for r, (lo, n) in first.items() for x in (r, lo))), F.create_map(*(F.lit(x) for r, (lo, n) in first.items() for x in (r, n)))
     rows = rows.where(F.size("v") == dim)
-    cell = lambda n, name: F.pmod(F.xxhash64(F.lit(name), "id"), F.lit(n)).cast("int")
+    cell = lambda n, name: F.pmod(F.xxhash64(F.lit(name), "id"), n).cast("int")
     all_of = lambda n: F.explode(F.array(*[F.lit(i) for i in range(n)])) if n <= 64 else F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = rows.select("id", "v", cell(blocks, "block").alias("block")).withColumn("part", all_of(query_blocks)).toDF("id", "v", "block", "part")
-    queries = rows.where(F.col("id") % every == 0).select("id", "v", cell(query_blocks, "part").alias("part")).withColumn("block", all_of(blocks)).toDF("id", "v", "part", "block")
+    data = rows.select("id", "v", (place[0][F.col("range")] + cell(place[1][F.col("range")], "block")).alias("block")).withColumn("part", all_of(query_blocks)).toDF("id", "v", "block", "part")
+    queries = rows.where(F.col("id") % every == 0).select("id", "v", cell(F.lit(query_blocks), "part").alias("part")).withColumn("block", all_of(blocks)).toDF("id", "v", "part", "block")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[int, int, float]] = []
         if left.num_rows and right.num_rows:
             # In order of id, so that nothing depends on how rows arrive.
             left, right = left.sort_by("id"), right.sort_by("id")
-            found = search_block(
-                left.column("id").to_numpy(), _matrix(left.column("v"), dim), right.column("id").to_numpy(), _matrix(right.column("v"), dim), longest, k)
+            sides = left.column("id").to_numpy(), _matrix(left.column("v"), dim), right.column("id").to_numpy(), _matrix(right.column("v"), dim)
+            longest = lengths[left.column("block")[0].as_py()]
+            found = search_block(*sides, longest, k) if longest else whole_block(*sides, k)
         columns = list(zip(*found, strict=True)) if found else [[]] * 3
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "score"), columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
 

@@ -142,6 +142,37 @@ def test_neighbours(spark):
     assert neighbours.nearest(spark.createDataFrame([(20, [1.0, 2.0])], "vec_id long, embedding array<float>")).count() == 0
 
 
+def recall(spark, x):
+    """The share of the true neighbours found, and the least of a query."""
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    shares = []
+    for q in range(0, len(x), 20):
+        order = np.argsort(-(x @ x[q]), kind="stable")
+        shares.append(len(found[q] & set(order[order != q][:20].tolist())) / 20)
+    return np.mean(shares), min(shares)
+
+
+@pytest.mark.parametrize("kind", ["outlier", "lognormal", "blocks"])
+def test_neighbours_of_different_lengths(spark, kind, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4_000, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    if kind == "outlier":
+        x[7] *= 10
+    else:
+        x *= rng.lognormal(0, 1, (len(x), 1))
+    if kind == "blocks":
+        monkeypatch.setattr(neighbours, "BLOCK", 700)
+        monkeypatch.setattr(neighbours, "QUERY_BLOCK", 64)
+        monkeypatch.setattr(neighbours, "FEW", 256)
+    mean, least = recall(spark, x)
+    print(kind, mean, least)
+    assert mean >= 0.93 and least >= 0.6
+
+
 def test_marginals_against_all_paths():
     rng = np.random.default_rng(5)
     field = toxicity.Field(np.zeros(1), rng.normal(size=(2, 2)), rng.normal(size=2), np.zeros(3))

@@ -7,7 +7,8 @@ function is a single projection; a block of vectors keeps, per projection, its v
 centred on its own projections widen round by round (virtual rehashing: the radius grows, the arrays stay); a vector that stands in
 enough windows collides often enough to be verified, and a query is done with a block once enough vectors have been verified.  The
 first radius is the upper quartile of those that some queries of the block need, found by bisection.
-All vectors that collide often enough in the last round are verified, however many, with exact inner products in double precision.
+All vectors that collide often enough in the last round are verified, however many, with exact inner products in double precision;
+if too few ever do, as in small blocks, all vectors of the block are.
 
 The stated queries meet all vectors in blocks: a block of vectors and a block of queries make one task, and each task returns the
 nearest of its block only.  No answer depends on how many rows a block got.
@@ -76,6 +77,9 @@ def best_of(found: np.ndarray, ids: np.ndarray, x: np.ndarray, query_id: int, q:
 def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, longest: float, k: int) -> list[tuple[int, int, float]]:
     """(query, neighbour, inner product): the ``k`` best of a block for each query."""
     n, dim = x.shape
+    enough = min(n, k + 1 + int(VERIFIED * n))
+    if n <= enough:
+        return whole_block(ids, x, query_ids, q, k)
     directions = np.random.default_rng(4).normal(size=(dim + 1, PROJECTIONS))
     rest = np.sqrt(np.maximum(0, longest ** 2 - (x * x).sum(axis=1)))
     spots = (np.hstack([x, rest[:, None]]) @ directions).T
@@ -84,7 +88,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
     lines = (np.take_along_axis(spots, order, axis=1) + np.arange(PROJECTIONS)[:, None] * apart).ravel()
     centres = (q * (longest / np.sqrt((q * q).sum(axis=1)))[:, None]) @ directions[:-1]
     centres = np.clip(centres, -apart / 4, apart / 4) + np.arange(PROJECTIONS) * apart
-    need, enough = int(np.ceil(COLLISIONS * PROJECTIONS)), min(n, k + 1 + int(VERIFIED * n))
+    need = int(np.ceil(COLLISIONS * PROJECTIONS))
 
     def colliding(i: int, level: int) -> np.ndarray:
         return np.flatnonzero(collisions(order, lines, centres[i], min(longest * GROWTH ** level, apart / 4)) >= need)
@@ -104,6 +108,8 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
         while len(found) < enough and level < 200:
             level += 1
             found = colliding(i, level)
+        if len(found) < enough:
+            found = np.arange(n)
         out += best_of(found[ids[found] != query_ids[i]], ids, x, int(query_ids[i]), q[i], longest, k)
     return out
 

@@ -173,6 +173,18 @@ def test_neighbours_of_different_lengths(spark, kind, monkeypatch):
     assert mean >= 0.93 and least >= 0.6
 
 
+@pytest.mark.parametrize("n", [2, 5, 24, 25, 30])
+def test_neighbours_in_small_blocks(n):
+    """Each vector and its opposite: some stand outside of every window."""
+    rng = np.random.default_rng(n)
+    for _ in range(10):
+        x = rng.normal(size=(n, 8))
+        x[1] = -x[0]
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        found = neighbours.search_block(np.arange(n), x, np.arange(n), x, 1.0, 20)
+        assert len(found) == n * min(20, n - 1)
+
+
 def test_marginals_against_all_paths():
     rng = np.random.default_rng(5)
     field = toxicity.Field(np.zeros(1), rng.normal(size=(2, 2)), rng.normal(size=2), np.zeros(3))

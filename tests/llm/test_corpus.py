@@ -358,6 +358,16 @@ def test_language_model_base(spark, docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_first_rounds_read_all_texts(spark, monkeypatch):
+    """Each text has a symbol of its own, which the model knows after the rounds over parts."""
+    monkeypatch.setattr(markov, "PART_TEXTS", 10)
+    monkeypatch.setattr(markov, "ROUNDS", 0)
+    n = 240
+    lines = spark.createDataFrame([(i, np.array([i] * 50 + [markov.END], np.uint16).tobytes()) for i in range(n)], "doc_id long, symbols binary")
+    emit = markov.baum_welch(lines, np.full(markov.SYMBOLS, 1 / markov.SYMBOLS), n).emit.sum(axis=1)
+    assert emit[:n].min() > 1.5 * emit[n:markov.END].max()
+
+
 def test_forward_against_all_paths():
     rng = np.random.default_rng(8)
     model = markov.Model(rng.dirichlet(np.ones(8)), rng.dirichlet(np.ones(8), 8), rng.dirichlet(np.ones(markov.SYMBOLS), 8).T)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..catalog import severity_rank
 from ..functions.text import location, sarif_level, severity_tag, slug
 from ..operators.findings import FILE_LIST, report_multiset
-from ..operators.ordering import running_number
+from ..operators.ordering import numbered
 from ..operators.score import at_least
 from ..schemas import REPORT_ORDER
 from ..session import stored
@@ -30,15 +30,16 @@ SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0-rtm.5.json"
 SNIPPET_CHARS = 500
 SHORT_CHARS = 120
 
+# Issues in the same place of a report are told apart by these, so that one place never holds many of them in one range.
+TIES = ["file", "rule_id", "description"]
+
 
 def sarif_ids(listed: DataFrame) -> DataFrame:
     """Listed issues with ``sarif_rule_id``: the rule, or a running ``llm-0000`` id where there is none."""
     ruled, free = listed.where(F.col("rule_id").isNotNull()), listed.where(F.col("rule_id").isNull())
-    numbered = running_number(
-        free.withColumn("_f", F.coalesce("file_ord", F.lit(-1))), ["repo"], ["place"], "_f", REPORT_ORDER[1:], "_n",
-    ).drop("_f")
+    counted = numbered(free, ["repo"], ["place", *REPORT_ORDER, *TIES], "_n")
     synthetic = F.concat(F.lit("llm-"), F.lpad(F.col("_n").cast("string"), F.greatest(F.lit(4), F.length(F.col("_n").cast("string"))), F.lit("0")))
-    return ruled.withColumn("sarif_rule_id", F.col("rule_id")).unionByName(numbered.withColumn("sarif_rule_id", synthetic).drop("_n"))
+    return ruled.withColumn("sarif_rule_id", F.col("rule_id")).unionByName(counted.withColumn("sarif_rule_id", synthetic).drop("_n"))
 
 
 def sarif_results(identified: DataFrame) -> DataFrame:
@@ -115,9 +116,6 @@ def sarif_document(identified: DataFrame, rules: DataFrame, header: DataFrame, i
         properties=struct(category=F.col("category"), source=F.col("source"), complianceRef=F.col("compliance_ref"), hipaaReference=F.col("hipaa_reference")),
     ))
 
-    def numbered(df: DataFrame) -> DataFrame:
-        return running_number(df.withColumn("_f", F.coalesce("file_ord", F.lit(-1))), ["repo"], ["place"], "_f", [*REPORT_ORDER[1:], df.columns[1]], "pos")
-
     comma = F.when(F.col("pos") > 0, ",").otherwise("")
     driver = F.to_json(struct(name=F.lit(TOOL), version=F.lit(TOOL_VERSION), informationUri=F.lit(information_uri).cast("string")))
     opening = F.concat(
@@ -129,9 +127,9 @@ def sarif_document(identified: DataFrame, rules: DataFrame, header: DataFrame, i
     )))
     return _lines(
         _section(header.withColumn("d", driver), 0, opening),
-        _section(numbered(entries), 1, F.concat(comma, rule_json), F.col("pos")),
+        _section(numbered(entries, ["repo"], ["place", *REPORT_ORDER, "id"], "pos"), 1, F.concat(comma, rule_json), F.col("pos")),
         _section(header, 2, F.concat(F.lit(']}},"invocations":['), invocation, F.lit('],"results":['))),
-        _section(numbered(sarif_results(identified)), 3, F.concat(comma, result_json), F.col("pos")),
+        _section(numbered(sarif_results(identified), ["repo"], ["place", *REPORT_ORDER, "rule_id", "message"], "pos"), 3, F.concat(comma, result_json), F.col("pos")),
         _section(header, 4, F.lit("]}]}")),
     )
 
@@ -140,7 +138,7 @@ def json_report(report: DataFrame, findings: DataFrame, project: DataFrame | Non
     """The report row of each repository, then its shown issues, as JSON lines."""
     shown = at_least(report_multiset(findings, project), threshold)
     fields = [c for c in shown.columns if c not in ("repo", *REPORT_ORDER) or c == "line"]
-    issues = running_number(shown.withColumn("_f", F.coalesce("file_ord", F.lit(-1))), ["repo"], ["place"], "_f", REPORT_ORDER[1:], "pos")
+    issues = numbered(shown, ["repo"], ["place", *REPORT_ORDER, *TIES], "pos")
     head = F.to_json(F.struct(*[c for c in report.columns]))
     return _lines(_section(report, 0, head), _section(issues, 1, F.to_json(F.struct(*fields)), F.col("pos")))
 
@@ -166,7 +164,7 @@ def text_report(findings: DataFrame, report: DataFrame, threshold: str = "low",
         F.when(F.coalesce("code_snippet", F.lit("")) != "", F.concat(F.lit("  ```\n  "), "code_snippet", F.lit("\n  ```"))),
         F.lit(""),
     )
-    issues = running_number(shown.withColumn("_f", F.coalesce("file_ord", F.lit(-1))), ["repo"], ["place"], "_f", REPORT_ORDER[1:], "pos")
+    issues = numbered(shown, ["repo"], ["place", *REPORT_ORDER, *TIES], "pos")
     return _lines(
         _section(head, 0, title),
         _section(issues, 1, block, F.col("pos")),
@@ -189,7 +187,7 @@ def markdown_report(
     languages = language_breakdown(files).withColumn("rank", F.row_number().over(order) - 1)
     row = F.concat(F.lit("| "), "language", F.lit(" | "), F.col("file_count").cast("string"), F.lit(" | "), F.col("line_count").cast("string"), F.lit(" |"))
     shown = report_multiset(findings, project).where(F.col("place") >= FILE_LIST).withColumn("_s", -severity_rank(F.col("severity")))
-    issues = running_number(shown.withColumn("_f", F.coalesce("file_ord", F.lit(-1))), ["repo"], ["_s", "place"], "_f", REPORT_ORDER[1:], "pos")
+    issues = numbered(shown, ["repo"], ["_s", "place", *REPORT_ORDER, *TIES], "pos")
     block = F.concat(
         F.lit("### ["), F.upper("severity"), F.lit("] "), location(F.col("file"), F.col("line")), F.lit("\n\n- **Category:** "), "category",
         F.lit("\n- **Description:** "), "description", F.lit("\n- **Recommendation:** "), "recommendation", F.lit("\n"),

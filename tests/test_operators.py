@@ -10,7 +10,8 @@ from scangrove.operators import compliance, context, imports, packing, prompts,
 from scangrove.operators import findings as V
 from scangrove.operators import marks as M
 from scangrove.operators import rules as R
-from scangrove.operators.ordering import first_n_per_group, running_number, skew_join
+from scangrove.operators.ordering import first_n_per_group, heavy_keys, numbered, skew_join
+from scangrove.plans.exports import sarif_ids
 from scangrove.schemas import FINDINGS, MARKS, RESPONSES
 
 DAY = dt.datetime(2024, 1, 1)
@@ -188,20 +189,59 @@ def test_hot_groups(spark):
         F.col("id").alias("file_ord"), (F.col("id") % 7).cast("int").alias("line"), F.lit(0).alias("place"))
     df = df.union(df)
     df = df.withColumn("copy", F.monotonically_increasing_id()).cache()
-    numbered = running_number(df, ["key"], ["place"], "file_ord", ["line", "copy"], "n", cells=16)
+    placed = numbered(df.repartition(13), ["key"], ["place", "file_ord", "line", "copy"], "n")
+    summed = {(r.copy, r.key): r.before for r in numbered(df, ["key"], ["file_ord", "copy"], "before", "line").collect()}
     by_key = {}
-    for r in numbered.collect():
-        by_key.setdefault(r.key, []).append((r.file_ord, r.line, r.copy, r.n))
-    for rows in by_key.values():
-        assert [r[3] for r in sorted(rows)] == list(range(len(rows)))
+    for r in placed.collect():
+        by_key.setdefault(r.key, []).append((r.file_ord, r.copy, r.line, r.n))
+    for key, rows in by_key.items():
+        total = 0
+        for i, (_, copy, line, n) in enumerate(sorted(rows)):
+            assert (n, summed[copy, key]) == (i, total)
+            total += line
     first = first_n_per_group(df, ["key"], ["file_ord", "copy"], 5, ["copy"], salts=4).groupBy("key").count().collect()
     assert len(first) == 51 and all(r["count"] == 5 for r in first)
     names = df.select("key").distinct().withColumn("name", F.upper("key")).where("key != 'k7'").cache()
     for how, n in (("inner", df.where("key != 'k7'").count()), ("left", df.count())):
-        joined = skew_join(df, names, ["key"], how, ["file_ord"], hot=500, salts=8)
+        joined = skew_join(df, names, ["key"], how, ["file_ord"], salts=8)
         assert joined.count() == n and joined.where("name != upper(key)").count() == 0
 
 
+def test_numbering_edge_cases(spark):
+    """Nulls come first and are a group of their own; no keys, one row, no rows, and a group over many ranges."""
+    rows = [(None, 2), ("a", None), (None, None), ("a", 1), ("b", 1)]
+    df = spark.createDataFrame(rows, "k string, o int")
+    assert {(r.k, r.o): r.n for r in numbered(df, ["k"], ["o"], "n").collect()} == {(None, None): 0, (None, 2): 1, ("a", None): 0, ("a", 1): 1, ("b", 1): 0}
+    assert [r.n for r in numbered(df, [], ["k", "o"], "n").orderBy("n").collect()] == list(range(5))
+    assert numbered(df.where("false"), ["k"], ["o"], "n").collect() == []
+    wide = spark.range(20_000).select(F.lit("r").alias("k"), F.xxhash64("id").alias("o")).repartition(40)
+    got = numbered(wide, ["k"], ["o"], "n").agg(F.count_distinct("n"), F.min("n"), F.max("n")).first()
+    assert tuple(got) == (20_000, 0, 19_999)
+
+
+def test_a_million_project_issues(spark):
+    """Issues of one repository without a file order, in one place of the report, spread over the ranges."""
+    issues = spark.range(1_000_000).select(
+        F.lit("r").alias("repo"), F.lit(3).alias("place"), F.lit(None).cast("bigint").alias("file_ord"), F.lit(2).alias("part_ord"),
+        (F.col("id") % 5).alias("rule_ord"), F.lit(None).cast("int").alias("line"), F.lit("project-wide").alias("file"),
+        F.lit(None).cast("string").alias("rule_id"), F.concat(F.lit("note "), "id").alias("description"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        named = sarif_ids(issues)
+        got = named.agg(F.count_distinct("sarif_rule_id"), F.min("sarif_rule_id"), F.max(F.length("sarif_rule_id"))).first()
+        largest = named.select(F.input_file_name().alias("part")).groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert tuple(got) == (1_000_000, "llm-0000", 10) and largest < 400_000
+
+
+def test_heavy_keys_are_few(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") < 15_000, -1).otherwise(F.col("id")).alias("k"))
+    assert [tuple(r) for r in heavy_keys(df, ["k"]).collect()] == [(-1, 15_000)]
+    assert heavy_keys(spark.range(30_000).select((F.col("id") % 15_000).alias("k")), ["k"]).count() == 0
+
+
 def test_report_multiset(found):
     rows = found([{"part_ord": -1, "file_ord": -1}, {"rule_id": "x"}, {"rule_id": "y"}])
     assert V.report_multiset(rows).count() == 5

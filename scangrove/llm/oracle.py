@@ -58,3 +58,86 @@ FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id GROUP BY d.doc_id
 
 
 PERSONAL_DATA = _personal_data()
+
+
+def lowered(text: str) -> str:
+    return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+TERMS = rf"regexp_extract_all({lowered("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS t FROM documents),
+total AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2.0 * n_docs + 2) / (2.0 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, n_docs),
+q AS (SELECT item_id, term, count(*) AS k FROM (SELECT item_id, unnest({TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+s AS (
+  SELECT item_id, r, doc_id, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN weight USING (term), total GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+LINE_DEDUP = rf"""
+WITH l AS (
+  SELECT r, doc_id, i, line, {lowered(r"trim(line, e' \t\n\x0b\x0c\r')")} AS key
+  FROM (SELECT r, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i
+    FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+shared AS (
+  SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 3),
+m AS (SELECT l.*, keeper IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone FROM l LEFT JOIN shared ON l.key = shared.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r, doc_id
+"""
+
+
+def _manifest() -> str:
+    def part(column: str) -> str:
+        text = f"CAST({column} AS VARCHAR)"
+        return f"CASE WHEN {column} IS NULL THEN '-' ELSE CAST(octet_length(encode({text})) AS VARCHAR) || ':' || {text} END"
+
+    head = " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    octets = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c))"
+    # crc32, a byte at a time, with its table made on the spot.
+    table = "(SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+    def levels(name: str, leaves: str) -> str:
+        """All nodes of some trees: g, level, place, node, and the number of nodes of the level."""
+        return f"""{name} AS (
+  SELECT g, 0 AS level, place, node, n FROM {leaves}
+  UNION ALL SELECT g, level + 1, place // 8, sha256(string_agg(node, '' ORDER BY place)), (n + 7) // 8 FROM {name} WHERE n > 1 GROUP BY g, level, place // 8, n),
+{name}_siblings AS (
+  SELECT a.g, a.level, a.place, a.n, coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS lower,
+    coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS upper
+  FROM {name} a JOIN {name} b ON a.g IS NOT DISTINCT FROM b.g AND a.level = b.level AND a.place // 8 = b.place // 8 WHERE a.n > 1 GROUP BY a.g, a.level, a.place, a.n)"""
+
+    def climb(name: str, start: str, tree: str) -> str:
+        """From every row of ``start`` (r, g, place, node, proof) up to the top of its tree."""
+        return f"""{name} AS (
+  SELECT r, g, 0 AS level, place, node, proof FROM {start}
+  UNION ALL SELECT r, c.g, c.level + 1, c.place // 8, sha256(lower || node || upper), proof || lower || upper
+  FROM {name} c JOIN {tree}_siblings s ON c.g IS NOT DISTINCT FROM s.g AND c.level = s.level AND c.place = s.place)"""
+
+    return f"""
+WITH RECURSIVE h AS (
+  SELECT row_number() OVER () AS r, doc_id, lang AS g, sha256({head} || {part("text")}) AS leaf,
+    CASE WHEN {crc} % 3 = 0 THEN sha256({head} || {part(lowered("text"))}) ELSE sha256({head} || {part("text")}) END AS shown
+  FROM documents, {table}),
+leaves AS (SELECT r, doc_id, g, row_number() OVER w - 1 AS place, leaf AS node, shown, count(*) OVER (PARTITION BY g) AS n FROM h WINDOW w AS (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf)),
+{levels("tree", "leaves")},
+tops AS (SELECT 'all' AS g, row_number() OVER (ORDER BY encode(g) NULLS FIRST) - 1 AS place, node, count(*) OVER () AS n, g AS lang FROM tree WHERE n = 1),
+{levels("roof", "tops")},
+begin AS (SELECT r, g, place, shown AS node, '' AS proof FROM leaves),
+{climb("up", "begin", "tree")},
+middle AS (SELECT u.r, 'all' AS g, t.place, u.node, u.proof, t.node AS subroot FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY level DESC) AS k FROM up) u JOIN tops t ON u.g IS NOT DISTINCT FROM t.lang WHERE k = 1),
+{climb("over", "middle", "roof")},
+finish AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY level DESC) AS k FROM over) WHERE k = 1)
+SELECT l.doc_id, l.node AS leaf, m.subroot, root.node AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = root.node AS verified
+FROM leaves l JOIN middle m USING (r) JOIN finish f USING (r), (SELECT node FROM roof WHERE n = 1) root
+"""
+
+
+MANIFEST = _manifest()

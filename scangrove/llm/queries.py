@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scangrove.llm import contamination, language, markov, mixing, near_dedup, neighbours, oracle, pii, quality, toxicity, urls
+from scangrove.llm import contamination, language, lexical, line_dedup, markov, merkle, mixing, near_dedup, neighbours, oracle, pii, quality, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markov.language_model_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup_report(table(spark, sf_dir, "documents"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,6 +73,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_near_duplicates, op2_language, op3_quality, op4_neighbours, op5_toxicity, op6_personal_data, op7_benchmark_leaks, op8_mixture,
-    op9_url_filter, op10_language_model, pipeline,
+    op9_url_filter, op10_language_model, op11_ranked_search, op12_line_dedup, op13_manifest, pipeline,
 )}
-ORACLES = {"op1_near_duplicates": oracle.NEAR_DUPLICATES, "op6_personal_data": oracle.PERSONAL_DATA}
+ORACLES = {
+    "op1_near_duplicates": oracle.NEAR_DUPLICATES, "op6_personal_data": oracle.PERSONAL_DATA, "op11_ranked_search": oracle.RANKED_SEARCH,
+    "op12_line_dedup": oracle.LINE_DEDUP, "op13_manifest": oracle.MANIFEST,
+}

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import contextvars
 import functools
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,11 +51,38 @@ def shared_dir(spark: SparkSession) -> str:
 
 @functools.cache
 def _temporary() -> str:
-    return tempfile.mkdtemp(prefix="scangrove-")
+    path = tempfile.mkdtemp(prefix="scangrove-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+_RUN: contextvars.ContextVar[str | None] = contextvars.ContextVar("run", default=None)
+
+
+@contextlib.contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """What is stored inside goes to one folder of the shared one, which is deleted at the end.
+
+    Results that are wanted afterwards have to be written elsewhere inside.
+    """
+    path = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    token = _RUN.set(path)
+    try:
+        yield path
+    finally:
+        _RUN.reset(token)
+        fs, target = file_system(spark, path)
+        fs.delete(target, True)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, as the executors see it, and the path in its terms."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_RUN.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

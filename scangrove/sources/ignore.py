@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip
+from ..session import stored
+
+#: Lines of all repositories that are compiled in each task, and the lines of a slice if there are more.
+MOST_LINES, SLICE = 200_000, 200
 
 
 def glob_regex(line: str) -> str | None:
@@ -48,45 +54,72 @@ def glob_regex(line: str) -> str | None:
     return f"\\A{head}{''.join(out)}{tail}\\z"
 
 
-def ignore_rules(lines: DataFrame) -> DataFrame:
-    """repo, runs: the ignore lines of each repository, last first, as alternating runs of one regex each.
-
-    Neighbouring lines of the same kind are merged into one alternation, so a
-    file is usually tested against a single regex.
-    """
+def used_lines(lines: DataFrame) -> DataFrame:
+    """repo, line_no, negated, regex: the lines that say something."""
     @F.pandas_udf(T.StringType())
     def to_regex(globs: pd.Series) -> pd.Series:
         return globs.map(glob_regex)
 
-    used = (
-        lines.where((strip(F.col("pattern")) != "") & ~F.col("pattern").startswith("#"))
-        .withColumn("pattern", strip(F.col("pattern")))
-        .withColumn("negated", F.col("pattern").startswith("!"))
-        .withColumn("regex", to_regex(F.regexp_replace("pattern", "^!", "")))
+    text = strip(F.col("pattern"))
+    return (
+        lines.where((text != "") & ~F.col("pattern").startswith("#"))
+        .select("repo", "line_no", text.startswith("!").alias("negated"), to_regex(F.regexp_replace(text, "^!", "")).alias("regex"))
         .where(F.col("regex").isNotNull())
     )
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("line_no")).alias("o"), "negated", "regex")))
-    none = F.array().cast("array<struct<negated:boolean,regex:string>>")
-    runs = F.aggregate(
-        ordered, none,
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["negated"] == x["negated"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(x["negated"].alias("negated"),
-                                 F.concat(F.try_element_at(acc, F.lit(-1))["regex"], F.lit("|"), x["regex"]).alias("regex"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["negated"].alias("negated"), x["regex"].alias("regex"))))),
-    )
-    return used.groupBy("repo").agg(runs.alias("runs"))
+
+
+def _runs(lines: list[tuple[bool, str]]) -> list[tuple[bool, str]]:
+    """Lines in order as runs of one kind, last first, each one regex."""
+    runs = []
+    for negated, group in groupby(reversed(lines), key=lambda x: x[0]):
+        runs.append((negated, "|".join(f"(?:{regex})" for _, regex in group)))
+    return runs
+
+
+def _last_match(runs: list[tuple[bool, str]], path: str) -> bool | None:
+    """Whether the last line that matches ignores the path; none if no line does."""
+    return next((not negated for negated, regex in runs if _compiled(regex).search(path)), None)
+
+
+@functools.lru_cache(maxsize=4096)
+def _compiled(regex: str) -> re.Pattern:
+    return re.compile(regex.replace("\\z", "\\Z"))
 
 
 def drop_ignored(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """Files whose last matching ignore line is absent or negated.
+    """Files whose last matching ignore line is absent or negated (A2).
 
-    Decided on the listing (repo, path); the files themselves only meet the paths to leave out, each a key of its own.
+    Up to ``MOST_LINES`` lines, those of all repositories are shared with the tasks and compiled there, and nothing is shuffled: only repo
+    and path are handed to the expression.  With more lines the paths, without their contents, meet slices of lines.
     """
-    deciding = F.filter("runs", lambda r: F.rlike("path", r["regex"]))
-    ignored = F.coalesce(~F.try_element_at(deciding, F.lit(1))["negated"], F.lit(False))
-    out = files.select("repo", "path").join(ignore_rules(lines), "repo").where(ignored).select("repo", "path").distinct()
-    return files.join(out, ["repo", "path"], "left_anti").select(*files.columns)
+    used = stored(used_lines(lines), "ignore-lines")
+    if used.count() <= MOST_LINES:
+        by_repo: dict[str, list[tuple[bool, str]]] = {}
+        for r in used.orderBy("repo", "line_no").collect():
+            by_repo.setdefault(r["repo"], []).append((r["negated"], r["regex"]))
+        shared = files.sparkSession.sparkContext.broadcast({repo: _runs(of_repo) for repo, of_repo in by_repo.items()})
+
+        @F.pandas_udf(T.BooleanType())
+        def ignored(repos: pd.Series, paths: pd.Series) -> pd.Series:
+            rules = shared.value
+            return pd.Series([bool(_last_match(rules.get(repo, []), path)) for repo, path in zip(repos, paths, strict=True)])
+
+        return files.where(~ignored("repo", "path"))
+    return files.join(ignored_paths(files.select("repo", "path"), used), ["repo", "path"], "left_anti").select(*files.columns)
+
+
+def ignored_paths(paths: DataFrame, used: DataFrame) -> DataFrame:
+    """repo, path of the ignored files: each path is tried against slices of its repository's lines, and the last match of all slices decides."""
+    line = F.struct("line_no", "negated", "regex")
+    slices = used.withColumn("slice", F.floor(F.col("line_no") / SLICE)).groupBy("repo", "slice").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+
+    @F.pandas_udf(T.BooleanType())
+    def decided(names: pd.Series, rules: pd.Series) -> pd.Series:
+        out = []
+        for path, of_slice in zip(names, rules, strict=True):
+            out.append(_last_match(_runs([(x["negated"], x["regex"]) for x in of_slice]), path))
+        return pd.Series(out, dtype="object")
+
+    tried = paths.join(slices, "repo").withColumn("ignored", decided("path", "lines")).where(F.col("ignored").isNotNull())
+    last = F.max(F.col("slice") * 2 + F.col("ignored").cast("int")).alias("last")
+    return tried.groupBy("repo", "path").agg(last).where(F.col("last") % 2 == 1).select("repo", "path")

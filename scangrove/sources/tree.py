@@ -5,13 +5,15 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import count_lines
-from ..operators.ordering import first_n_per_group
+from ..operators.ordering import first_n_per_group, numbered
 from ..schemas import FILES
 from ..session import stored
 from .ignore import drop_ignored
@@ -129,55 +131,86 @@ def cap_files(files: DataFrame, max_files: int) -> DataFrame:
     return first_n_per_group(files, ["repo"], ["path"], max_files, ["path"])
 
 
-def _list_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """repo, path and size of all files below the given folders; folders that are never entered are passed over."""
-    for batch in batches:
-        for repo, folder, hidden in batch.itertuples(index=False):
-            for at, dirs, names in os.walk(folder):
-                dirs[:] = [d for d in dirs if d not in SKIPPED_DIRS and (hidden or not d.startswith("."))]
+def _opened(root: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a root folder, local or by URI, and the folder in its terms."""
+    if "://" in root:
+        return pafs.FileSystem.from_uri(root)
+    return pafs.LocalFileSystem(), root
+
+
+def _list_level(root: str, many: bool, hidden: bool):
+    """Files and subfolders of some folders; folders that are never entered are left out."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, _ = _opened(root)
+        for batch in batches:
+            for repo, folder, inside in batch.itertuples(index=False):
                 rows = []
-                for name in names:
-                    full = os.path.join(at, name)
-                    if os.path.isfile(full):
-                        rows.append((repo, os.path.relpath(full, folder).replace(os.sep, "/"), full, os.path.getsize(full)))
+                for info in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+                    is_folder, name = info.type == pafs.FileType.Directory, info.base_name
+                    if many and repo is None:
+                        # The folders at the top are the repositories.
+                        rows += [(name, info.path, "", None, True)] if is_folder else []
+                    elif is_folder:
+                        linked = isinstance(fs, pafs.LocalFileSystem) and os.path.islink(info.path)
+                        if name not in SKIPPED_DIRS and (hidden or not name.startswith(".")) and not linked:
+                            rows.append((repo, info.path, f"{inside}{name}/", None, True))
+                    elif info.type == pafs.FileType.File:
+                        rows.append((repo, info.path, f"{inside}{name}", info.size, False))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["repo", "path", "full", "size_bytes"])
+                    yield pd.DataFrame(rows, columns=["repo", "full", "path", "size_bytes", "is_folder"])
+    return run
 
 
-def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_files(root: str):
     """The bytes of the listed files, a few files at a time."""
-    def content(full: str) -> bytes:
-        try:
-            with open(full, "rb") as f:
-                return f.read()
-        except OSError as error:
-            return f"[Error reading file: {error}]".encode()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, _ = _opened(root)
+
+        def content(full: str) -> bytes:
+            try:
+                with fs.open_input_file(full) as f:
+                    return f.read()
+            except OSError as error:
+                return f"[Error reading file: {error}]".encode()
+
+        for batch in batches:
+            for i in range(0, len(batch), 16):
+                part = batch.iloc[i:i + 16]
+                yield part.assign(data=part["full"].map(content)).drop(columns="full")
+    return run
+
 
-    for batch in batches:
-        for i in range(0, len(batch), 16):
-            part = batch.iloc[i:i + 16]
-            yield part.assign(data=part["full"].map(content)).drop(columns="full")
+def walk_key(path: Column) -> Column:
+    """Sorts paths as a walk meets them: the files of a folder by name, then its subfolders by name, each with all that is in it."""
+    parts = F.concat(F.lit("\u0001"), F.replace(path, F.lit("/"), F.lit("\u0001")))
+    return F.regexp_replace(parts, "\u0001([^\u0001]*)\\z", "\u0000$1")
 
 
 def list_tree(spark: SparkSession, root: str, many: bool = False, include_hidden: bool = False) -> DataFrame:
     """repo, file_ord, path, size_bytes and full name of all files under a folder, without reading them (A1).
 
-    The folder is one repository, or with ``many`` each folder in it is one.
-    Driver and executors must be able to reach it, as with a mounted share.
-    Spark's own file sources are not used here as they pass over names starting
-    with ``_`` or ``.``, such as ``__init__.py``; see ``read_objects``.
+    The folder is one repository, or with ``many`` each folder in it is one.  It is a path that driver and executors can reach, as with a
+    mounted share, or a URI of a store that Arrow's file systems know; names starting with ``_`` or ``.`` are seen, unlike by Spark's own
+    file sources.  Folders are listed level by level: the folders of each level are dealt to all tasks anew, so a large
+    repository is no task of its own, and the driver lists nothing.  ``file_ord`` numbers the files of a repository in walk order.
     """
     base = root.rstrip("/")
-    folders = [e.path for e in os.scandir(base) if e.is_dir()] if many else [base]
-    start = spark.createDataFrame([(os.path.basename(f), f, include_hidden) for f in folders], "repo string, folder string, hidden boolean")
-    listed = start.repartition(max(1, min(len(folders), 10_000))).mapInPandas(
-        _list_files, "repo string, path string, full string, size_bytes bigint",
-    )
-    return listed.select("repo", _path_order(), "path", "size_bytes", "full")
-
-
-def read_listed(listed: DataFrame, max_file_kb: int | None = None) -> DataFrame:
-    """The listed files with their text; files above the size limit are kept but not read.
+    _, top = _opened(base)
+    level = spark.createDataFrame([(None if many else base.rsplit("/", 1)[-1], top, "")], "repo string, folder string, inside string")
+    levels, folders = [], 1
+    while folders:
+        tasks = max(1, min(folders, 4 * spark.sparkContext.defaultParallelism))
+        listed = level.repartition(tasks).mapInPandas(
+            _list_level(base, many, include_hidden), "repo string, full string, path string, size_bytes bigint, is_folder boolean")
+        levels.append(stored(listed, "folders"))
+        level = levels[-1].where("is_folder").select("repo", F.col("full").alias("folder"), F.col("path").alias("inside"))
+        folders = level.count()
+    files = reduce(DataFrame.unionByName, levels).where("NOT is_folder").drop("is_folder").withColumn("_walk", walk_key(F.col("path")))
+    return numbered(files, ["repo"], ["_walk"], "file_ord").select("repo", "file_ord", "path", "size_bytes", "full")
+
+
+def read_listed(listed: DataFrame, root: str, max_file_kb: int | None = None) -> DataFrame:
+    """The files listed below ``root`` with their text; files above the size limit are kept but not read.
 
     The list is spread evenly over the tasks that read, so a large repository
     is no hot spot.
@@ -185,7 +218,7 @@ def read_listed(listed: DataFrame, max_file_kb: int | None = None) -> DataFrame:
     spread_out = listed.repartition(listed.sparkSession.sparkContext.defaultParallelism)
     small = _within(max_file_kb)
     fields = "repo string, file_ord bigint, path string, size_bytes bigint, data binary"
-    read = spread_out.where(small).mapInPandas(_read_files, fields).withColumn("content", read_text(decode(F.col("data")))).drop("data")
+    read = spread_out.where(small).mapInPandas(_read_files(root.rstrip("/")), fields).withColumn("content", read_text(decode(F.col("data")))).drop("data")
     return read.unionByName(spread_out.where(~small).drop("full").withColumn("content", F.lit("")))
 
 
@@ -193,7 +226,7 @@ def read_tree(
     spark: SparkSession, root: str, many: bool = False, max_file_kb: int | None = None, include_hidden: bool = False,
 ) -> DataFrame:
     """All files under a folder as a tree table (A1)."""
-    return read_listed(list_tree(spark, root, many, include_hidden), max_file_kb)
+    return read_listed(list_tree(spark, root, many, include_hidden), root, max_file_kb)
 
 
 def read_source_files(
@@ -205,22 +238,19 @@ def read_source_files(
     Only the ignore files at the root of each repository are read beforehand.
     """
     listed = stored(list_tree(spark, root, many, include_hidden), "listing")
-    ignored = ignore_file_lines(read_listed(listed.where(F.col("path") == ".gitignore")))
+    ignored = ignore_file_lines(read_listed(listed.where(F.col("path") == ".gitignore"), root))
     kept = drop_ignored(listed.where(_is_source(max_file_kb, include_hidden)), ignored)
     if max_files is not None:
         kept = cap_files(kept, max_files)
-    files = read_listed(kept, max_file_kb)
+    files = read_listed(kept, root, max_file_kb)
     return files.withColumn("language", detect_language(F.col("path"))).select(*FILES.fieldNames())
 
 
-def _path_order() -> Column:
-    return F.shiftrightunsigned(F.xxhash64("path"), 1).alias("file_ord")
-
-
 def read_objects(spark: SparkSession, root: str, many: bool = False, glob: str | None = None) -> DataFrame:
-    """The same from an object store through Spark's binary file source.
+    """A tree through Spark's binary file source, for stores that only Spark reaches.
 
-    That source passes over names starting with ``_`` or ``.``.
+    That source passes over names starting with ``_`` or ``.``, so there is no ``__init__.py``; ``read_tree`` sees them.
+    ``file_ord`` is a hash of the path, as the order of a walk would take a listing first.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
@@ -233,7 +263,8 @@ def read_objects(spark: SparkSession, root: str, many: bool = False, glob: str |
         (F.regexp_replace(inside, "^[^/]*/", "") if many else inside).alias("path"),
         F.col("length").alias("size_bytes"), F.col("content").alias("data"),
     )
-    return located.select("repo", _path_order(), "path", "size_bytes", read_text(decode(F.col("data"))).alias("content"))
+    order = F.shiftrightunsigned(F.xxhash64("path"), 1).alias("file_ord")
+    return located.select("repo", order, "path", "size_bytes", read_text(decode(F.col("data"))).alias("content"))
 
 
 def ignore_file_lines(tree: DataFrame) -> DataFrame:

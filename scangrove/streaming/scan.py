@@ -6,16 +6,18 @@ counters are specific to streams.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..catalog import Rule
+from ..catalog import SEVERITIES, Rule
 from ..operators.marks import suppress
-from ..operators.scan import scan_rules
+from ..operators.scan import scan_files, scan_rules
 from ..session import fresh_path
 
 
@@ -45,14 +47,66 @@ def running_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("repo", "severity").agg(F.count("*").alias("findings"))
 
 
-def changed_only(files: DataFrame, arrived: str, delay: str = "7 days") -> DataFrame:
-    """Files whose content was not seen in the same place within the delay."""
-    return (
-        files.withColumn("_hash", F.sha2("content", 256)).withWatermark(arrived, delay)
-        .dropDuplicatesWithinWatermark(["repo", "path", "_hash"]).drop("_hash")
+def batch_counts(files: DataFrame, rules: DataFrame | Sequence[Rule] | None = None) -> DataFrame:
+    """Per repository the files scanned and the findings of each severity, from one read of the texts."""
+    found = ~F.col("is_file")
+    return scan_files(files, rules).groupBy("repo").agg(
+        F.count_if("is_file").alias("files_scanned"), *[F.count_if(found & (F.col("severity") == s)).alias(s) for s in SEVERITIES[::-1]],
     )
 
 
+def count_batches(path: str, rules: DataFrame | Sequence[Rule] | None = None) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: keeps the counts of each batch under its number, so a batch that is repeated replaces its own counts."""
+    def write(files: DataFrame, batch: int) -> None:
+        batch_counts(files, rules).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    return write
+
+
+def progress(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+    """How far a scan has come: files scanned, of how many ``known`` (repo, path), and findings by severity, per repository."""
+    names = ["files_scanned", *SEVERITIES[::-1]]
+    schema = "repo string, " + ", ".join(f"{c} bigint" for c in names) + ", batch bigint"
+    done = spark.read.schema(schema).parquet(path).groupBy("repo").agg(*[F.sum(c).alias(c) for c in names])
+    if known is None:
+        return done
+    total = known.groupBy("repo").agg(F.count("*").alias("files_known"))
+    return total.join(done, "repo", "full").select("repo", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("files_known", *names)])
+
+
+def run_progress(files: DataFrame, label: str, known: DataFrame | None = None) -> DataFrame:
+    """Scan everything that is there and return the progress."""
+    spark = files.sparkSession
+    out = fresh_path(spark, label)
+    writer = files.writeStream.option("checkpointLocation", fresh_path(spark, f"{label}-progress")).trigger(availableNow=True)
+    writer.foreachBatch(count_batches(out)).start().awaitTermination()
+    return progress(spark, out, known)
+
+
+def changed_only(files: DataFrame, arrived: str, forget_after: str = "7 days") -> DataFrame:
+    """Files whose content differs from what was last seen in the same place.
+
+    The state is one hash a file.  It is forgotten when a file has not been seen for some time, of the clock; a file that comes back
+    later counts as changed.  Versions of a file in one batch are taken in order of ``arrived``; they are held together.
+    """
+    millis, names = int(pd.Timedelta(forget_after).total_seconds() * 1000), files.columns
+
+    def step(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values([arrived, "_hash"], kind="stable")
+        before = rows["_hash"].shift(fill_value=state.get[0] if state.exists else "")
+        state.update((rows["_hash"].iloc[-1],))
+        state.setTimeoutTimestamp(int(rows["_ms"].max()) + millis)
+        yield rows[rows["_hash"] != before][names]
+
+    # The time of the batch is the time that state goes by, so no row is ever late.
+    hashed = files.withColumns({
+        "_hash": F.coalesce(F.sha2("content", 256), F.lit("none")), "_now": F.current_timestamp(), "_ms": F.unix_millis(F.current_timestamp()),
+    }).withWatermark("_now", "1 second")
+    return hashed.groupBy("repo", "path").applyInPandasWithState(step, files.schema, "hash string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Process everything that is there and return the written rows.
 

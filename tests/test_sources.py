@@ -1,8 +1,11 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from scangrove.functions import text as X
-from scangrove.sources import tree
+from scangrove.sources import ignore, tree
 from scangrove.sources.ignore import glob_regex
 from scangrove.sources.repos import describe_sources, within_roots, without_files
 
@@ -85,6 +88,50 @@ def test_tree_of_many_repositories(spark, repo_dir):
     assert {".secret.py", ".ci/d.py"} <= {r.path for r in shown.collect()}
 
 
+def test_walk_order_and_hidden_names_by_uri(spark, tmp_path):
+    """A walk meets the files of a folder, then its subfolders; names that Spark's own sources pass over are there, by URI as well."""
+    for path in ("b.py", "a/z.py", "a/_x.py", "a/__init__.py", "a/sub/y.py", "a.b/k.py", "_private/p.py", "c.py"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(path)
+    want = ["b.py", "c.py", "_private/p.py", "a/__init__.py", "a/_x.py", "a/z.py", "a/sub/y.py", "a.b/k.py"]
+    (tmp_path / "loop").symlink_to(tmp_path)
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        rows = sorted(tree.read_tree(spark, root).collect(), key=lambda r: r.file_ord)
+        assert [(r.file_ord, r.path, r.content) for r in rows] == [(i, p, p) for i, p in enumerate(want)]
+
+
+def test_a_wide_repository_is_listed_by_all_tasks(spark, tmp_path):
+    """Thousands of folders of one repository: the level that holds them is dealt out."""
+    for i in range(3000):
+        (tmp_path / "repo" / f"d{i}").mkdir(parents=True)
+    (tmp_path / "repo" / "d7" / "x.py").write_text("x")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        level = spark.createDataFrame([("r", f"{tmp_path}/repo/d{i}", f"d{i}/") for i in range(3000)], "repo string, folder string, inside string").repartition(32)
+        dealt = level.groupBy(F.spark_partition_id().alias("p")).count().agg(F.count("*"), F.max("count")).first()
+        assert dealt[0] == 32 and dealt[1] < 200
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert [(r.repo, r.path) for r in tree.list_tree(spark, str(tmp_path), many=True).collect()] == [("repo", "d7/x.py")]
+
+
+def test_many_ignore_lines(spark, make_files, monkeypatch):
+    """The last of ten thousand lines that matches decides, with lines shared by the tasks as with slices of lines; no content is shuffled."""
+    rng = random.Random(4)
+    lines = [rng.choice(["*.py", "!*.py", "f{}.py", "!f{}.py", "d{}/", "!d{}/f{}.py", "d{}/*.js"]).format(*(rng.randrange(60) for _ in "ab")) for _ in range(10_000)]
+    paths = [f"d{rng.randrange(60)}/f{rng.randrange(60)}.{rng.choice(['py', 'js', 'md'])}" for _ in range(400)]
+    files = make_files([(p, "Python", "text") for p in sorted(set(paths))])
+    given = spark.createDataFrame([("r", i, x) for i, x in enumerate(lines)], "repo string, line_no int, pattern string")
+    compiled = [(x.startswith("!"), re.compile(glob_regex(x.removeprefix("!")).replace("\\z", "\\Z"))) for x in lines]
+    want = sorted(p for p in set(paths) if next((negated for negated, regex in reversed(compiled) if regex.search(p)), True))
+    kept = ignore.drop_ignored(files, given)
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.path for r in kept.collect()) == want
+    monkeypatch.setattr(ignore, "MOST_LINES", 0)
+    assert sorted(r.path for r in ignore.drop_ignored(files, given).collect()) == want
+
+
 def test_large_files_are_listed_but_not_read(spark, repo_dir):
     rows = {r.path: r for r in tree.read_tree(spark, repo_dir + "/two", max_file_kb=2).collect()}
     assert (rows["big.py"].size_bytes, rows["big.py"].content) == (3000, "")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import CHARS_PER_TOKEN
 from ..session import stored
 from ..sources.tree import file_name
+from .imports import graph_of, import_names
 from .ordering import skew_join
 
 # Budget, line limits, and the layout of the block.
@@ -41,19 +42,25 @@ def _excerpt(first: Column, n_lines: Column, name: Column, lines: int) -> Column
     return F.when(n_lines > lines, F.concat(head, note)).otherwise(head)
 
 
-def file_heads(files: DataFrame) -> DataFrame:
-    """What an import of a file may show: target_path, name, the first lines, how many lines there are, lengths of both excerpts.
+def module_facts(files: DataFrame) -> DataFrame:
+    """All that imports and context blocks need of each file, from one read of the contents.
 
-    Empty files have no row.  Store it: it is the only read of the contents that context blocks need, and only its lines are shuffled.
+    The imported names, the first lines, how many lines there are, and the lengths of both excerpts.  Store it: only its lines are shuffled.
     """
-    shown = files.where(~F.col("content").isin("", "\n")).select(
-        "repo", F.col("path").alias("target_path"), file_name(F.col("path")).alias("name"), _lines(F.col("content")).alias("_all"),
-    ).select("repo", "target_path", "name", F.slice("_all", 1, LONG_EXCERPT).alias("head"), F.size("_all").alias("n_lines"))
+    shown = files.select(
+        "repo", "path", "language", import_names().alias("specs"), file_name(F.col("path")).alias("name"), _lines(F.col("content")).alias("_all"),
+        F.col("content").isin("", "\n").alias("empty"),
+    ).select("repo", "path", "language", "specs", "name", "empty", F.slice("_all", 1, LONG_EXCERPT).alias("head"), F.size("_all").alias("n_lines"))
     sizes = [F.length(_excerpt(F.col("head"), F.col("n_lines"), F.col("name"), n)).alias(kind)
              for kind, n in (("long", LONG_EXCERPT), ("short", SHORT_EXCERPT))]
     return shown.select("*", *sizes)
 
 
+def file_heads(modules: DataFrame) -> DataFrame:
+    """What an import of a file may show; empty files have no row."""
+    return modules.where(~F.col("empty")).select("repo", F.col("path").alias("target_path"), "name", "head", "n_lines", "long", "short")
+
+
 def context_choices(resolved: DataFrame, heads: DataFrame, max_tokens: int = CONTEXT_TOKENS) -> DataFrame:
     """Which imports of each file get a long or a short excerpt (the decisions of K7).
 
@@ -94,12 +101,13 @@ def context_choices(resolved: DataFrame, heads: DataFrame, max_tokens: int = CON
     )
 
 
-def context_blocks(resolved: DataFrame, files: DataFrame, max_tokens: int = CONTEXT_TOKENS) -> DataFrame:
-    """repo, path, context for every file; empty where nothing fits (K7)."""
+def context_blocks(files: DataFrame, max_tokens: int = CONTEXT_TOKENS) -> DataFrame:
+    """repo, path, context for every file; empty where nothing fits (K7).  The contents are read once."""
     everyone = files.select("repo", "path")
     if max_tokens <= 0:
         return everyone.withColumn("context", F.lit(""))
-    heads = stored(file_heads(files), "file-heads")
+    modules = stored(module_facts(files), "modules")
+    resolved, heads, everyone = graph_of(modules.select("repo", "path", "language", "specs")), file_heads(modules), modules.select("repo", "path")
     choices = stored(context_choices(resolved, heads, max_tokens), "context-choices")
     texts = heads.select("repo", "target_path", "name", "head", "n_lines").join(choices.select("repo", "target_path").distinct(), ["repo", "target_path"], "left_semi")
     chosen = skew_join(choices, texts, ["repo", "target_path"], "inner", ["path"])

@@ -81,27 +81,26 @@ def script_modules(source: Column) -> Column:
     return F.filter(specs, lambda s: s.startswith(".") | s.startswith("/"))
 
 
-def import_edges(files: DataFrame) -> DataFrame:
-    """repo, path, language, spec, spec_ord: the imports of every file, each once, in order.
+def import_names() -> Column:
+    """The names that a file imports, from the columns language and content: each once, in order; null for other languages.
 
     Only files that mention an import at all are handed to the Python parser.
     """
-    label = F.lower("language")
-    base = files.select("repo", "path", "language", "content")
-    python = (
-        base.where(label.isin(PYTHON_LABELS) & F.col("content").contains("import"))
-        .select("repo", "path", "language", python_modules("content").alias("found"))
-        .select("repo", "path", "language", F.transform(
-            F.filter("found", lambda m: m["top"].isNull() | ~m["top"].isin(OUTSIDE_MODULES)), lambda m: m["spec"],
-        ).alias("specs"))
-    )
-    script = base.where(
-        label.isin(SCRIPT_LABELS) & (F.col("content").contains("import") | F.col("content").contains("require")),
-    ).select("repo", "path", "language", script_modules(F.col("content")).alias("specs"))
+    label, content = F.lower("language"), F.col("content")
+    python = label.isin(PYTHON_LABELS) & content.contains("import")
+    script = label.isin(SCRIPT_LABELS) & (content.contains("import") | content.contains("require"))
+    found = F.filter(python_modules(F.when(python, content)), lambda m: m["top"].isNull() | ~m["top"].isin(OUTSIDE_MODULES))
     # array_distinct keeps the first of equal names in place.
-    return python.unionByName(script).select(
-        "repo", "path", "language", F.posexplode(F.array_distinct("specs")).alias("spec_ord", "spec"),
-    )
+    return F.array_distinct(F.when(python, F.transform(found, lambda m: m["spec"])).when(script, script_modules(F.when(script, content))))
+
+
+def import_edges(files: DataFrame) -> DataFrame:
+    """repo, path, language, spec, spec_ord: the imports of every file, from one read of the contents."""
+    return edges_of(files.select("repo", "path", "language", import_names().alias("specs")))
+
+
+def edges_of(named: DataFrame) -> DataFrame:
+    return named.select("repo", "path", "language", F.posexplode("specs").alias("spec_ord", "spec"))
 
 
 def _normalised(parts: Column) -> Column:
@@ -157,8 +156,12 @@ def resolve_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
 
 def import_graph(files: DataFrame) -> DataFrame:
     """The resolved imports of all files, as a stored table: contents are read and parsed once."""
-    edges = stored(import_edges(files), "imports")
-    return stored(resolve_imports(edges, files.select("repo", "path")), "import-targets")
+    return graph_of(stored(files.select("repo", "path", "language", import_names().alias("specs")), "imports"))
+
+
+def graph_of(named: DataFrame) -> DataFrame:
+    """The same from a stored table of all files with their ``specs``."""
+    return stored(resolve_imports(stored(edges_of(named), "import-edges"), named.select("repo", "path")), "import-targets")
 
 
 def degrees(resolved: DataFrame, files: DataFrame) -> DataFrame:

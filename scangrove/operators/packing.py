@@ -68,3 +68,12 @@ def mark_excluded(packed: DataFrame) -> DataFrame:
     """Give analysed files outside the bundle their reason; they stay analysed."""
     left_out = F.col("analyzed") & ~F.col("in_bundle")
     return packed.withColumn("skip_reason", F.when(left_out, EXCLUDED_REASON).otherwise(F.col("skip_reason")))
+
+
+def with_texts(files: DataFrame, chosen: DataFrame, few: int = 100_000) -> DataFrame:
+    """The files that ``chosen`` (a stored table with repo and path) names, with their contents and the columns of ``chosen``.
+
+    Few paths are sent to the contents, which then stay where they are; only if there are more are contents shuffled.
+    """
+    paths = F.broadcast(chosen) if chosen.count() <= few else chosen
+    return files.join(paths, ["repo", "path"])

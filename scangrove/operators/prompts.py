@@ -140,3 +140,13 @@ def store_responses(responses: DataFrame, fresh: DataFrame, now: Column, ttl_sec
 def keep_latest(responses: DataFrame, max_entries: int = 1024) -> DataFrame:
     """The entries that expire last, at most so many."""
     return responses.orderBy(F.col("expires_at").desc(), "key").limit(max_entries)
+
+
+def unexpired(responses: DataFrame, now: Column) -> DataFrame:
+    """The entries that may still be used; written over the table they evict the others."""
+    return responses.where(F.col("expires_at") >= now)
+
+
+def response_size(responses: DataFrame, now: Column) -> DataFrame:
+    """Entries of a response table, and how many of them have expired."""
+    return responses.agg(F.count("*").alias("entries"), F.count_if(F.col("expires_at") < now).alias("expired"))

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
-
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import SCANNERS, SEVERITIES, Rule, collect_rules
+from ..catalog import SCANNERS, SEVERITIES
 from ..functions.regexes import jvm_pattern
 from ..functions.text import strip
 from ..schemas import RULES
-from ..session import local_table
 
 PATCHABLE = ["name", "pattern", "severity", "description", "recommendation", "language", "compliance_ref", "enabled"]
 
@@ -119,7 +117,25 @@ def lint(rules: DataFrame) -> DataFrame:
     problems = F.filter(F.array(*[F.when(test, F.lit(text)) for test, text in checks]), lambda p: p.isNotNull())
     out = rules.select("id", F.explode(problems).alias("problem"))
     repeated = rules.groupBy("id").count().where("count > 1").select("id", F.lit("id is not unique").alias("problem"))
-    broken: Sequence[tuple[Rule, str | None]] = [(r, check_pattern(rules.sparkSession, r.pattern)) for r in collect_rules(rules)]
-    rows = [(r.id, why) for r, why in broken if why]
-    out = out.unionByName(repeated)
-    return out.unionByName(local_table(rules.sparkSession, rows, "id string, problem string")) if rows else out
+    return out.unionByName(repeated).unionByName(broken_patterns(rules))
+
+
+def broken_patterns(rules: DataFrame) -> DataFrame:
+    """id, problem of patterns that do not compile in one of the two regex dialects; tried in the tasks, for a catalog of any size."""
+    @F.pandas_udf("problem string, jvm string")
+    def tried(patterns: pd.Series) -> pd.DataFrame:
+        rows = []
+        for pattern in patterns:
+            try:
+                re.compile(pattern or "")
+                rows.append((None, jvm_pattern(pattern or "", "\\n" in (pattern or "") or "\n" in (pattern or ""))))
+            except re.error as error:
+                rows.append((str(error), None))
+        return pd.DataFrame(rows, columns=["problem", "jvm"])
+
+    compiled = F.expr("try_reflect('java.util.regex.Pattern', 'compile', t.jvm)")
+    why = F.coalesce("t.problem", F.when(F.col("t.jvm").isNotNull() & compiled.isNull(), "not a pattern of the JVM"))
+    return (
+        rules.select("id", tried("pattern").alias("t")).withColumn("why", why).where(F.col("why").isNotNull())
+        .select("id", F.concat(F.lit("invalid regex: "), "why").alias("problem"))
+    )

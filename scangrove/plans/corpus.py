@@ -98,6 +98,37 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("repo", "path", "file_ord", response.alias("response"))
 
 
+def project_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's answer on each repository, by the number of its files: with issues and score, unreadable, empty, or with an odd score."""
+    n = F.col("n")
+    full = F.concat(
+        F.lit('{"project_level_issues":[{"severity":"high","description":"No tests"},{"category":"bug","severity":"low","file":"README.md","line":3,'
+              '"description":"Old","recommendation":"Renew"},{"category":"nothing"}],"overall_assessment":"Fair.","overall_risk_score":'),
+        (n % 130).cast("string"), F.lit("}"),
+    )
+    response = (
+        F.when(n % 4 == 0, full).when(n % 4 == 1, "No object here.").when(n % 4 == 2, '{"project_level_issues":[],"overall_assessment":""}')
+        .otherwise('Well:\n```json\n{"overall_assessment":"Weak.","overall_risk_score":"high"}\n```')
+    )
+    return files(spark, sf_dir).groupBy("repo").agg(F.count("*").alias("n")).select("repo", response.alias("response"))
+
+
+def bundle_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's answers on bundles, a part for each file: an issue of the file and one of no file, and now and then words on the project."""
+    doc = F.col("file_ord")
+    number = doc.cast("string")
+    issues = F.concat(
+        F.lit('{"issues":[{"file":"'), "path", F.lit('","category":"'), pick(CATEGORIES, doc), F.lit('","severity":"'),
+        F.when(doc % 6 == 4, "urgent").otherwise(pick(SEVERITIES, doc)), F.lit('","line":'), (doc % 40).cast("string"), F.lit(',"description":"'), note(doc),
+        F.lit('","recommendation":"Look at it"},{"file":"nowhere.py","description":"lost"}]'),
+    )
+    project = F.when(doc % 50 == 7, F.concat(
+        F.lit(',"project_level_issues":[{"description":"Part '), number, F.lit('"}],"overall_assessment":"Part '), number, F.lit('.","overall_risk_score":'),
+        (doc % 130).cast("string"),
+    )).otherwise("")
+    return files(spark, sf_dir).select("repo", F.concat(issues, project, F.lit("}")).alias("response"))
+
+
 def module_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as Python and script modules that import each other; the text follows as comments."""
     doc = F.col("doc_id")

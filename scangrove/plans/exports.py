@@ -30,6 +30,8 @@ SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0-rtm.5.json"
 SNIPPET_CHARS = 500
 SHORT_CHARS = 120
 
+CATALOG = 100_000
+
 # Issues in the same place of a report are told apart by these, so that one place never holds many of them in one range.
 TIES = ["file", "rule_id", "description"]
 
@@ -56,18 +58,38 @@ def sarif_results(identified: DataFrame) -> DataFrame:
     )
 
 
+def _order_key() -> Column:
+    """The place of an issue in a report as one number of fixed width, so that its minimum is a hash aggregate.
+
+    One digit for the place, 19 for the file, 2 for the part, 7 for the rule and 9 for the line: 38 in all.
+    """
+    def digits(name: str, n: int) -> Column:
+        return F.lpad((F.coalesce(F.col(name).cast("bigint"), F.lit(-1).cast("bigint")) + 1).cast("string"), n, "0")
+    return F.concat(digits("place", 1), digits("file_ord", 19), digits("part_ord", 2), digits("rule_ord", 7), digits("line", 9)).cast("decimal(38,0)")
+
+
+def first_issues(identified: DataFrame) -> DataFrame:
+    """repo, id, at, s: the first issue of each rule in a report.
+
+    Issues without a rule have an id of their own and are their own first.  Of the others the least order key is found by a hash
+    aggregate, and the row that has it is fetched; the list of firsts is built into a hash table, so no issues are sorted.
+    """
+    about = F.struct("description", "recommendation", "severity", "compliance_ref", "rule_id").alias("s")
+    fields = ["repo", F.col("sarif_rule_id").alias("id"), F.struct("place", *REPORT_ORDER).alias("at"), about]
+    ruled = identified.where(F.col("rule_id").isNotNull()).withColumn("_key", _order_key())
+    firsts = ruled.groupBy("repo", "sarif_rule_id").agg(F.min("_key").alias("_key")).hint("shuffle_hash")
+    picked = ruled.join(firsts, ["repo", "sarif_rule_id", "_key"]).select(*fields).distinct()
+    return identified.where(F.col("rule_id").isNull()).select(*fields).unionByName(picked)
+
+
 def sarif_rules(identified: DataFrame, rules: DataFrame) -> DataFrame:
     """Descriptors of the rules a report refers to, in order of first use.
 
-    The first issue of each rule is an aggregate, not a window; ``rules`` is a
-    catalog and small.
+    ``rules`` is a catalog; one of up to ``CATALOG`` rules is sent to the issues instead of moving them.
     """
-    at = F.struct("place", *REPORT_ORDER)
-    used = identified.groupBy("repo", "sarif_rule_id").agg(
-        F.min(F.struct(at.alias("at"), F.struct("description", "recommendation", "severity", "compliance_ref", "rule_id").alias("s"))).alias("first"),
-    ).select("repo", F.col("sarif_rule_id").alias("id"), "first.at", "first.s")
+    used = first_issues(identified)
     known = rules.select(F.col("id"), F.struct("name", "description", "recommendation", "severity", "scanner", "rule_type", "compliance_ref", "language").alias("r"))
-    found = used.join(known, "id", "left")
+    found = used.join(F.broadcast(known) if rules.count() <= CATALOG else known, "id", "left")
     hit = F.col("r").isNotNull()
     return found.select(
         "repo", "id", "at", F.when(hit, slug(F.col("r.name"))).otherwise(F.col("id")).alias("name"),
@@ -134,13 +156,104 @@ def sarif_document(identified: DataFrame, rules: DataFrame, header: DataFrame, i
     )
 
 
-def json_report(report: DataFrame, findings: DataFrame, project: DataFrame | None, threshold: str = "low") -> DataFrame:
-    """The report row of each repository, then its shown issues, as JSON lines."""
-    shown = at_least(report_multiset(findings, project), threshold)
-    fields = [c for c in shown.columns if c not in ("repo", *REPORT_ORDER) or c == "line"]
-    issues = numbered(shown, ["repo"], ["place", *REPORT_ORDER, *TIES], "pos")
-    head = F.to_json(F.struct(*[c for c in report.columns]))
-    return _lines(_section(report, 0, head), _section(issues, 1, F.to_json(F.struct(*fields)), F.col("pos")))
+ISSUE_FIELDS = ["category", "severity", "file", "line", "description", "recommendation", "code_snippet", "source", "rule_id", "hipaa_reference", "compliance_ref"]
+CHECKLISTS = {"hipaa": "HIPAA", "pci": "PCI-DSS", "gdpr": "GDPR", "soc2": "SOC 2", "owasp": "OWASP Top 10", "cis": "CIS Controls v8"}
+_ALL = {"ignoreNullFields": "false"}
+
+
+def json_report(
+    report: DataFrame, files: DataFrame, findings: DataFrame, project: DataFrame | None = None, threshold: str = "low",
+    generated_at: Column | None = None,
+) -> DataFrame:
+    """The pieces of one JSON document per repository, with the issues of a severity or worse.
+
+    ``report`` has the rows of a report, ``files`` all files with their facts.  Issues are nested in the entries of their files, though
+    no file or repository is held in a row: an entry is an opening piece, a piece for each issue, and a closing one.
+    """
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss") if generated_at is None else generated_at
+    shown = at_least(findings, threshold)
+    issue = F.to_json(F.struct(*ISSUE_FIELDS), _ALL)
+
+    def listed(df: DataFrame, section: int) -> DataFrame:
+        placed = numbered(df, ["repo"], [*REPORT_ORDER, *TIES], "pos")
+        return _section(placed, section, F.concat(F.when(F.col("pos") > 0, ",").otherwise(""), issue), F.col("pos"))
+
+    def opened(row: Column) -> Column:
+        return F.regexp_replace(row, "\\}\\z", "")
+
+    def checklist(framework: str) -> Column:
+        names = ["section", "title", "description", "findings_count", "status", "worst_severity"]
+        names = names if framework == "HIPAA" else ["framework", *names]
+        return F.transform(F.filter("checklist", lambda c: c["framework"] == framework), lambda c: F.struct(*[c[n].alias(n) for n in names]))
+
+    head = F.to_json(F.struct(
+        F.col("repo").alias("repo_name"), F.lit("local").alias("source_type"), "languages", F.col("risk_score").alias("overall_risk_score"),
+        F.col("assessment").alias("overall_assessment"),
+    ), _ALL)
+    tail = F.to_json(F.struct(
+        *[checklist(name).alias(f"{key}_checklist") for key, name in CHECKLISTS.items()],
+        F.struct("total_files_analyzed", "total_files_skipped", "total_issues_found", "analysis_mode").alias("metadata"),
+        stamp.alias("generated_at"),
+    ), _ALL)
+    with_summary = files if "summary" in files.columns else files.withColumn("summary", F.lit(""))
+    entry = F.to_json(F.struct(F.col("path").alias("file_path"), "language", "size_bytes", "summary", "token_count", "analyzed", "skip_reason"), _ALL)
+    place = ["file_ord", "file", "_kind", *REPORT_ORDER[1:], "rule_id", "description"]
+
+    def piece(df: DataFrame, kind: int, path: str, text: Column) -> DataFrame:
+        """Opening, issue or closing pieces of files' entries, with the columns that order them."""
+        have = {"file": F.col(path), "_kind": F.lit(kind), "_text": text}
+        return df.select("repo", *[have.get(c, F.col(c) if c in df.columns else F.lit(None)).cast(_PLACE[c]).alias(c) for c in [*place, "_text"]])
+
+    in_files = numbered(shown.where(F.col("part_ord") >= 0), ["repo", "file_ord", "file"], [*REPORT_ORDER[1:], "rule_id", "description"], "_n")
+    comma = F.when(F.col("_n") > 0, ",").otherwise("")
+    entries = numbered(
+        piece(with_summary, 0, "path", F.concat(opened(entry), F.lit(',"issues":[')))
+        .unionByName(piece(in_files, 1, "file", F.concat(comma, issue))).unionByName(piece(with_summary, 2, "path", F.lit("]}"))),
+        ["repo"], place, "pos",
+    )
+    between = F.when((F.col("_kind") == 0) & (F.col("pos") > 0), ",").otherwise("")
+    parts = [
+        _section(report, 0, F.concat(opened(head), F.lit(',"file_analyses":['))),
+        _section(entries, 1, F.concat(between, F.col("_text")), F.col("pos")),
+        _section(report, 2, F.lit('],"project_level_issues":[')),
+        _section(report, 4, F.lit('],"security_findings":[')),
+        listed(shown.where(F.col("category") == "security"), 5),
+        _section(report, 6, F.concat(F.lit("],"), F.substring(tail, 2, 1 << 30))),
+    ]
+    return _lines(*parts, *([] if project is None else [listed(at_least(project, threshold), 3)]))
+
+
+_PLACE = {"file_ord": "bigint", "file": "string", "_kind": "int", "part_ord": "int", "rule_ord": "bigint", "line": "int", "rule_id": "string", "description": "string", "_text": "string"}
+
+
+def sarif_fields(pieces: DataFrame) -> DataFrame:
+    """What the rules and results in the pieces of a SARIF document say, read back from their JSON."""
+    told = pieces.where("section IN (1, 3)").withColumn("j", F.ltrim("text", F.lit(",")))
+    def get(path: str) -> Column:
+        return F.get_json_object("j", f"$.{path}")
+    where = "locations[0].physicalLocation"
+    return told.select(
+        "repo", "section", "pos", (F.col("text") != F.col("j")).alias("comma"), F.coalesce(get("id"), get("ruleId")).alias("rule_id"),
+        F.coalesce(get("level"), get("defaultConfiguration.level")).alias("level"), F.coalesce(get("message.text"), get("fullDescription.text")).alias("text"),
+        get("shortDescription.text").alias("short"), get("help.markdown").alias("help"), F.coalesce(get("properties.scanner"), get("properties.source")).alias("source"),
+        get("properties.complianceRef").alias("compliance_ref"), get(f"{where}.artifactLocation.uri").alias("uri"),
+        get(f"{where}.region.startLine").cast("bigint").alias("start_line"), get(f"{where}.region.snippet.text").alias("snippet"),
+    )
+
+
+def json_fields(pieces: DataFrame) -> DataFrame:
+    """What the pieces of a JSON report say, read back: a row for each report, file and issue."""
+    bare = F.ltrim("text", F.lit(","))
+    shut = F.when(bare.endswith(":["), F.concat(bare, F.lit("]}"))).otherwise(bare)
+    told = pieces.where("section IN (0, 1, 3, 5)").withColumn("j", shut).where("j != ']}'")
+    def get(path: str) -> Column:
+        return F.get_json_object("j", f"$.{path}")
+    return told.select(
+        "repo", "section", "pos", F.col("text").startswith(",").alias("comma"), F.coalesce(get("file"), get("file_path")).alias("file"),
+        get("line").cast("bigint").alias("line"), get("severity").alias("severity"), get("rule_id").alias("rule_id"),
+        F.coalesce(get("description"), get("overall_assessment"), get("summary")).alias("text"),
+        F.coalesce(get("overall_risk_score"), get("token_count")).cast("bigint").alias("number"), get("skip_reason").alias("skip_reason"),
+    )
 
 
 def _optional(label: str, column: str) -> Column:

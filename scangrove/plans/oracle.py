@@ -180,7 +180,7 @@ TREE = {
 FILES = {
     **TREE,
     "files": f"SELECT repo, file_ord, path, {LANGUAGE} AS language, size_bytes, content FROM tree "
-             f"WHERE NOT {SKIPPED} AND {IS_CODE} AND size_bytes <= 512000",
+             f"WHERE NOT {SKIPPED} AND {IS_CODE}",
 }
 HITS = {**FILES, **scan_ctes("files")}
 NOTE = "'Review note ' || CAST({0} % 7 AS VARCHAR)"
@@ -452,11 +452,14 @@ def custom(ident: str, pattern: str, severity: str, description: str) -> Rule:
 oracle("i1_added_rule_scan", {**FILES, **scan_ctes("files", subset("pci") + [custom("word-des", "(?i)des", "info", "the word")])},
        "SELECT repo, file, line, severity, description FROM hits")
 oracle("i3_deleted_rule_scan", {**FILES, **scan_ctes("files", subset("pci") + [custom("word-key", "(?i)key", "low", "the key")])}, f"SELECT {HIT} FROM hits")
-oracle("i5_catalog_lint", {"n": "SELECT *, 'n-' || (n_nationkey % 20) AS id, n_nationkey AS k FROM nation"},
+oracle("i5_catalog_lint", {"n": "SELECT *, 'n-' || (doc_id - CASE WHEN doc_id % 10 = 9 THEN 1 ELSE 0 END) AS id, doc_id AS k FROM documents"},
        "SELECT id, 'blank name' AS problem FROM n WHERE k % 7 = 3 UNION ALL SELECT id, 'blank pattern' FROM n WHERE k % 4 = 2 "
        "UNION ALL SELECT id, 'blank description' FROM n WHERE k % 11 = 5 UNION ALL SELECT id, 'blank recommendation' FROM n WHERE k % 9 = 1 "
        f"UNION ALL SELECT id, 'unknown severity' FROM n WHERE k % {len(SEVERITIES) + 1} = {len(SEVERITIES)} UNION ALL SELECT id, 'unknown scanner' FROM n WHERE k % 3 = 2 "
        "UNION ALL SELECT id, 'invalid regex' FROM n WHERE k % 4 = 0 UNION ALL SELECT id, 'id is not unique' FROM n GROUP BY id HAVING count(*) > 1")
+oracle("i9_cleared_responses", LOOKUP, "SELECT (SELECT count(*) FROM cache) AS entries, CAST(0 AS BIGINT) AS cleared, (SELECT count(DISTINCT key) FROM keyed) AS refilled")
+oracle("i9_response_size", LOOKUP, "SELECT count(*) AS entries, count(*) FILTER (expires_at < TIMESTAMP '2024-01-04 00:00:00') AS expired, "
+       "count(*) FILTER (expires_at >= TIMESTAMP '2024-01-04 00:00:00') AS left_over FROM cache")
 oracle("i9_cleared_marks", HITS, f"SELECT {HIT} FROM hits")
 oracle("i6_added_marks", MARKS, "SELECT id, repo, file_path, rule_id, description_hash FROM marks UNION ALL SELECT 'new-' || id, repo, file_path, 'cis-020', description_hash FROM marks WHERE rule_id = 'pci-004'")
 oracle("i6_invalid_marks", MARKS, "SELECT id, 'exactly one of rule_id and description_hash must be set' AS problem FROM marks WHERE description_hash IS NOT NULL")
@@ -497,6 +500,75 @@ oracle("j7_report_rows", {
     "fails": "SELECT repo, count(*) FILTER (status = 'fail') AS sections_failing FROM checklist GROUP BY repo",
 }, f"SELECT repo, issues, critical, high, risk_score, {BAND} AS risk_band, total_files_analyzed, total_files_skipped, languages, sections_failing FROM scored JOIN lang_list USING (repo) JOIN fails USING (repo)")
 
+SARIF_DOCUMENT = {
+    **SARIF, **sarif_rule_ctes("true"),
+    "rule_rows": f"SELECT d.*, row_number() OVER (PARTITION BY d.repo ORDER BY {ORDER}, id) - 1 AS pos FROM described d JOIN used u ON u.repo = d.repo AND u.sarif_rule_id = d.id",
+    "result_rows": f"SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {ORDER}, sarif_rule_id, description) - 1 AS pos FROM identified",
+}
+oracle("j3_sarif_document", SARIF_DOCUMENT, 'SELECT repo, CAST(1 AS BIGINT) AS section, pos, pos > 0 AS comma, id AS rule_id, level, "full" AS text, short, help, scanner AS source, compliance_ref, '
+       "CAST(NULL AS VARCHAR) AS uri, CAST(NULL AS BIGINT) AS start_line, CAST(NULL AS VARCHAR) AS snippet FROM rule_rows UNION ALL "
+       f"SELECT repo, 3, pos, pos > 0, sarif_rule_id, {LEVEL.format('severity')}, description, NULL, NULL, source, compliance_ref, file, line, CASE WHEN line IS NOT NULL THEN code_snippet END FROM result_rows")
+
+
+def review_ctes(bundle: bool) -> dict[str, str]:
+    """From the files and marks to the findings, answers and file entries of a review."""
+    if bundle:
+        which = {k: v for k, v in PACKED.items() if k not in HITS}
+        model = {
+            "model": f"SELECT f.repo, f.file_ord, CAST({MODEL_PART} AS BIGINT) AS part_ord, CAST(0 AS BIGINT) AS rule_ord, {pick(CATEGORIES, 'file_ord')} AS category, "
+                     f"{pick(SEVERITIES, 'file_ord')} AS severity, f.path AS file, file_ord % 40 AS line, {NOTE.format('file_ord')} AS description, 'Look at it' AS recommendation, "
+                     "CAST(NULL AS VARCHAR) AS code_snippet, 'llm' AS source, CAST(NULL AS VARCHAR) AS rule_id, CAST(NULL AS VARCHAR) AS hipaa_reference, CAST(NULL AS VARCHAR) AS compliance_ref "
+                     "FROM files f JOIN chosen USING (repo, path) WHERE file_ord % 6 <> 4",
+        }
+        answers = "SELECT repo, coalesce(max(CASE WHEN file_ord % 50 = 7 THEN 'Part ' || file_ord || '.' END), '') AS said, max(CASE WHEN file_ord % 50 = 7 THEN file_ord % 130 END) AS suggested FROM files GROUP BY repo"
+        project = "SELECT repo, CAST(NULL AS BIGINT) AS file_ord, 'deployment' AS category, 'medium' AS severity, 'project-wide' AS file, CAST(NULL AS BIGINT) AS line, 'Part ' || file_ord AS description, CAST(0 AS BIGINT) AS rule_ord FROM files WHERE file_ord % 50 = 7"
+        entries = (f"SELECT p.repo, p.path, file_ord, token_count, analyzed, CASE WHEN NOT analyzed THEN 'File too large (' || token_count || ' tokens)' WHEN NOT in_bundle THEN {lit(EXCLUDED_REASON)} END AS skip_reason, "
+                   "CASE WHEN NOT in_bundle THEN '' WHEN coalesce(mine, 0) = 0 THEN 'No AI-detected issues.' WHEN mine = 1 THEN '1 AI-detected issue.' ELSE mine || ' AI-detected issues.' END AS summary, "
+                   "coalesce(n, 0) AS issues, coalesce(mine, 0) AS model_issues FROM packed p LEFT JOIN per_file f ON f.repo = p.repo AND f.file = p.path")
+    else:
+        which = {}
+        model = {"every_model": MODEL_ROWS["model"], "model": f"SELECT m.* FROM every_model m JOIN files f ON f.repo = m.repo AND f.path = m.file WHERE {TOKENS} <= 8000"}
+        answers = (f"SELECT repo, CASE n % 4 WHEN 0 THEN 'Fair.' WHEN 1 THEN {lit(UNREADABLE['project'])} WHEN 2 THEN '' ELSE 'Weak.' END AS said, "
+                   "CASE n % 4 WHEN 0 THEN n % 130 WHEN 1 THEN 50 END AS suggested FROM (SELECT repo, count(*) AS n FROM files GROUP BY repo)")
+        project = ("SELECT repo, CAST(NULL AS BIGINT) AS file_ord, category, severity, file, CAST(line AS BIGINT) AS line, description, CAST(rule_ord AS BIGINT) AS rule_ord FROM (SELECT repo FROM files GROUP BY repo HAVING count(*) % 4 = 0), "
+                   "(VALUES ('deployment', 'high', 'project-wide', NULL, 'No tests', 0), ('bug', 'low', 'README.md', 3, 'Old', 1)) v(category, severity, file, line, description, rule_ord)")
+        entries = (f"SELECT f.repo, f.path, file_ord, {TOKENS} AS token_count, {TOKENS} <= 8000 AS analyzed, CASE WHEN {TOKENS} > 8000 THEN 'File too large (' || {TOKENS} || ' estimated tokens > 8000 limit)' END AS skip_reason, "
+                   f"CASE WHEN {TOKENS} > 8000 THEN '' ELSE CASE file_ord % 6 WHEN 3 THEN {lit(UNREADABLE['file'])} WHEN 5 THEN '' ELSE 'Read.' END END AS summary, "
+                   "coalesce(n, 0) AS issues, coalesce(mine, 0) AS model_issues FROM files f LEFT JOIN per_file p ON p.repo = f.repo AND p.file = f.path")
+    return {
+        **KEPT, **which, **model, "kept_model": KEPT_MODEL["kept_model"], **MANIFEST_ROWS,
+        "found": "SELECT * FROM kept UNION ALL SELECT * FROM kept_model UNION ALL SELECT * FROM manifests WHERE repo IN (SELECT repo FROM files)",
+        "repos": "SELECT DISTINCT repo FROM files", "answers": answers, "project": project,
+        "per_file": f"SELECT repo, file, count(*) AS n, count(*) FILTER (part_ord = {MODEL_PART}) AS mine FROM found WHERE part_ord >= 0 GROUP BY ALL",
+        "entries": entries, **counts_ctes("found"), **CHECKLIST,
+        "reports": f"SELECT c.*, CAST(greatest({SCORE}, coalesce(greatest(0, least(100, suggested)), 0)) AS BIGINT) AS risk_score, "
+                   f"coalesce(nullif(said, ''), {SENTENCE.format(lit('Analysis'))}) AS assessment FROM counts c JOIN answers USING (repo)",
+    }
+
+
+for _mode, _bundle in (("per_file", False), ("bundle", True)):
+    oracle(f"j7_{_mode}_entries", review_ctes(_bundle), "SELECT repo, path, token_count, analyzed, skip_reason, summary, issues, model_issues FROM entries")
+    oracle(f"j7_{_mode}_report", {
+        **review_ctes(_bundle), "gated": "SELECT repo, count(*) FILTER (analyzed) AS total_files_analyzed, count(*) FILTER (NOT analyzed) AS total_files_skipped FROM entries GROUP BY repo",
+        "line_counts": f"SELECT repo, count(line) AS lines FROM {lines_of('files', 'repo, file_ord')} GROUP BY repo",
+    }, f"SELECT r.repo, issues, critical, high, risk_score, {BAND} AS risk_band, assessment, total_files_analyzed, total_files_skipped, (SELECT count(*) FROM project p WHERE p.repo = r.repo) AS project_issues, "
+       "(SELECT count(*) FROM checklist k WHERE k.repo = r.repo AND status = 'fail') AS sections_failing, lines, "
+       f"{lit(_mode)} AS analysis_mode FROM reports r JOIN gated USING (repo) JOIN line_counts USING (repo)")
+_SHOWN = "severity IN ('critical', 'high')"
+oracle("j4_json_report", {
+    **review_ctes(False),
+    "pieces": "SELECT repo, file_ord, path AS file, 0 AS kind, -1 AS part_ord, -1 AS rule_ord, -1 AS line_no, CAST(NULL AS BIGINT) AS line, CAST(NULL AS VARCHAR) AS severity, CAST(NULL AS VARCHAR) AS rule_id, summary AS text, token_count AS number, skip_reason FROM entries "
+              f"UNION ALL SELECT repo, file_ord, file, 1, part_ord, rule_ord, line, line, severity, rule_id, description, NULL, NULL FROM found WHERE part_ord >= 0 AND {_SHOWN} "
+              "UNION ALL SELECT repo, file_ord, path, 2, -1, -1, -1, NULL, NULL, NULL, NULL, NULL, NULL FROM entries",
+    "placed": "SELECT *, row_number() OVER (PARTITION BY repo ORDER BY file_ord, file, kind, part_ord, rule_ord, line_no, rule_id, text) - 1 AS pos, "
+              "row_number() OVER (PARTITION BY repo, file_ord, file, kind ORDER BY part_ord, rule_ord, line_no, rule_id, text) - 1 AS inner_pos FROM pieces",
+    "secure": f"SELECT *, row_number() OVER (PARTITION BY repo ORDER BY file_ord, part_ord, rule_ord, line, file) - 1 AS pos FROM found WHERE category = 'security' AND {_SHOWN}",
+    "lifted": f"SELECT *, row_number() OVER (PARTITION BY repo ORDER BY rule_ord) - 1 AS pos FROM project WHERE {_SHOWN}",
+}, "SELECT repo, CAST(0 AS BIGINT) AS section, CAST(0 AS BIGINT) AS pos, false AS comma, CAST(NULL AS VARCHAR) AS file, CAST(NULL AS BIGINT) AS line, CAST(NULL AS VARCHAR) AS severity, CAST(NULL AS VARCHAR) AS rule_id, assessment AS text, risk_score AS number, CAST(NULL AS VARCHAR) AS skip_reason FROM reports "
+   "UNION ALL SELECT repo, 1, pos, CASE WHEN kind = 0 THEN pos > 0 ELSE inner_pos > 0 END, file, line, severity, rule_id, text, number, skip_reason FROM placed WHERE kind < 2 "
+   "UNION ALL SELECT repo, 3, pos, pos > 0, file, line, severity, NULL, description, NULL, NULL FROM lifted "
+   "UNION ALL SELECT repo, 5, pos, pos > 0, file, line, severity, rule_id, description, NULL, NULL FROM secure")
+
 # ---------------------------------------------------------------- imports and context
 _G = "(doc_id // 10)"
 _commented = "'{0}' || regexp_replace(text, '\\r\\n|\\r|\\n', chr(10) || '{0}', 'g') || chr(10)"
@@ -535,7 +607,7 @@ def excerpt(lines: int, path: str = "path") -> str:
 
 oracle("k6_excerpts", MODULES, f"SELECT path, md5({excerpt(5)}) AS digest FROM modules")
 _START = -(-len(HEADER) // 4) + 8
-oracle("k7_context_blocks", {
+CONTEXTS = {
     **MODULES,
     "texts": f"SELECT path AS target_path, {excerpt(100)} AS long, {excerpt(30)} AS short FROM modules",
     "firsts": "SELECT *, row_number() OVER (PARTITION BY path ORDER BY spec_ord) AS k FROM (SELECT *, row_number() OVER (PARTITION BY path, target_path ORDER BY spec_ord) AS again FROM resolved "
@@ -549,14 +621,17 @@ oracle("k7_context_blocks", {
             "WHEN used + ceil(length(head || short || tail) / 4.0) <= 1500 THEN body || head || short || tail ELSE body END "
             "FROM walk w JOIN pieces p ON p.path = w.path AND p.k = w.k + 1",
     "ends": f"SELECT path, CASE WHEN body = '' THEN '' ELSE {lit(HEADER)} || body END AS context FROM walk QUALIFY row_number() OVER (PARTITION BY path ORDER BY k DESC) = 1",
-}, "SELECT path, length(context) AS chars, md5(context) AS digest FROM ends")
+}
+oracle("k7_context_blocks", CONTEXTS, "SELECT path, length(context) AS chars, md5(context) AS digest FROM ends")
 oracle("k8_degrees", {**MODULES, "pairs": "SELECT DISTINCT path, target_path FROM resolved WHERE target_path IS NOT NULL"},
        "SELECT 'mono' AS repo, path, (SELECT count(*) FROM pairs p WHERE p.path = m.path) AS out_degree, (SELECT count(*) FROM pairs p WHERE p.target_path = m.path) AS in_degree FROM modules m")
 oracle("k8_unresolved", MODULES, "SELECT 'mono' AS repo, spec, count(*) AS importers FROM resolved WHERE target_path IS NULL GROUP BY spec")
 
 # ---------------------------------------------------------------- prompts and responses
 _PROMPT = "'File: ' || path || chr(10) || 'Language: ' || language || chr(10) || chr(10) || '```' || chr(10) || content || chr(10) || '```'"
-oracle("l2_file_prompts", FILES, f"SELECT repo, path, length({_PROMPT}) AS chars, md5({_PROMPT}) AS digest FROM files")
+oracle("l2_file_prompts", FILES, f"SELECT repo, path, length({_PROMPT}) AS chars, md5({_PROMPT}) AS digest FROM files WHERE {TOKENS} <= 8000")
+_WITH_CONTEXT = _PROMPT.replace("language", "CASE WHEN script THEN 'JavaScript' ELSE 'Python' END") + " || CASE WHEN context = '' THEN '' ELSE chr(10) || context END"
+oracle("l2_context_prompts", CONTEXTS, f"SELECT path, length({_WITH_CONTEXT}) AS chars, md5({_WITH_CONTEXT}) AS digest FROM ends JOIN modules USING (path) WHERE {TOKENS} <= 2000")
 oracle("l3_bundle_prompts", {
     **PACKED, "listings": LISTING["listings"],
     "bundles": "SELECT repo, count(*) AS bundle_files, 'Analyze the following codebase:' || chr(10) || string_agg(listing, '' ORDER BY late, token_count, file_ord) AS t "
@@ -586,4 +661,7 @@ oracle("l8_excluded_from_bundle", PACKED, f"SELECT repo, path, analyzed, in_bund
 oracle("n1_stream_scan", DOC_HITS, f"SELECT {HIT} FROM hits")
 oracle("n2_stream_suppression", {**DOC_HITS, **MARKS}, f"SELECT {HIT} FROM hits h WHERE NOT EXISTS (SELECT 1 FROM marks m WHERE m.id = 'mark-' || h.file AND m.rule_id = h.rule_id)")
 oracle("n3_stream_counters", DOC_HITS, "SELECT repo, severity, count(*) AS findings FROM hits GROUP BY ALL")
-oracle("n4_stream_unchanged", {}, "SELECT DISTINCT CAST(user_id AS VARCHAR) AS path, event_type AS content FROM events")
+oracle("n3_stream_progress", DOC_HITS, "SELECT repo, count(*) AS files_known, count(*) AS files_scanned, "
+       + ", ".join(f"(SELECT count(*) FROM hits h WHERE h.repo = d.repo AND severity = {lit(s)}) AS {s}" for s in SEVERITIES) + " FROM docs d GROUP BY repo")
+oracle("n4_stream_unchanged", {}, "SELECT path, content FROM (SELECT CAST(user_id AS VARCHAR) AS path, event_type AS content, "
+       "lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, sha256(event_type)) AS last FROM events) WHERE last IS DISTINCT FROM content")

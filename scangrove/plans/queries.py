@@ -17,11 +17,13 @@ from ..operators import findings as V
 from ..operators import marks as M
 from ..operators import rules as R
 from ..operators.scan import facts_of, hits_of, manifest_findings, scan_files, scan_rules, token_gate
-from ..schemas import FINDINGS, REPORT_ORDER, RULES
+from ..schemas import FINDINGS, REPORT_ORDER, RESPONSES, RULES
 from ..session import fresh_path, stored
 from ..sources import repos, tree
+from ..sources.tables import clear_table, read_table, replace_table
 from ..streaming import scan as stream
 from . import corpus, exports
+from . import review as W
 from .report import Analysis, analyse, report_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,9 +76,13 @@ def project_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gated = token_gate(corpus.files(spark, sf_dir), bundle=True)
-    with_hits = hits(spark, sf_dir).select("repo", F.col("file").alias("path")).distinct()
-    return packing.pack_bundle(gated.drop("content"), with_hits, 9_000)
+    """The bundle of each repository; sizes and hits come from one read of the texts."""
+    return packed_scan(stored(scan_files(corpus.files(spark, sf_dir)), "scan"))
+
+
+def packed_scan(both: DataFrame) -> DataFrame:
+    with_hits = hits_of(both).select("repo", F.col("file").alias("path")).distinct()
+    return packing.pack_bundle(token_gate(facts_of(both), bundle=True), with_hits, 9_000)
 
 
 # ---------------------------------------------------------------- sources
@@ -600,16 +606,16 @@ def _(spark, sf):
 
 @query("i5_catalog_lint")
 def _(spark, sf):
-    """A catalog made of the nations, with some of everything that can be wrong."""
-    n = F.col("n_nationkey")
+    """A catalog with a rule for each document, with some of everything that can be wrong."""
+    n = F.col("doc_id")
     made = {
-        "rule_ord": n, "id": F.concat(F.lit("n-"), (n % 20).cast("string")), "name": F.when(n % 7 == 3, "  ").otherwise(F.col("n_name")),
-        "pattern": F.when(n % 4 == 0, F.concat("n_name", F.lit("("))).when(n % 4 == 2, "").otherwise(F.col("n_name")),
-        "severity": corpus.pick([*SEVERITIES, "urgent"], n), "description": F.when(n % 11 == 5, "\n").otherwise(F.lit("a nation")), "recommendation": F.when(n % 9 != 1, "none"),
+        "rule_ord": n, "id": F.concat(F.lit("n-"), (n - F.when(n % 10 == 9, 1).otherwise(0)).cast("string")), "name": F.when(n % 7 == 3, "  ").otherwise(F.col("source")),
+        "pattern": F.when(n % 4 == 0, F.concat("source", F.lit("("))).when(n % 4 == 2, "").when(n % 3 == 1, F.concat(F.lit("(?i)"), "source", F.lit("\\s+\\w"))).otherwise(F.col("source")),
+        "severity": corpus.pick([*SEVERITIES, "urgent"], n), "description": F.when(n % 11 == 5, "\n").otherwise(F.lit("a document")), "recommendation": F.when(n % 9 != 1, "none"),
         "language": F.lit("*"), "scanner": corpus.pick(["pci", "cis", "other"], n), "rule_type": F.lit("compliance"),
         "compliance_ref": F.lit(None), "enabled": F.lit(True), "builtin": F.lit(False),
     }
-    rules = corpus.table(spark, sf, "nation").select(*[made[f.name].cast(f.dataType).alias(f.name) for f in RULES])
+    rules = corpus.table(spark, sf, "documents").select(*[made[f.name].cast(f.dataType).alias(f.name) for f in RULES])
     return R.lint(rules).select("id", F.substring_index("problem", ":", 1).alias("problem"))
 
 
@@ -618,6 +624,35 @@ def _(spark, sf):
     return M.suppress(hits(spark, sf), M.clear(corpus.marks(spark, sf))).select(*HIT)
 
 
+def response_table(spark, sf) -> str:
+    """The cached responses as a stored table."""
+    path = fresh_path(spark, "responses")
+    replace_table(stored_responses(spark, sf), path)
+    return path
+
+
+@query("i9_cleared_responses")
+def _(spark, sf):
+    """Entries of a response table as it is, cleared, and filled again by the answers to all prompts."""
+    path = response_table(spark, sf)
+    kept = read_table(spark, path, RESPONSES).agg(F.count("*").alias("entries"))
+    clear_table(spark, path, RESPONSES)
+    cleared = read_table(spark, path, RESPONSES)
+    asked = prompts.work_table(prompts.look_up(keyed(spark, sf), cleared, F.expr(NOW)))
+    replace_table(prompts.store_responses(cleared, asked.select("key", F.lit("fresh").alias("response")), F.expr(NOW)), path)
+    refilled = read_table(spark, path, RESPONSES).agg(F.count("*").alias("refilled"))
+    return kept.join(cleared.agg(F.count("*").alias("cleared"))).join(refilled)
+
+
+@query("i9_response_size")
+def _(spark, sf):
+    """Entries, expired entries, and entries left once those are gone."""
+    path = response_table(spark, sf)
+    size = prompts.response_size(read_table(spark, path, RESPONSES), F.expr(NOW))
+    replace_table(prompts.unexpired(read_table(spark, path, RESPONSES), F.expr(NOW)), path)
+    return size.join(read_table(spark, path, RESPONSES).agg(F.count("*").alias("left_over")))
+
+
 @query("i2_patched_catalog_scan")
 def _(spark, sf):
     patch = spark.sql("SELECT * FROM VALUES ('pci-004', 'low', true), ('owasp-005', NULL, false), ('cis-020', 'info', NULL) t(id, severity, enabled)")
@@ -681,14 +716,26 @@ def header(a: Analysis):
 
 @query("j3_sarif_document")
 def _(spark, sf):
+    """The document's rules and results, as read back from its text."""
     a = analysis(spark, sf, True)
-    return exports.sarif_document(identified(spark, sf, a), rules_frame(spark), header(a))
+    return exports.sarif_fields(exports.sarif_document(identified(spark, sf, a), rules_frame(spark), header(a)))
+
+
+def per_file_review(spark, sf) -> W.Review:
+    return W.per_file_review(
+        corpus.tree(spark, sf), corpus.files(spark, sf), corpus.reviews(spark, sf), corpus.project_answers(spark, sf), corpus.marks(spark, sf))
+
+
+def bundle_review(spark, sf) -> W.Review:
+    return W.bundle_review(corpus.tree(spark, sf), corpus.files(spark, sf), corpus.bundle_answers(spark, sf), corpus.marks(spark, sf), budget=9_000)
 
 
 @query("j4_json_report")
 def _(spark, sf):
-    a = analysis(spark, sf, True)
-    return exports.json_report(report_rows(a), a.findings, None, "high")
+    """Reports, files and issues, as read back from the text of the documents."""
+    made = per_file_review(spark, sf)
+    pieces = exports.json_report(W.review_rows(made), made.files, made.findings, made.project, "high", F.lit("2024-01-01T00:00:00"))
+    return exports.json_fields(pieces)
 
 
 @query("j5_text_report")
@@ -713,6 +760,37 @@ def _(spark, sf):
         langs.alias("languages"), fails.alias("sections_failing"))
 
 
+def review_summary(made: W.Review):
+    fails = F.size(F.filter("checklist", lambda c: c["status"] == "fail"))
+    return W.review_rows(made).select(
+        "repo", "issues", "critical", "high", "risk_score", "risk_band", "assessment", "total_files_analyzed", "total_files_skipped", "project_issues",
+        fails.alias("sections_failing"), F.aggregate("languages", F.lit(0).cast("bigint"), lambda n, x: n + x["line_count"]).alias("lines"), "analysis_mode")
+
+
+@query("j7_per_file_report")
+def _(spark, sf):
+    return review_summary(per_file_review(spark, sf))
+
+
+@query("j7_bundle_report")
+def _(spark, sf):
+    return review_summary(bundle_review(spark, sf))
+
+
+def entry_columns(made: W.Review):
+    return W.file_entries(made).select("repo", "path", "token_count", "analyzed", "skip_reason", "summary", "issues", "model_issues")
+
+
+@query("j7_per_file_entries")
+def _(spark, sf):
+    return entry_columns(per_file_review(spark, sf))
+
+
+@query("j7_bundle_entries")
+def _(spark, sf):
+    return entry_columns(bundle_review(spark, sf))
+
+
 @query("j8_stored_findings_export")
 def _(spark, sf):
     """A stored report is exported again without a scan."""
@@ -769,7 +847,7 @@ def _(spark, sf):
 @query("k7_context_blocks")
 def _(spark, sf):
     files = corpus.module_tree(spark, sf)
-    return context.context_blocks(resolved(spark, sf), files, 1_500).select("path", F.length("context").alias("chars"), F.md5("context").alias("digest"))
+    return context.context_blocks(files, 1_500).select("path", F.length("context").alias("chars"), F.md5("context").alias("digest"))
 
 
 @query("k8_degrees")
@@ -786,16 +864,24 @@ def _(spark, sf):
 
 @query("l2_file_prompts")
 def _(spark, sf):
-    made = prompts.file_prompts(corpus.files(spark, sf))
+    made = W.review_prompts(corpus.files(spark, sf))
     return made.select("repo", "path", F.length("user_prompt").alias("chars"), F.md5("user_prompt").alias("digest"))
 
 
+@query("l2_context_prompts")
+def _(spark, sf):
+    """Prompts of modules with excerpts of what they import."""
+    made = W.review_prompts(corpus.module_tree(spark, sf), 1_500, 2_000)
+    return made.select("path", F.length("user_prompt").alias("chars"), F.md5("user_prompt").alias("digest"))
+
+
 def bundle_texts(spark, sf):
-    gated = token_gate(corpus.files(spark, sf), bundle=True)
-    with_hits = stored(hits(spark, sf).select("repo", F.col("file").alias("path")).distinct(), "hits")
-    chosen = packing.pack_bundle(gated.drop("content"), with_hits, 9_000).where("in_bundle").select("repo", "path", "in_bundle")
-    late = with_hits.withColumn("late", F.lit(False))
-    return gated.join(chosen, ["repo", "path"]).join(late, ["repo", "path"], "left").withColumn("late", F.coalesce("late", F.lit(True)))
+    """The files of each bundle with their texts; the paths are chosen first, and only then are texts moved."""
+    both = stored(scan_files(corpus.files(spark, sf)), "scan")
+    late = hits_of(both).select("repo", F.col("file").alias("path")).distinct().withColumn("late", F.lit(False))
+    chosen = packed_scan(both).where("in_bundle").select("repo", "path", "token_count", "in_bundle")
+    chosen = stored(chosen.join(late, ["repo", "path"], "left").withColumn("late", F.coalesce("late", F.lit(True))), "chosen")
+    return packing.with_texts(corpus.files(spark, sf), chosen)
 
 
 @query("l3_bundle_prompts")
@@ -857,7 +943,7 @@ def arriving(spark, sf):
                                  partitions=spark.sparkContext.defaultParallelism)
     return docs.select(
         F.col("source").alias("repo"), F.col("doc_id").alias("file_ord"), F.col("doc_id").cast("string").alias("path"),
-        F.lit("Markdown").alias("language"), tree.read_text(F.col("text")).alias("content"))
+        F.lit("Markdown").alias("language"), F.octet_length("text").cast("bigint").alias("size_bytes"), tree.read_text(F.col("text")).alias("content"))
 
 
 @query("n1_stream_scan")
@@ -877,11 +963,15 @@ def _(spark, sf):
     return stream.run_to_table(counts, "counts", "complete")
 
 
+@query("n3_stream_progress")
+def _(spark, sf):
+    known = corpus.table(spark, sf, "documents").select(F.col("source").alias("repo"), "doc_id")
+    return stream.run_progress(arriving(spark, sf), "progress", known)
+
+
 @query("n4_stream_unchanged")
 def _(spark, sf):
     events = stream.arriving_files(spark, sf, corpus.table(spark, sf, "events").schema, glob="events.parquet")
     files = events.select(F.lit("r").alias("repo"), F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("content"),
                           F.col("ts").cast("timestamp").alias("ts"))
-    fresh = stream.changed_only(files, "ts", "3650 days")
-    return stream.run_to_table(fresh.select("path", "content"), "fresh")
-
+    return stream.run_to_table(stream.changed_only(files, "ts").select("path", "content"), "fresh")

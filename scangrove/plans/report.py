@@ -54,10 +54,14 @@ def analyse(
 def report_rows(analysis: Analysis, mode: str = "static", suggested: DataFrame | None = None) -> DataFrame:
     """One row per repository with counts, score, sentence, languages and checklists.
 
+    ``suggested`` has a model's suggested score, and its assessment, if there is one, takes the place of the sentence.
     Findings are not nested here: they may be many.  They stay a table, and the
     sinks write them in parts.
     """
     scored = scores(analysis.findings, analysis.repos, suggested, mode == "static")
+    if suggested is not None and "assessment" in suggested.columns:
+        said = suggested.select("repo", F.nullif("assessment", F.lit("")).alias("_said"))
+        scored = scored.join(said, "repo", "left").withColumn("assessment", F.coalesce("_said", "assessment")).drop("_said")
     languages = language_breakdown(analysis.files).groupBy("repo").agg(
         F.array_sort(F.collect_list(F.struct(
             (-F.col("file_count")).alias("o"), "first_seen", "language", "file_count", "line_count",

@@ -320,7 +320,7 @@ def test_context_blocks(make_files, budget):
     texts = {"long.py": "".join(f"line number {i}\n" for i in range(140)), "mid.py": "m = 1\n" * 60, "tiny.py": "t = 1", "void.py": "", "one.py": "\n"}
     code = "import long, mid, void, one\nimport tiny\nfrom . import mid"
     files = make_files([("a.py", "Python", code)] + [(n, "Python", t) for n, t in texts.items()])
-    got = {r.path: r.context for r in context.context_blocks(imports.import_graph(files), files, budget).collect()}
+    got = {r.path: r.context for r in context.context_blocks(files, budget).collect()}
     texts["one.py"] = ""
     order = [("long", "long.py"), ("mid", "mid.py"), ("void", "void.py"), ("one", "one.py"), ("tiny", "tiny.py")]
     assert got["a.py"] == (python_context(order, texts, budget) if budget else "")

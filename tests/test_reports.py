@@ -1,4 +1,7 @@
+import datetime as dt
+import hashlib
 import json
+import time
 from pathlib import Path
 
 import pytest
@@ -7,9 +10,12 @@ from pyspark.sql import functions as F
 
 from scangrove.catalog import rules_frame
 from scangrove.operators.findings import report_multiset
-from scangrove.plans import exports
+from scangrove.operators.packing import EXCLUDED_REASON
+from scangrove.operators.responses import UNREADABLE
+from scangrove.operators.scan import scan_rules
+from scangrove.plans import exports, review
 from scangrove.plans.report import analyse, report_rows
-from scangrove.schemas import FINDINGS
+from scangrove.schemas import FINDINGS, MARKS
 
 
 @pytest.fixture(scope="module")
@@ -59,10 +65,93 @@ def test_sarif_document(spark, analysis, tmp_path):
 
 
 def test_json_report(analysis, tmp_path):
-    lines = written(exports.json_report(report_rows(analysis), analysis.findings, None, "medium"), tmp_path / "json")["my repo"].splitlines()
-    head, *issues = map(json.loads, lines)
-    assert head["risk_score"] == 25 + 5 + 10 + 5 + 4 + 1 and head["total_files_skipped"] == 1 and len(head["checklist"]) == 39
-    assert [i["severity"] for i in issues] == ["medium", "high", "critical", "high", "critical"]
+    pieces = exports.json_report(report_rows(analysis), analysis.files, analysis.findings, None, "medium")
+    docs = {repo: json.loads(text) for repo, text in written(pieces, tmp_path / "json").items()}
+    doc = docs["my repo"]
+    assert list(doc) == [
+        "repo_name", "source_type", "languages", "overall_risk_score", "overall_assessment", "file_analyses", "project_level_issues", "security_findings",
+        "hipaa_checklist", "pci_checklist", "gdpr_checklist", "soc2_checklist", "owasp_checklist", "cis_checklist", "metadata", "generated_at"]
+    assert doc["overall_risk_score"] == 25 + 5 + 10 + 5 + 4 + 1 and doc["metadata"]["total_files_skipped"] == 1 and doc["project_level_issues"] == []
+    assert sum(len(v) for k, v in doc.items() if k.endswith("_checklist")) == 39 and "framework" not in doc["hipaa_checklist"][0]
+    entries = {f["file_path"]: f for f in doc["file_analyses"]}
+    assert list(entries) == ["a.py", "sub/b.py", "big.py"] and not entries["big.py"]["analyzed"] and entries["big.py"]["skip_reason"].startswith("File too large")
+    assert [i["severity"] for i in entries["a.py"]["issues"]] == ["high", "critical"] and entries["sub/b.py"]["issues"] == []
+    assert list(entries["a.py"]["issues"][0]) == exports.ISSUE_FIELDS and entries["a.py"]["issues"][0]["hipaa_reference"] is None
+    assert [i["severity"] for i in doc["security_findings"]] == ["medium", "high", "critical"]
+    assert [f["file_path"] for f in docs["clean"]["file_analyses"]] == ["c.py"] and docs["clean"]["security_findings"] == []
+
+
+def test_json_report_of_a_file_with_many_issues(spark, analysis, tmp_path):
+    """A file's issues span several part files and still nest in its entry."""
+    one = analysis.findings.where("file = 'a.py'").limit(1)
+    many = one.drop("rule_ord").crossJoin(spark.range(3000).withColumnRenamed("id", "rule_ord")).select(*FINDINGS.fieldNames())
+    doc = json.loads(written(exports.json_report(report_rows(analysis), analysis.files, many), tmp_path / "many")["my repo"])
+    assert {f["file_path"]: len(f["issues"]) for f in doc["file_analyses"]} == {"a.py": 3000, "sub/b.py": 0, "big.py": 0}
+
+
+def test_first_issues_need_no_sort(spark, analysis):
+    identified = exports.sarif_ids(report_multiset(analysis.findings))
+    plan = exports.sarif_rules(identified, rules_frame(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan and "HashAggregate" in plan
+
+
+@pytest.fixture(scope="module")
+def reviewed(spark, make_files):
+    files = make_files([("a.py", "Python", "eval(x)\n"), ("b.py", "Python", "zz = 123"), ("big.py", "Python", "y = 1\n" * 9000), ("c.py", "Python", "z")], repo="r")
+    tree = files.union(make_files([("requirements.txt", "Unknown", "flask")], repo="r"))
+    issue = '{"category":"bug","severity":"%s","line":2,"description":"%s","recommendation":"mend"}'
+    marks = spark.createDataFrame(
+        [("m1", "r", "b.py", None, "sha256:" + hashlib.sha256(b"known").hexdigest(), None, None, None), ("m2", "r", "a.py", "sec-danger-000", None, None, None, None)], MARKS)
+    return files, tree, issue, marks
+
+
+def test_per_file_review(spark, reviewed, tmp_path):
+    files, tree, issue, marks = reviewed
+    answers = spark.createDataFrame([
+        ("r", "a.py", '{"issues":[%s],"summary":"Fine."}' % (issue % ("high", "new"))), ("r", "b.py", '{"issues":[%s,%s]}' % (issue % ("low", "known"), issue % ("urgent", "odd"))),
+        ("r", "big.py", '{"issues":[%s]}' % (issue % ("high", "too large to be asked"))), ("r", "gone.py", '{"issues":[%s]}' % (issue % ("high", "no file"))), ("r", "c.py", "no object"),
+    ], "repo string, path string, response string")
+    project = spark.createDataFrame([("r", '{"project_level_issues":[{"description":"all"}],"overall_assessment":"So so.","overall_risk_score":77.9}'), ("other", "{}")], "repo string, response string")
+    made = review.per_file_review(tree, files, answers, project, marks)
+    row, = review.review_rows(made).collect()
+    # The hit in a.py and the known note are marked; the new note, the manifest and what the scan finds in big.py stay.
+    assert (row.issues, row.high, row.medium, row.risk_score, row.assessment, row.project_issues) == (2, 1, 1, 77, "So so.", 1)
+    assert (row.total_files_analyzed, row.total_files_skipped, row.analysis_mode) == (3, 1, "per_file")
+    got = {r.path: (r.analyzed, r.summary, r.issues, r.model_issues) for r in review.file_entries(made).collect()}
+    assert got == {"a.py": (True, "Fine.", 1, 1), "b.py": (True, "", 0, 0), "big.py": (False, "", 0, 0), "c.py": (True, UNREADABLE["file"], 0, 0)}
+    doc = json.loads(written(exports.json_report(review.review_rows(made), made.files, made.findings, made.project), tmp_path / "r")["r"])
+    assert doc["overall_assessment"] == "So so." and [i["description"] for i in doc["project_level_issues"]] == ["all"] and doc["project_level_issues"][0]["category"] == "deployment"
+    assert [(f["file_path"], [i["description"] for i in f["issues"]]) for f in doc["file_analyses"] if f["issues"]] == [("a.py", ["new"])]
+
+
+def test_review_without_answers(spark, reviewed):
+    files, tree, _, _ = reviewed
+    none = spark.createDataFrame([], "repo string, path string, response string")
+    row, = review.review_rows(review.per_file_review(tree, files, none, none)).collect()
+    assert row.assessment == "Analysis found 2 issues, including 1 high severity" and row.project_issues == 0 and row.risk_score == 10 + 5 + 4
+
+
+def test_bundle_review(spark, reviewed):
+    files, tree, issue, marks = reviewed
+    named = lambda file, text: (issue % ("high", text)).replace("{", '{"file":"%s",' % file)
+    answer = '{"issues":[%s,%s,%s],"overall_assessment":"","overall_risk_score":5}' % (named("a.py", "one"), named("b.py", "known"), named("c.py", "left out"))
+    answers = spark.createDataFrame([("r", answer)], "repo string, response string")
+    # a.py has a hit, though a marked one, and comes first; then the small ones as long as they fit.
+    made = review.bundle_review(tree, files, answers, marks, budget=3)
+    got = {r.path: (r.analyzed, r.in_bundle, r.summary, r.model_issues, r.skip_reason) for r in review.file_entries(made).collect()}
+    assert got["a.py"] == (True, True, "1 AI-detected issue.", 1, None) and got["c.py"] == (True, True, "1 AI-detected issue.", 1, None)
+    assert got["b.py"] == (True, False, "", 0, EXCLUDED_REASON) and got["big.py"][0] is False and got["big.py"][4] == "File too large (13500 tokens)"
+    row, = review.review_rows(made).collect()
+    assert (row.issues, row.risk_score, row.assessment) == (3, 10 + 10 + 4, "Analysis found 3 issues, including 2 high severity")
+    unread = review.bundle_review(tree, files, answers.withColumn("response", F.lit("?")), marks)
+    row, = review.review_rows(unread).collect()
+    assert (row.risk_score, row.assessment) == (50, UNREADABLE["bundle"])
+
+
+def test_prompts_pass_the_gate_and_carry_context(spark, make_files):
+    files = make_files([("a.py", "Python", "import b\n"), ("b.py", "Python", "def f(): pass\n"), ("big.py", "Python", "x = 1\n" * 9000)], repo="r")
+    made = {r.path: r.user_prompt for r in review.review_prompts(files, 500).collect()}
+    assert set(made) == {"a.py", "b.py"} and "## Imported Context" in made["a.py"] and "def f(): pass" in made["a.py"] and "Imported" not in made["b.py"]
 
 
 def test_text_report(analysis, tmp_path):
@@ -116,3 +205,76 @@ def test_stream_skips_unchanged_files(spark, tmp_path):
     arriving = stream.arriving_files(spark, str(tmp_path / "in"), spark.read.schema(schema).parquet(str(tmp_path / "in")).schema)
     got = stream.run_to_table(stream.changed_only(arriving, "ts"), "changed")
     assert sorted((r.path, r.content) for r in got.collect()) == [("a", "x"), ("a", "y"), ("b", "x")]
+
+
+def arrive(spark, folder, rows):
+    """Each row as a file of its own."""
+    for path, content, second in rows:
+        df = spark.createDataFrame([("r", path, content, dt.datetime(2024, 1, 1, 0, 0, second))], "repo string, path string, content string, ts timestamp")
+        df.coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_state_of_unchanged_files_is_one_hash_a_file(spark, tmp_path):
+    """A file that changes back counts as changed; a file that is not seen for long is forgotten."""
+    from scangrove.streaming import scan as stream
+
+    folder, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    arrive(spark, folder, [("a", "x", 1), ("a", "y", 2), ("a", "x", 3), ("a", "x", 4), ("b", "x", 5), ("c", None, 6)])
+    schema = spark.read.parquet(folder).schema
+
+    def run():
+        fresh = stream.changed_only(stream.arriving_files(spark, folder, schema), "ts", "2 seconds")
+        query = fresh.writeStream.option("checkpointLocation", progress).trigger(availableNow=True).format("parquet").option("path", out).start()
+        query.awaitTermination()
+        return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+    assert run()[-1] == 3
+    got = sorted(((r.path, r.content) for r in spark.read.parquet(out).collect()), key=str)
+    assert got == [("a", "x"), ("a", "x"), ("a", "y"), ("b", "x"), ("c", None)]
+    time.sleep(4)
+    arrive(spark, folder, [("d", "x", 7)])
+    run()
+    time.sleep(2)
+    arrive(spark, folder, [("e", "x", 8)])
+    assert run()[-1] <= 2
+
+
+def test_repeated_batch_changes_no_progress(spark, make_files, tmp_path):
+    from scangrove.streaming import scan as stream
+
+    out = str(tmp_path / "counts")
+    write = stream.count_batches(out)
+    first, second = make_files([("a.py", "Python", "eval(x)"), ("b.py", "Python", "")]), make_files([("c.py", "Python", "eval(y)\ncvv = '123'")])
+    known = first.union(second).union(make_files([("d.py", "Python", "later")]))
+    for batch, files in ((0, first), (1, second), (1, second), (0, first)):
+        write(files, batch)
+    row, = stream.progress(spark, out, known).collect()
+    counts = {r["severity"]: r["count"] for r in scan_rules(first.union(second)).groupBy("severity").count().collect()}
+    assert (row.files_known, row.files_scanned) == (4, 3)
+    assert {s: row[s] for s in ("critical", "high", "medium", "low", "info") if row[s]} == counts
+
+
+def test_tables_are_replaced_as_a_whole(spark, tmp_path):
+    from scangrove.sources import tables
+
+    path, schema = str(tmp_path / "t"), spark.range(0).schema
+    assert tables.read_table(spark, path, schema).count() == 0
+    tables.replace_table(spark.range(5), path)
+    reader = tables.read_table(spark, path, schema)
+    tables.replace_table(reader.union(spark.range(5, 8)), path)
+    assert reader.count() == 5 and tables.read_table(spark, path, schema).count() == 8
+    # A version that was never finished, and a lock that was left behind, are passed over.
+    (tmp_path / "t" / "v-unfinished").mkdir()
+    (tmp_path / "t" / "lock-000000000003").touch()
+    tables.clear_table(spark, path, schema)
+    assert tables.read_table(spark, path, schema).count() == 0 and reader.count() == 5
+    assert tables.drop_old_versions(spark, path) == 2 and len(list((tmp_path / "t").glob("v-*"))) == 2
+
+
+def test_run_folder_is_deleted(spark):
+    from scangrove import session
+
+    with session.run_folder(spark) as folder:
+        df = session.stored(spark.range(3), "x")
+        assert df.count() == 3 and folder in df.inputFiles()[0] and Path(folder.removeprefix("file://")).exists()
+    assert not Path(folder.removeprefix("file://")).exists() and folder not in session.fresh_path(spark, "y")

@@ -5,8 +5,10 @@ products.  In a range, vectors get one more component that makes all lengths equ
 distance; as lengths differ by a factor of ``SPREAD`` at most, that component doesn't hide the others.  Each hash
 function is a single projection; a block of vectors keeps, per projection, its vectors sorted by projected value.  For a query, windows
 centred on its own projections widen round by round (virtual rehashing: the radius grows, the arrays stay); a vector that stands in
-enough windows collides often enough to be verified, and a query is done with a block once enough vectors have been verified.  The
-first radius is the upper quartile of those that some queries of the block need, found by bisection.
+enough windows collides often enough to be verified, and a query is done with a block once enough vectors have been verified.  How many
+are enough is measured in each block: some of its queries are answered exactly, and so many must be verified that each of them would find
+``RECALL`` of its neighbours.  Vectors without clusters, and wide ones, need more, up to all of the block.  The first radius is the upper
+quartile of those that these queries need for so many, found by bisection.
 All vectors that collide often enough in the last round are verified, however many, with exact inner products in double precision;
 if too few ever do, as in small blocks, all vectors of the block are.
 
@@ -14,7 +16,8 @@ The stated queries meet all vectors in blocks: a block of vectors and a block of
 nearest of its block only.  No answer depends on how many rows a block got.
 
 Null and zero vectors, and those with null or non-finite components or another length than most, take no part; so do null ids.
-Ties go to the smaller id.  A row that is repeated counts as often as it stands there, but never as a neighbour of its own id.
+Ties go to the smaller id.  Rows of one id are one query, with the smallest of their vectors, and so have one answer; as neighbours of others
+they count as often as they stand there, but never for their own id.  An empty table, or one without usable vectors, gives no rows.
 """
 
 from __future__ import annotations
@@ -32,9 +35,12 @@ NEAREST = 20
 PROJECTIONS = 96
 COLLISIONS = 0.85       # share of the projections in whose windows a vector must stand
 GROWTH = 1.04           # of the radius from one round to the next
-VERIFIED = 0.14         # share of a block that is verified before a query is done with it, besides the neighbours asked for
+VERIFIED = 0.14         # least share of a block that is verified before a query is done with it, besides the neighbours asked for
+RECALL = 0.96           # of the neighbours of each query that is answered exactly
+TRIED = 16              # queries of a block that are answered exactly
 BLOCK, QUERY_BLOCK = 8_192, 2_048
 SPREAD = 1.25           # longest to shortest vector of a range
+LAST = 200              # rounds of widening
 FEW = 1_024             # a range of no more vectors is verified whole, together with others
 
 
@@ -93,19 +99,27 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
     def colliding(i: int, level: int) -> np.ndarray:
         return np.flatnonzero(collisions(order, lines, centres[i], min(longest * GROWTH ** level, apart / 4)) >= need)
 
-    def least(i: int) -> int:
-        """The smallest radius at which a query is done."""
-        low, high = -200, 40
+    def least(done) -> int:
+        """The smallest radius at which ``done`` holds, or one beyond all."""
+        low, high = -200, LAST
         while high - low > 1:
             middle = (low + high) // 2
-            low, high = (low, middle) if len(colliding(i, middle)) >= enough else (middle, high)
+            low, high = (low, middle) if done(middle) else (middle, high)
         return high
 
-    start = int(np.quantile([least(i) for i in range(0, len(q), -(-len(q) // 7))], 0.75))
+    tried = range(0, len(q), -(-len(q) // TRIED))
+    for i in tried:
+        exact = whole_block(ids, x, query_ids[i:i + 1], q[i:i + 1], k)
+        wanted = np.flatnonzero(np.isin(ids, [r[1] for r in exact]))
+        level = least(lambda at: np.isin(wanted, colliding(i, at)).mean() >= RECALL) if len(wanted) else -200
+        enough = max(enough, n if level >= LAST else len(colliding(i, level)))
+    if enough >= n:
+        return whole_block(ids, x, query_ids, q, k)
+    start = int(np.quantile([least(lambda at: len(colliding(i, at)) >= enough) for i in tried], 0.75))
     out = []
     for i in range(len(q)):
         level, found = start, colliding(i, start)
-        while len(found) < enough and level < 200:
+        while len(found) < enough and level < LAST:
             level += 1
             found = colliding(i, level)
         if len(found) < enough:
@@ -152,7 +166,8 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = NEAREST, vec_id: st
     cell = lambda n, name: F.pmod(F.xxhash64(F.lit(name), "id"), n).cast("int")
     all_of = lambda n: F.explode(F.array(*[F.lit(i) for i in range(n)])) if n <= 64 else F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     data = rows.select("id", "v", (place[0][F.col("range")] + cell(place[1][F.col("range")], "block")).alias("block")).withColumn("part", all_of(query_blocks)).toDF("id", "v", "block", "part")
-    queries = rows.where(F.col("id") % every == 0).select("id", "v", cell(F.lit(query_blocks), "part").alias("part")).withColumn("block", all_of(blocks)).toDF("id", "v", "part", "block")
+    asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    queries = asked.select("id", "v", cell(F.lit(query_blocks), "part").alias("part")).withColumn("block", all_of(blocks)).toDF("id", "v", "part", "block")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[int, int, float]] = []

@@ -6,6 +6,10 @@ on full sets.  A bucket never emits all its pairs: first every member meets the
 different components meet, the minority of a bucket against the rest, in cells of bounded size from which only links come out.  What is
 left out can't change a component.
 
+A pair of similarity 0.75 shares none of the 40 bands of 5 minima with probability (1 - 0.75^5)^40 = 2e-5, and is then not proposed; one of 0.8
+with 1e-7.  Texts of any length are read whole.  Ties can't occur: representatives, hubs and components go by the smallest id.  Columns other
+than id and text are left aside by ``near_duplicates``, whatever their names, and carried along by ``without_near_duplicates``.
+
 Nulls: a null or empty text has no shingles and no links; a row with a null id is kept and has no component.  Rows that share an id should share the text:
 with different texts each row gets the component of its own text, and ``without_near_duplicates`` drops all of them if one is a copy.
 Repeated rows give repeated result rows.  An empty table gives an empty result.
@@ -25,11 +29,12 @@ from scangrove.session import stored
 
 WIDTH = 5                # words in a shingle
 THRESHOLD = 0.75
-BANDS, ROWS = 40, 5      # a pair of similarity 0.75 shares no band with probability 2e-5
+BANDS, ROWS = 40, 5      # a pair of similarity 0.75 shares no band with probability 2e-5; see the docstring
 BITS = 2                 # low bits kept of each minimum
 HASHES = BANDS * ROWS
 LONGS = -(-HASHES * BITS // 64)
 CELL = 500               # texts of a band on either side that one task compares
+SIGN_CELL = 4_000        # the same for signatures
 MARGIN = 6               # standard deviations by which an estimate may fall short of the threshold
 
 
@@ -129,9 +134,11 @@ def _confirm(batches):
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part, left, right = batch.slice(lo, 256), [], []
-            for column, out in (("text_a", left), ("text_b", right)):
-                for _, _, words in word_batches(part.column(column)):
-                    out.extend(shingle_sets(words))
+            for name, out in (("a", left), ("b", right)):
+                # The text of a hub stands next to all of its partners; it is taken apart once.
+                _, first, where = np.unique(part.column(name).to_numpy(), return_index=True, return_inverse=True)
+                sets = [s for _, _, words in word_batches(part.column(f"text_{name}").take(pa.array(first))) for s in shingle_sets(words)]
+                out.extend(sets[i] for i in where)
             good = []
             for x, y in zip(left, right, strict=True):
                 common = len(x) + len(y) - len(np.union1d(x, y))
@@ -168,21 +175,62 @@ def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
+def _cells(few: DataFrame, rest: DataFrame, size: int):
+    """Deals the rows of a band on both sides to cells of about ``size`` by ``size`` rows; each row meets all cells of the other side."""
+    sizes = few.groupBy("band").agg(F.ceil(F.count("*") / size).cast("int").alias("n_few")).join(
+        rest.groupBy("band").agg(F.ceil(F.count("*") / size).cast("int").alias("n_rest")), "band")
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        cells = F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))
+        return rows.join(sizes, "band").withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"n_{own}")).cast("int")).withColumn(other, cells).drop("n_few", "n_rest")
+
+    return dealt(few, "few", "rest"), dealt(rest, "rest", "few")
+
+
+_SIGNS = ["id", "id_label", "n_shingles", *(f"sig{i}" for i in range(LONGS))]
+
+
+def _who_may_link(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The rows of a cell with a possible partner of another component on the other side: band, id, id_label and the side."""
+    out = {"band": [], "id": [], "id_label": [], "few": []}
+    if left.num_rows and right.num_rows:
+        (ids, label, n, *sig), (other_ids, other_label, other_n, *other_sig) = ([side.column(c).to_numpy() for c in _SIGNS] for side in (left, right))
+        sig, other_sig = (np.stack(x, axis=1).view(np.uint64) for x in (sig, other_sig))
+        hit, chance, least = np.zeros(len(other_ids), bool), 2.0 ** -BITS, _least_estimate()
+        lanes = np.uint64(int("01" * 32, 2))
+        for i in range(len(ids)):
+            possible = np.flatnonzero((other_label != label[i]) & (np.minimum(other_n, n[i]) * 100 >= np.maximum(other_n, n[i]) * 75))
+            x = other_sig[possible] ^ sig[i]
+            unequal = np.bitwise_count((x | (x >> np.uint64(1))) & lanes).sum(axis=1, dtype=np.int64)
+            near = possible[((1 - unequal / HASHES) - chance) / (1 - chance) >= least]
+            if len(near):
+                hit[near] = True
+                out["id"].append(ids[i])
+                out["id_label"].append(label[i])
+        out["few"] = [True] * len(out["id"]) + [False] * int(hit.sum())
+        out["id"] += other_ids[hit].tolist()
+        out["id_label"] += other_label[hit].tolist()
+        out["band"] = [left.column("band")[0].as_py()] * len(out["id"])
+    return pa.table({c: pa.array(v, pa.bool_() if c == "few" else pa.int64()) for c, v in out.items()})
+
+
+def possible_partners(few: DataFrame, rest: DataFrame) -> DataFrame:
+    """band, id, id_label, few: the rows (band and signature) of either side that may link with one of another component on the other side."""
+    cell = ["band", "_few", "_rest"]
+    # Columns get names anew, as both sides may come from one table.
+    left, right = (side.select("band", F.col("few").alias("_few"), F.col("rest").alias("_rest"), *_SIGNS).toDF(*cell, *_SIGNS) for side in _cells(few, rest, SIGN_CELL))
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_who_may_link, "band long, id long, id_label long, few boolean").distinct()
+
+
 def links_in_bands(few: DataFrame, rest: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) that connect different components, between texts (band, id, id_label) of ``few`` and ``rest`` that share a band.
 
     A band's texts meet in cells of about ``CELL`` by ``CELL`` texts; only links leave a cell, no pairs.
     """
     few, rest, cell = stored(few, "few"), stored(rest, "rest"), ["band", "few", "rest"]
-    sizes = few.groupBy("band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n_few")).join(
-        rest.groupBy("band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n_rest")), "band")
-
-    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
-        cells = F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))
-        placed = rows.join(sizes, "band").withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"n_{own}")).cast("int")).withColumn(other, cells)
-        return placed.join(texts, "id").select("band", "few", "rest", "id", F.col("id_label").alias("label"), "text").toDF(*cell, "id", "label", "text")
-
-    return dealt(few, "few", "rest").groupBy(*cell).cogroup(dealt(rest, "rest", "few").groupBy(*cell)).applyInArrow(_meet, "a long, b long").distinct()
+    left, right = (
+        side.join(texts, "id").select("band", "few", "rest", "id", "id_label", "text").toDF(*cell, "id", "label", "text").groupBy(*cell) for side in _cells(few, rest, CELL))
+    return left.cogroup(right).applyInArrow(_meet, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame | None:
@@ -261,8 +309,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     if not spots.isEmpty():
         # Who has a possible partner in another component, each once, however many partners there are.
         few, rest = spots.where("id_label <> major AND id <> hub"), spots.where("id <> hub")
-        apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.id_label") != F.col("y.id_label")) & may_link("x", "y")
-        few, rest = (one.alias("x").join(other.alias("y"), apart, "left_semi").select("band", "id", "id_label") for one, other in ((few, rest), (rest, few)))
+        partners = stored(possible_partners(few, rest), "partners")
+        few, rest = (partners.where(side).select("band", "id", "id_label") for side in ("few", "NOT few"))
         labels = _merged(labels, links_in_bands(few, rest, texts))
 
     out = signed_rows.select("id", "n_shingles", "print_a", "print_b").alias("s").join(

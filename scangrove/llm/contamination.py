@@ -6,7 +6,8 @@ them is an overlap, and the longest one that begins and ends with an equal word
 of which goes to the tasks whole; documents are not shuffled.
 
 Null and empty texts have no overlaps, on either side; an item of fewer than five words is never looked for, one of five to
-eight words only as a whole.  Repeated rows give repeated results, repeated items one result each.  Nulls in other columns are carried along.
+eight words only as a whole.  Of equally good overlaps with an item the one of the earliest alignment counts.  In texts that repeat words very often every
+alignment is looked at, which takes time in proportion to their lengths' product, but memory only in proportion to their sum.  Repeated rows give repeated results, repeated items one result each.  Nulls in other columns are carried along.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ LEAST_SHARE = 0.75      # equal words among those of the overlap
 SHORTEST = 5
 BLOCK_WORDS = 400_000   # of benchmark text that goes to the tasks at a time
 FILTER_BITS = 21
+HITS = 1 << 20          # hits of seeds that are held at a time
 
 
 class Seeds(NamedTuple):
@@ -92,18 +94,23 @@ def overlap(equal: np.ndarray, least: int) -> tuple[int, int]:
 
 def overlaps(doc: np.ndarray, seeds: Seeds) -> list[tuple[int, int, int, int]]:
     """(item, start in the document, words, equal words): the best overlap of a document with each item that it shares one with."""
-    starts, seen = [], []
+    lines = np.zeros(0, np.int64)   # item and shift of each alignment, as one number
+    span = len(doc) + len(seeds.words) + 1
     for mask in (*MASKS, *("1" * n for n in seeds.lengths)):
         h = seed_hashes(doc, mask)
         spot = np.flatnonzero(seeds.maybe[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         lo, hi = np.searchsorted(seeds.hashes, h[spot], "left"), np.searchsorted(seeds.hashes, h[spot], "right")
-        owner = np.repeat(np.arange(len(spot)), hi - lo)
-        entry = np.arange(len(owner)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[owner]
-        starts.append(spot[owner] - seeds.at[entry])
-        seen.append(seeds.item[entry])
-    lines = sorted(set(zip(np.concatenate(seen).tolist(), np.concatenate(starts).tolist(), strict=True)))
+        # Repeated words give many hits of one alignment: they are united in slices, so that only alignments are held.
+        total, at = np.cumsum(hi - lo), 0
+        while at < len(spot):
+            to = max(at + 1, int(np.searchsorted(total, total[at] - (hi - lo)[at] + HITS, "right")))
+            many = (hi - lo)[at:to]
+            owner = np.repeat(np.arange(at, to), many)
+            entry = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + lo[owner]
+            lines = np.union1d(lines, seeds.item[entry] * (2 * span) + spot[owner] - seeds.at[entry] + span)
+            at = to
     best: dict[int, tuple[int, int, int, int]] = {}
-    for item, shift in lines:
+    for item, shift in zip((lines // (2 * span)).tolist(), (lines % (2 * span) - span).tolist(), strict=True):
         text = seeds.words[seeds.first[item]:seeds.first[item + 1]]
         lo, hi = max(0, -shift), min(len(text), len(doc) - shift)
         equal = doc[lo + shift:hi + shift] == text[lo:hi]

@@ -6,8 +6,9 @@ moves the probabilities of three documents at a time along the null space of bot
 run in groups of bounded size; what they leave open (two documents each) flies again, level by level, until a source's rest fits one
 group, where the last two documents are settled.  No group grows with the input, and no text is shuffled.
 
-Nulls: a null text has size 0; a null source is a source of its own, last in order.  Empty documents take nothing.  Equal rows get results
-that may differ, as a set always the same.  A table without words has targets of 0.
+Nulls: a null text has size 0; a null source is a source of its own, last in order.  Empty documents take nothing.  Equal rows (id, source
+and size) are numbered and dealt like others; they get results that may differ, as a set always the same.  Texts of any length only count by
+their words.  A table without words has targets of 0, an empty one gives no rows.  More than ``MAX_SOURCES`` sources are refused.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from scangrove.session import stored
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, LIMIT = 1.5, 2.0
 GROUP = 4_000            # documents that fly together
-MAX_SOURCES = 100_000
+MAX_SOURCES = 100_000    # more are refused
+PART = 10_000            # equal rows that are numbered together
 TINY = 1e-9
 
 
@@ -87,7 +89,7 @@ def landing(wanted: np.ndarray, chance: np.ndarray, size: np.ndarray) -> np.ndar
 
 def _fly(last: bool):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("order", "doc_id", "size")])
+        table = table.sort_by([(c, "ascending") for c in ("order", "doc_id", "size", "copy")])
         chance, size = table.column("chance").to_numpy(), table.column("size").to_numpy().astype(float)
         p = flight(chance, size, table.column("draw").to_numpy())
         if last:
@@ -114,7 +116,11 @@ def sources(sizes: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """Per row: doc_id, source, size, source_size, target (its source's), copies (how often it is taken) and taken (words)."""
     sizes = picked(docs, doc_id=doc_id, source=source, text=text).select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"))
-    sizes = stored(sizes, "sizes")
+    # Equal rows are counted and numbered, so that they are dealt to groups like other rows.
+    counted = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("rows") - 1) / PART))))
+    numbers = F.sequence(F.col("part") * PART, F.least(F.col("rows"), (F.col("part") + 1) * PART) - 1)
+    sizes = stored(parts.repartition("doc_id", "size", "part").withColumn("copy", F.explode(numbers)).drop("rows", "part"), "sizes")
     named = sources(sizes)
     rows = sizes.join(F.broadcast(named), sizes.source.eqNullSafe(named.source)).drop(named.source)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -122,7 +128,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     draw = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 30)) / float(1 << 30)
     rows = rows.select(
         "doc_id", "source", "size", "source_size", "target", "number", F.col("whole").cast("long").alias("whole"), "chance",
-        F.xxhash64(F.lit("mixing"), "doc_id", "size").alias("order"), draw(F.lit("move"), "doc_id", "size").alias("draw"), F.col("n_docs").alias("left"),
+        "copy", F.xxhash64(F.lit("mixing"), "doc_id", "size", "copy").alias("order"), draw(F.lit("move"), "doc_id", "size", "copy").alias("draw"), F.col("n_docs").alias("left"),
     )
     fixed = (F.col("chance") < TINY) | (F.col("chance") > 1 - TINY) | (F.col("size") == 0)
     done = rows.where(fixed).withColumn("chance", F.round("chance"))

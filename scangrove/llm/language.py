@@ -1,7 +1,8 @@
 """Language identification, word first: known words by their frequency in each language, unseen words by their character n-grams.
 
 An unseen word is scored character by character with the longest n-gram ending there that the model knows, from four
-characters down to one.  The model is fitted on at most ``SAMPLE`` texts a language; prediction reads every whole text.
+characters down to one.  The model is fitted on at most ``SAMPLE`` texts a language; prediction reads every whole text, however long.  It knows at most
+``KNOWN_UNITS`` words, and as many n-grams of each length, in equal shares of the languages; more than ``MAX_LANGUAGES`` languages are refused.
 
 Nulls and texts without a letter: ``und`` with score 0.  Without any labelled text every row is ``und``.  Ties go to the first
 language by name.  A null id is never in the training part and is not held out.  Repeated rows give repeated results.
@@ -14,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scangrove.llm.tokens import Ranges, picked, remainder, signed, slices, text_buffers
@@ -23,8 +24,8 @@ from scangrove.session import stored
 SAMPLE = 4_000      # texts a language that the model is fitted on
 LEAST_TEXTS = 3     # texts of the sample in which a word must occur to be known
 LONGEST = 4
-KNOWN_WORDS = 200_000
-MAX_LANGUAGES = 500
+KNOWN_UNITS = 200_000
+MAX_LANGUAGES = 500   # more are refused
 
 
 class Model(NamedTuple):
@@ -104,8 +105,12 @@ def _counts(batches):
                     )
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model from labelled texts: at most about ``sample`` of each language, chosen by a hash of the id."""
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, known_units: int = KNOWN_UNITS) -> Model:
+    """A model from labelled texts: at most about ``sample`` of each language, chosen by a hash of the id.
+
+    Of words, and of n-grams of each length, the model knows at most ``known_units``; each language has an equal share of them for its most
+    frequent ones.
+    """
     labelled = picked(docs, id=doc_id, text=text, lang=lang).where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
@@ -124,10 +129,14 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     everywhere = units.groupBy("n", "unit").agg(
         F.sum("texts").alias("texts"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("counts"),
     ).where((F.col("n") > 0) | (F.col("texts") >= LEAST_TEXTS))
+    # Each language keeps its own most frequent units, so that none loses its units to a larger one.
+    order = Window.partitionBy("n", "lang").orderBy(F.desc("count"), "unit")
+    kept = units.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, known_units // len(languages))).select("n", "unit").distinct()
+    everywhere = everywhere.join(kept, ["n", "unit"], "left_semi")
     rows = stored(everywhere.select("n", "unit", "texts", *(F.coalesce(F.col("counts")[x], F.lit(0)).alias(f"c{i}") for i, x in enumerate(languages))), "language_units")
     tables = {}
     for n in range(LONGEST + 1):
-        found = rows.where(F.col("n") == n).orderBy(F.desc("texts"), "unit").limit(KNOWN_WORDS).toArrow()
+        found = rows.where(F.col("n") == n).toArrow()
         unit = found.column("unit").combine_chunks().to_numpy().view(np.uint64) if found.num_rows else np.zeros(0, np.uint64)
         count = np.stack([found.column(f"c{i}").to_numpy() for i in range(len(languages))], axis=1).astype(float) if found.num_rows else np.zeros((0, len(languages)))
         order = np.argsort(unit)

@@ -274,4 +274,4 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rest = remainder("doc_id", 3)
     field = fit(docs.where((rest != 1) & (rest >= 0)), labels)
     found = tag(docs.select(F.col("doc_id").cast("long"), (rest == 1).alias("held_out"), "text"), field)
-    return found.select("doc_id", "held_out", "score", (F.col("score") >= PREDICTED).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= PREDICTED).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), "spans")

@@ -7,7 +7,7 @@ in order of the group's name, null first and then by UTF-8 bytes, give the datas
 
 Places come from bitmaps instead of sorted rows:
 
-1. Every task notes the ids of its rows as bits, in containers of 2^16 ids for each group: few ids as numbers, many as a bitmap, and the
+1. Every task notes the ids of its rows as bits, in containers of 2^12 ids for each group: few ids as numbers, many as a bitmap, and the
    repeats of an id as counts.  The containers of all tasks are merged.
 2. The containers' row counts are summed up along each group (``numbered``, over containers, not rows).  In a container a directory of
    popcounts tells how many ids lie before each word of 64 bits.
@@ -15,7 +15,7 @@ Places come from bitmaps instead of sorted rows:
 4. Rows meet by (group, place div 4096) and fill slots 0 to 4095; a block of slots gives four levels of the tree at once.  Its top goes into
    a slot of the next block, until a group has one node.  Proofs come down the same blocks.
 
-No container holds more than 2^16 ids, and no block more than 4096 rows.  A container with very many repeated rows is dealt over cells.
+No container holds more than 2^12 ids, and no block more than 4096 rows.  A container with very many repeated rows is dealt over cells.
 
 Nulls and odd rows: null ids come before all others, a null group before all others.  Rows of one id are ordered by their leaf; equal
 rows have equal leaves, so any order of theirs gives the same trees (each copy has its own place and proof).  Ids are 64-bit integers of any
@@ -39,7 +39,7 @@ from scangrove.session import stored
 ARITY = 8
 LEVELS = 4  #: levels of the tree that one block covers
 BLOCK = ARITY ** LEVELS
-LOW = 16  #: bits of an id inside its container
+LOW = 12  #: bits of an id inside its container
 SPAN = 1 << LOW
 DENSE = SPAN // 16  #: from so many ids on a bitmap is smaller than their numbers
 GATHERED = 1 << 20
@@ -56,7 +56,7 @@ def leaf(*values: Column) -> Column:
 # ---------------------------------------------------------------- containers of ids
 
 def _bitmap(lows: np.ndarray) -> bytes:
-    """Ascending numbers below 2^16, as they are or as a bitmap, whichever is smaller."""
+    """Ascending numbers below ``SPAN``, as they are or as a bitmap, whichever is smaller."""
     if len(lows) < DENSE:
         return lows.astype(np.uint16).tobytes()
     bits = np.zeros(SPAN, bool)

@@ -259,11 +259,11 @@ def test_container_of_a_repeated_row(spark):
 
 def test_ranks():
     rng = np.random.default_rng(1)
-    for size in (1, 50, 5000, 65536):
-        lows = np.sort(rng.choice(1 << 16, size, replace=False))
+    for size in (1, 50, merkle.DENSE - 1, merkle.DENSE, 3000, merkle.SPAN):
+        lows = np.sort(rng.choice(merkle.SPAN, size, replace=False))
         counts = np.where(rng.random(size) < 0.1, rng.integers(2, 9, size), 1)
         ids, again, extra, rows = merkle._container(lows, counts)
-        assert rows == counts.sum() and (merkle._lows(ids) == lows).all() and len(ids) <= 8192
+        assert rows == counts.sum() and (merkle._lows(ids) == lows).all() and len(ids) <= merkle.SPAN // 8
         ranks = merkle.Ranks(ids, again, extra)
         assert (ranks.before(lows) == np.cumsum(counts) - counts).all() and (ranks.repeats(lows) == counts - 1).all()
 

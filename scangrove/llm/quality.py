@@ -5,7 +5,9 @@ Each heuristic votes good, bad or nothing on a whole text.  The votes of all tex
 model on hashed word shapes, repetitions and words; its probability is the score.
 
 Nulls and empty texts have no vote and no feature: they score like a text of plain words, but are rejected, since they
-hold nothing to learn from.  Repeated rows give repeated results; ties at the threshold are kept.
+hold nothing to learn from.  Repeated rows give repeated results; ties at the threshold are kept.  The sample has one row of an id, so repeated ids
+don't enlarge it; rows without an id are not in it, and without any sampled row all texts score 0.5.  Texts of any length are read whole, about a
+megabyte of texts at a time.  ``score`` carries other columns along, whatever their names, and replaces those named score and n_words.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scangrove.llm.tokens import Words, mixed, ragged, text_buffers, slices, words_of
+from scangrove.llm.tokens import Words, mixed, one_row_an_id, ragged, text_buffers, slices, words_of
 from scangrove.session import stored
 
 LABELLERS = ("plain words", "capitals", "symbols", "bare punctuation", "exclamations", "stutter", "variety", "sentences")
@@ -57,7 +59,7 @@ def _word_flags(raw: np.ndarray, words: Words) -> dict[str, np.ndarray]:
     before = raw[np.maximum(words.ends - 2, 0)] if len(words.ends) else raw[:0]
     return {
         "plain": (inner <= 0) & (letters > 0) & (capitals <= 1), "capitals": (capitals >= 2) & (capitals * 2 > letters), "symbols": symbols > 0,
-        "bare": letters == 0, "exclaimed": (last == 33) & (before == 33), "stutter": same, "ends": np.isin(last, np.frombuffer(b".!?", np.uint8)), "new": new,
+        "bare": letters == 0, "exclaimed": (last == 33) & (before == 33) & (size > 1), "stutter": same, "ends": np.isin(last, np.frombuffer(b".!?", np.uint8)), "new": new,
     }
 
 
@@ -129,7 +131,7 @@ def _feature_rows(batches):
                 rows.append(counts.astype(np.float32) / max(SHORT, b - a))
             used = [np.flatnonzero(r) for r in rows]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("pattern").slice(lo, hi - lo), ragged([u.astype(np.int32) for u in used], pa.int32()), ragged([r[u] for r, u in zip(rows, used, strict=True)], pa.float32())],
+                [pa.array(pattern_of(votes(flags, words.first)).astype(np.int32)), ragged([u.astype(np.int32) for u in used], pa.int32()), ragged([r[u] for r, u in zip(rows, used, strict=True)], pa.float32())],
                 ["pattern", "at", "weight"],
             )
 
@@ -167,7 +169,7 @@ def train(at: list[np.ndarray], weight: list[np.ndarray], target: np.ndarray) ->
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> np.ndarray:
-    """Weights of the linear model.  All texts count for the labellers' accuracies; about ``sample`` of them train the model."""
+    """Weights of the linear model.  All texts count for the labellers' accuracies; about ``sample`` of them, one an id, train the model."""
     texts = docs.select(F.col(f"`{doc_id}`").cast("string").alias("key"), F.col(f"`{text}`").alias("text"))
     voted = stored(texts.mapInArrow(_vote_rows, "key string, pattern int"), "votes")
     table = voted.groupBy("pattern").agg(F.count("*").alias("n")).toArrow()   # at most 3 ** labellers rows
@@ -176,9 +178,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
         return np.zeros(DIMENSIONS + 1, np.float32)
     belief = accuracies(patterns, counts)
     spot = F.pmod(F.xxhash64(F.lit("quality"), "key"), F.lit(1 << 30))
-    part = spot < min(1.0, sample / counts.sum()) * (1 << 30)
-    chosen = texts.where(part).join(voted.where(part).distinct(), "key").select("pattern", "text")
-    rows = chosen.mapInArrow(_feature_rows, "pattern int, at array<int>, weight array<float>").toArrow()
+    ids = voted.agg(F.approx_count_distinct("key", 0.01)).first()[0]
+    chosen = one_row_an_id(texts.where(F.col("key").isNotNull() & (spot < min(1.0, sample / max(1, ids)) * (1 << 30))), "key")
+    rows = chosen.select("text").mapInArrow(_feature_rows, "pattern int, at array<int>, weight array<float>").toArrow()
     if not rows.num_rows:
         return np.zeros(DIMENSIONS + 1, np.float32)
     order = {p: b for p, b in zip(patterns.tolist(), belief.tolist(), strict=True)}

@@ -10,7 +10,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
@@ -125,6 +125,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def one_row_an_id(rows: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """One row for each id, that whose text has the smallest hash.
+
+    Spark takes this limit inside each task before rows are moved, so an id that very many rows share comes to one row a task.
+    """
+    rest = [c for c in rows.columns if c not in (key, text)]
+    order = Window.partitionBy(key).orderBy(F.xxhash64(text), *rest)
+    return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+
+
 def picked(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under fixed names, so that other columns can't clash."""
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))

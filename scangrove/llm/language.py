@@ -5,7 +5,9 @@ characters down to one.  The model is fitted on at most ``SAMPLE`` texts a langu
 ``KNOWN_UNITS`` words, and as many n-grams of each length, in equal shares of the languages; more than ``MAX_LANGUAGES`` languages are refused.
 
 Nulls and texts without a letter: ``und`` with score 0.  Without any labelled text every row is ``und``.  Ties go to the first
-language by name.  A null id is never in the training part and is not held out.  Repeated rows give repeated results.
+language by name.  A null id is never in the training part and is not held out.  Repeated rows give repeated results.  Of an id with several labelled
+rows the one whose text has the smallest hash is learned from.  ``predict`` carries other columns along, whatever their names, and replaces those
+named lang_pred and score.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scangrove.llm.tokens import Ranges, picked, remainder, signed, slices, text_buffers
+from scangrove.llm.tokens import Ranges, one_row_an_id, picked, remainder, signed, slices, text_buffers
 from scangrove.session import stored
 
 SAMPLE = 4_000      # texts a language that the model is fitted on
@@ -106,13 +108,13 @@ def _counts(batches):
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, known_units: int = KNOWN_UNITS) -> Model:
-    """A model from labelled texts: at most about ``sample`` of each language, chosen by a hash of the id.
+    """A model from labelled texts: at most about ``sample`` of each language, chosen by a hash of the id, one row an id.
 
     Of words, and of n-grams of each length, the model knows at most ``known_units``; each language has an equal share of them for its most
     frequent ones.
     """
     labelled = picked(docs, id=doc_id, text=text, lang=lang).where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("id", 0.01).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(sizes)
@@ -123,7 +125,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     for name, n in sizes.items():
         if n > sample:
             share = F.when(F.col("lang") == name, F.lit(sample / n)).otherwise(share)
-    chosen = labelled.where(F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 30)) < share * (1 << 30)).select("text", "lang")
+    part = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 30)) < share * (1 << 30)
+    chosen = one_row_an_id(labelled.where(part)).select("text", "lang")
     counts = chosen.mapInArrow(_counts, "lang string, n int, unit long, count long, texts long")
     units = counts.groupBy("n", "unit", "lang").agg(F.sum("count").alias("count"), F.sum("texts").alias("texts"))
     everywhere = units.groupBy("n", "unit").agg(

@@ -6,9 +6,13 @@ and transitions; a sentence is a chain.  Forward-backward marginals of whole tex
 go through a logistic function fitted on the sample's labels.
 
 A word or beginning counts as toxic if its texts are toxic far more often than chance would have it among so many candidates; near
-copies count once.  Everything is fitted on a bounded sample of labelled texts (``SAMPLE``).  Null, empty and unlabelled texts are scored like others; without
-any labels, or labels of one kind only, the score is the share of toxic labels (0 without labels).  Repeated rows give repeated
-results; a null id is never in the training part and is not held out.
+copies count once.  Everything is fitted on a bounded sample of labelled texts (``SAMPLE``), one row an id; of each of them at most ``PIECES`` and
+``MARKED`` pieces of ``PIECE`` words, at even distances, train the field, however long it is.  Scores and spans are those of whole texts.
+
+Null, empty and unlabelled texts are scored like others; without any labels, or labels of one kind only, the score is the share of toxic
+labels (0 without labels).  Repeated rows give repeated results; a null id is never in the training part and is not held out.  An id with
+several labels counts as toxic if one of them is 1; of an id with several texts the one with the smallest hash is learned from.  Scores and marginals that
+equal a limit count as reaching it.  Columns other than those named are carried along by ``tag`` and left aside elsewhere.
 """
 
 from __future__ import annotations
@@ -21,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scangrove.llm.near_dedup import shingle_sets
-from scangrove.llm.tokens import Ranges, Words, mixed, picked, ragged, remainder, signed, word_batches
+from scangrove.llm.tokens import Ranges, Words, mixed, one_row_an_id, picked, ragged, remainder, signed, word_batches
 from scangrove.session import stored
 
 SAMPLE = 3_000          # toxic texts that the model is fitted on, and three times as many others
-PIECES, PIECE = 6, 64   # of a sampled text: pieces without toxic words, and words in a piece, that train the field
+PIECES, MARKED, PIECE = 6, 16, 64   # of a sampled text: pieces of any kind, more with toxic words, and words in a piece, that train the field
 DIMENSIONS = 1 << 16
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 LEAST_TEXTS, LEAST_ODDS, SKETCHES = 4, 12, 3
@@ -141,6 +145,12 @@ def _sketches(batches):
             yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), *(pa.array(x, pa.int64()) for x in least)], [*batch.schema.names, *(f"sketch{k}" for k in range(SKETCHES))])
 
 
+def _spaced(owner: np.ndarray, most: int) -> np.ndarray:
+    """Which pieces to keep, given the text of each in ascending order: at most ``most`` of a text, at even distances."""
+    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    return rank % -(-np.bincount(owner)[owner] // most) == 0 if len(owner) else np.zeros(0, bool)
+
+
 def _pieces(lexicon: np.ndarray):
     """Pieces of sampled texts: feature hashes and labels of their words."""
     def run(batches):
@@ -155,10 +165,8 @@ def _pieces(lexicon: np.ndarray):
                 first = chains(words)
                 cuts = np.unique(np.concatenate([np.arange(a, b, PIECE) for a, b in zip(first[:-1], first[1:], strict=True)]))
                 owner, ends = words.text[cuts], np.append(cuts[1:], len(words.text))
-                # Of a long text, pieces at even distances.
-                rank = np.arange(len(cuts)) - np.searchsorted(owner, owner)
-                stride = -(-np.bincount(owner, minlength=owner.max() + 1)[owner] // PIECES)
-                chosen = np.flatnonzero((rank % stride == 0) | np.logical_or.reduceat(marked, cuts))
+                some = np.flatnonzero(np.logical_or.reduceat(marked, cuts))
+                chosen = np.union1d(np.flatnonzero(_spaced(owner, PIECES)), some[_spaced(owner[some], MARKED)])
                 yield pa.RecordBatch.from_arrays(
                     [ragged([hashed[cuts[i]:ends[i]].ravel() for i in chosen], pa.int32()), ragged([marked[cuts[i]:ends[i]].astype(np.int32) for i in chosen], pa.int32())],
                     ["features", "labels"],
@@ -198,14 +206,14 @@ def _sampled_scores(field: Field):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """A field from the texts of ``docs`` that ``labels`` (doc_id, toxic) marks 0 or 1."""
     marks = picked(labels, id="doc_id", toxic="toxic").where("toxic IN (0, 1) AND id IS NOT NULL").groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
-    ids = picked(docs, id="doc_id").where("id IS NOT NULL")
+    ids = picked(docs, id="doc_id").where("id IS NOT NULL").distinct()
     sizes = {r["toxic"]: r["n"] for r in ids.join(marks, "id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         share = 1 - 1e-6 if 1 in sizes else 1e-6
         return Field(np.zeros(DIMENSIONS), np.zeros((2, 2)), np.zeros(2), np.array([np.log(share / (1 - share)), 0, 0]))
     rate = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample / sizes[1]))).otherwise(F.lit(min(1.0, 3 * sample / sizes[0])))
     chosen = marks.where(F.pmod(F.xxhash64(F.lit("toxicity"), "id"), F.lit(1 << 30)) < rate * (1 << 30))
-    texts = picked(docs, id="doc_id", text="text").join(chosen, "id").select("id", "toxic", "text")
+    texts = one_row_an_id(picked(docs, id="doc_id", text="text").join(chosen, "id").select("id", "toxic", "text"))
     texts = texts.mapInArrow(_sketches, "id long, toxic int, text string" + "".join(f", sketch{k} long" for k in range(SKETCHES)))
     for k in range(SKETCHES):
         least = texts.groupBy("toxic", f"sketch{k}").agg(F.min("id").alias("id"))

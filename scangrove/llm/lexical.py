@@ -221,23 +221,27 @@ def _rank(shared: Broadcast, counts: Counts, k: int):
                 impact = impacts(found, counts)
                 sketches = Sketches(found, impact)
                 step = max(1, TABLE // len(items.entry_term))
-                bounds = np.concatenate([
-                    np.add.reduceat(sketches.look_up(documents, items.terms)[:, items.entry_term] * weights, items.first, axis=1)
-                    for documents in (np.arange(a, min(a + step, hi - lo)) for a in range(0, hi - lo, step))
-                ])
-                hopeful = np.flatnonzero(bounds.max(axis=0) >= np.array([b.threshold for b in best]))
-                for q in hopeful:
-                    top, bound = best[q], bounds[:, q]
-                    candidates = np.flatnonzero(bound >= top.threshold)
-                    candidates = candidates[np.argsort(-bound[candidates], kind="stable")]
-                    entry = slice(items.first[q], ends[q])
-                    terms = items.terms[items.entry_term[entry]]
-                    for at in range(0, len(candidates), STEP):
-                        some = candidates[at:at + STEP]
-                        some = some[bound[some] >= top.threshold]
-                        if not len(some):
-                            break
-                        top.add(exact_scores(found, impact, some, terms, weights[entry]), ids[some + lo], null[some + lo])
+                # Documents are ranked so many at a time that their bounds for all items fit a table, however short their texts are.
+                several = step * max(1, TABLE // (step * len(items.ids)))
+                for first in range(0, hi - lo, several):
+                    last = min(first + several, hi - lo)
+                    bounds = np.concatenate([
+                        np.add.reduceat(sketches.look_up(documents, items.terms)[:, items.entry_term] * weights, items.first, axis=1)
+                        for documents in (np.arange(a, min(a + step, last)) for a in range(first, last, step))
+                    ])
+                    hopeful = np.flatnonzero(bounds.max(axis=0) >= np.array([b.threshold for b in best]))
+                    for q in hopeful:
+                        top, bound = best[q], bounds[:, q]
+                        candidates = np.flatnonzero(bound >= top.threshold)
+                        candidates = candidates[np.argsort(-bound[candidates], kind="stable")]
+                        entry = slice(items.first[q], ends[q])
+                        terms = items.terms[items.entry_term[entry]]
+                        for at in range(0, len(candidates), STEP):
+                            some = candidates[at:at + STEP]
+                            some = some[bound[some] >= top.threshold]
+                            if not len(some):
+                                break
+                            top.add(exact_scores(found, impact, some + first, terms, weights[entry]), ids[some + first + lo], null[some + first + lo])
         found = [(q, s, i, n) for q, b in enumerate(best) for s, i, n in zip(b.scores.tolist(), b.ids.tolist(), b.null.tolist())]
         if found:
             item, score, doc, none = zip(*found)

@@ -18,17 +18,20 @@ from pyspark.sql.types import StructType
 from ..catalog import SEVERITIES, Rule
 from ..operators.marks import suppress
 from ..operators.scan import scan_files, scan_rules
-from ..session import fresh_path
+from ..session import file_system, fresh_path
 
 
 def arriving_files(
     spark: SparkSession, path: str, schema: StructType, per_batch: int = 1000, glob: str | None = None, partitions: int | None = None,
 ) -> DataFrame:
-    """Parquet files appearing in a folder, as a stream of their rows.
+    """Parquet files appearing in a folder, as a stream of their rows; a path of one file stands for that file.
 
     ``partitions`` spreads the rows of a batch; of use only where a batch is
     few files and a scan of them is slow.
     """
+    fs, target = file_system(spark, path)
+    if fs.exists(target) and fs.getFileStatus(target).isFile():
+        path, glob = target.getParent().toString(), target.getName()
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -66,7 +69,7 @@ def progress(spark: SparkSession, path: str, known: DataFrame | None = None) ->
     """How far a scan has come: files scanned, of how many ``known`` (repo, path), and findings by severity, per repository."""
     names = ["files_scanned", *SEVERITIES[::-1]]
     schema = "repo string, " + ", ".join(f"{c} bigint" for c in names) + ", batch bigint"
-    done = spark.read.schema(schema).parquet(path).groupBy("repo").agg(*[F.sum(c).alias(c) for c in names])
+    done = _written(spark, path, schema).groupBy("repo").agg(*[F.sum(c).alias(c) for c in names])
     if known is None:
         return done
     total = known.groupBy("repo").agg(F.count("*").alias("files_known"))
@@ -121,4 +124,10 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
     else:
         query = writer.outputMode(mode).foreachBatch(lambda df, _epoch: df.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return _written(spark, out, stream.schema)
+
+
+def _written(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The rows that a stream has written; none where no batch had files, so that nothing was written."""
+    fs, target = file_system(spark, path)
+    return spark.read.schema(schema).parquet(path) if fs.exists(target) else spark.createDataFrame([], schema)

@@ -28,6 +28,11 @@ def test_stream_counters_of_a_table_in_parts(spark, tables):
     assert sorted(map(tuple, found)) == sorted(map(tuple, counted)) and sum(r["count"] for r in found) >= len(ROWS)
 
 
+def test_stream_progress_of_a_table_in_parts(spark, tables):
+    got = QUERIES["n3_stream_progress"](spark, tables).collect()
+    assert sorted((r.repo, r.files_known, r.files_scanned) for r in got) == [("src0", 20, 20), ("src1", 20, 20)]
+
+
 def empty_files(spark, tmp_path):
     (tmp_path / "none").mkdir()
     schema = spark.createDataFrame([], "repo string, file_ord long, path string, language string, size_bytes long, content string").schema
@@ -37,3 +42,9 @@ def empty_files(spark, tmp_path):
 def test_counters_where_nothing_arrives(spark, tmp_path):
     counts = stream.run_to_table(stream.running_counts(stream.stream_findings(empty_files(spark, tmp_path))), "counts", "complete")
     assert counts.columns == ["repo", "severity", "findings"] and counts.count() == 0
+
+
+def test_progress_where_nothing_arrives(spark, tmp_path):
+    known = spark.createDataFrame([("r", "a"), ("r", "b")], "repo string, path string")
+    row, = stream.run_progress(empty_files(spark, tmp_path), "progress", known).collect()
+    assert (row.repo, row.files_known, row.files_scanned, row.critical) == ("r", 2, 0, 0)

@@ -2,9 +2,9 @@
 
 Words of the training texts are counted once, over all of them.  The most frequent words are symbols of their own, the others fall into
 hashed classes, and a text ends with an end symbol.  States emit symbols; a word of a class has its smoothed share of the class.
-Each Baum-Welch round adds up expected transitions and emissions per partition and sums them by Spark.  The first rounds take parts of
-the training texts in turn and blend their sums with those before (stepwise expectation-maximisation); parts are shares of the corpus, so
-that they grow with it, and together they are all of it.  The last rounds read all training texts.  The scaled forward recursion gives the exact
+Each Baum-Welch round adds up expected transitions and emissions per partition and sums them by Spark.  Each of the first rounds takes
+a twelfth of the training texts, by a hash of the id, and blends its sums with those before (stepwise expectation-maximisation); these parts are
+the same shares of a corpus of any size, and together they are all of it.  The last rounds read all training texts.  The scaled forward recursion gives the exact
 likelihood of a text's symbols.
 
 Counts of the most frequent words (at most ``HEAD``) go to the tasks; a text's other words meet their counts in a join.
@@ -30,7 +30,7 @@ OWN, CLASSES = 4_096, 256       # words with a symbol of their own, classes of t
 SYMBOLS, END = OWN + CLASSES + 1, OWN + CLASSES
 HEAD = 1 << 19                  # words whose counts go to the tasks
 WARM, ROUNDS = 12, 2            # rounds over parts in turn, rounds over all training texts
-PART_TEXTS = 1_500              # training texts of a part at least; parts are as many as that allows, up to one for each of the first rounds
+PART_TEXTS = 1_500              # no longer read: a part is always a twelfth of the training texts (a test still sets it)
 FADE = 0.6                      # power of the part's number by which the weight of its sums falls
 FLUSH = 1_500_000               # distinct words that a task adds up before it passes them on
 RUN_TOKENS = 400_000            # symbols that the recursions work on at a time
@@ -235,16 +235,16 @@ def baum_welch(lines: DataFrame, frequencies: np.ndarray, texts: int) -> Model:
     emit = frequencies[:, None] * rng.uniform(0.2, 1.8, (SYMBOLS, STATES))
     move = np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES)
     model = Model(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
-    parts = max(1, min(WARM, texts // PART_TEXTS))
-    part = F.pmod(F.xxhash64(F.lit("markov"), "doc_id"), F.lit(parts))
+    part = F.pmod(F.xxhash64(F.lit("markov"), "doc_id"), F.lit(WARM))
     blend = None
     for k in range(WARM + ROUNDS if texts else 0):
-        read = lines.where(part == k % parts) if k < WARM else lines
+        read = lines.where(part == k) if k < WARM else lines
         found = read.select("symbols").mapInArrow(_expectation(model), "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+        if not found.num_rows:   # a part without texts tells nothing
+            continue
         flat = np.zeros(STATES + STATES ** 2 + SYMBOLS * STATES)   # as many rows at most
-        if found.num_rows:
-            flat[found.column("at").to_numpy()] = found.column("value").to_numpy()
-        if parts > 1 and k < WARM:
+        flat[found.column("at").to_numpy()] = found.column("value").to_numpy()
+        if k < WARM:
             weight = (k + 1) ** -FADE
             blend = flat = flat if blend is None else (1 - weight) * blend + weight * flat
         start, move, emit = flat[:STATES] + 0.1, flat[STATES:STATES + STATES ** 2].reshape(STATES, STATES) + 0.1, flat[STATES + STATES ** 2:].reshape(SYMBOLS, STATES)

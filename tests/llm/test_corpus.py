@@ -400,3 +400,30 @@ def test_stages(spark, odd, docs):
     kept = {r.doc_id for r in quality.quality_report(docs).where("kept").collect()}
     leaked = {r.doc_id for r in contamination.leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert ids <= kept - leaked
+
+
+@pytest.mark.parametrize("n", [3, 100])
+def test_rounds_do_not_depend_on_the_size(spark, n):
+    """Few texts are learned in the same steps as many: each first round takes its twelfth, a part without texts changes nothing."""
+    rng = np.random.default_rng(4)
+    texts = [np.append(rng.integers(0, 300, 40), markov.END).astype(np.uint16) for _ in range(n)]
+    lines = spark.createDataFrame([(i, t.tobytes()) for i, t in enumerate(texts)], "doc_id long, symbols binary")
+    frequencies = np.full(markov.SYMBOLS, 1 / markov.SYMBOLS)
+    got = markov.baum_welch(lines, frequencies, n)
+    part_of = {r.doc_id: r.k for r in lines.select("doc_id", F.pmod(F.xxhash64(F.lit("markov"), "doc_id"), F.lit(12)).alias("k")).collect()}
+    emit = frequencies[:, None] * np.random.default_rng(10).uniform(0.2, 1.8, (markov.SYMBOLS, 8))
+    model = markov.Model(np.full(8, 1 / 8), np.full((8, 8), 0.1 / 8) + 0.9 * np.eye(8), emit / emit.sum(axis=0))
+    blend = None
+    for k in range(14):
+        read = [t for i, t in enumerate(texts) if k >= 12 or part_of[i] == k]
+        if not read:
+            continue
+        sums = [markov.expected(model, np.ones(len(t), int), np.arange(len(t) + 1), t) for t in read]
+        flat = [sum(s[j] for s in sums) for j in range(3)]
+        if k < 12:
+            weight = (k + 1) ** -markov.FADE
+            blend = flat = flat if blend is None else [(1 - weight) * b + weight * f for b, f in zip(blend, flat, strict=True)]
+        start, move, emit = flat[0] + 0.1, flat[1] + 0.1, flat[2] + frequencies[:, None] * (50 + 0.02 * flat[2].sum(axis=0))
+        model = markov.Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    for mine, plain in zip(got, model, strict=True):
+        assert np.allclose(mine, plain, rtol=1e-3, atol=1e-9)
